@@ -100,3 +100,32 @@ def running_totals(
         *[(F.col(f"__rt_o_{i}") + F.sum(tmp[k]).over(wi)).alias(k) for i, k in enumerate(exprs)],
     )
     return out
+
+
+def rank_rows(
+    df: DataFrame,
+    key: Column,
+    tie: Column,
+    partition_by: Sequence[str] = (),
+    ascending: bool = True,
+    name: str = "rank",
+) -> DataFrame:
+    """Add a 1-based ``row_number`` in (key, tie) order within ``partition_by`` without a global sort.
+
+    ``key`` must be numeric.  Rows are counted per distinct key, the counts are turned into running totals, and
+    only rows sharing one key value are ordered by ``tie`` among themselves (a window over a single key value).
+    """
+    pb = list(partition_by)
+    d = df.select("*", key.cast("double").alias("__rk_k"), tie.alias("__rk_t"))
+    per = d.groupBy(*pb, "__rk_k").agg(F.count(F.lit(1)).alias("__rk_c"))
+    probe = probe_order_key(d.select("__rk_k"), "__rk_k")
+    cum = running_totals(per, "__rk_k", {"__rk_cum": "__rk_c"}, partition_by=pb, ascending=ascending, probe=probe)
+    keys = pb + ["__rk_k"]
+    c = cum.select(*[F.col(k).alias(f"__rk_j{i}") for i, k in enumerate(keys)], "__rk_c", "__rk_cum")
+    j = d.join(c, [d[k].eqNullSafe(c[f"__rk_j{i}"]) for i, k in enumerate(keys)], "inner")
+    tie_order = F.col("__rk_t").asc() if ascending else F.col("__rk_t").desc()
+    within = Window.partitionBy(*pb, "__rk_k").orderBy(tie_order)
+    rank = F.col("__rk_cum") - F.col("__rk_c") + F.when(F.col("__rk_c") == 1, F.lit(1)).otherwise(
+        F.row_number().over(within))
+    out = j.withColumn(name, rank.cast("long"))
+    return out.drop("__rk_k", "__rk_t", "__rk_c", "__rk_cum", *[f"__rk_j{i}" for i in range(len(keys))])

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.operators.prefix import probe_order_key, running_totals
+from cohortlens.operators.prefix import rank_rows
 
 
 def _hash_key(id_col: str) -> tuple[Column, Column]:
@@ -28,24 +28,13 @@ def ranked(df: DataFrame, id_col: str, partition_by: Sequence[str] = (), order:
     if order == "hash":
         key, tie = _hash_key(id_col)
     else:
-        key, tie = F.col(id_col).cast("double"), F.col(id_col).cast("string")
-    d = df.select("*", key.alias("__k"), tie.alias("__tie"))
-    per = d.groupBy(*pb, "__k").agg(F.count(F.lit(1)).alias("__c"))
-    probe = probe_order_key(d.select("__k"), "__k")
-    cum = running_totals(per, "__k", {"__cum": "__c"}, partition_by=pb, probe=probe)
-    sizes = per.groupBy(*pb).agg(F.sum("__c").alias("__n"))
-    keys = pb + ["__k"]
-    j = d.join(cum.select(*keys, "__c", "__cum"), [d[k].eqNullSafe(cum[k]) for k in keys], "inner").select(
-        d["*"], "__c", "__cum")
-    # rows sharing one key: order them by the full digest / id text inside that (tiny) key group
-    within = Window.partitionBy(*pb, "__k").orderBy("__tie")
-    j = j.withColumn("__rank", F.col("__cum") - F.col("__c") + F.when(F.col("__c") == 1, F.lit(1))
-                     .otherwise(F.row_number().over(within)))
+        key, tie = F.col(id_col).cast("double"), F.col(id_col)
+    r = rank_rows(df, key, tie, pb, name="__rank")
+    sizes = df.groupBy(*pb).agg(F.count(F.lit(1)).alias("__n"))
     if pb:
-        j = j.join(sizes, [j[k].eqNullSafe(sizes[k]) for k in pb], "inner").select(j["*"], "__n")
-    else:
-        j = j.withColumn("__n", sizes.select("__n").scalar())
-    return j.drop("__k", "__tie", "__c", "__cum")
+        s = sizes.select(*[F.col(k).alias(f"__s_{k}") for k in pb], "__n")
+        return r.join(s, [r[k].eqNullSafe(s[f"__s_{k}"]) for k in pb], "inner").drop(*[f"__s_{k}" for k in pb])
+    return r.withColumn("__n", sizes.select("__n").scalar())
 
 
 def random_split(df: DataFrame, id_col: str, test_fraction: float = 0.2) -> DataFrame:
