@@ -29,21 +29,22 @@ def confusion(df: DataFrame, label: str | Column, prediction: str | Column, clas
         "actual", "predicted", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))
 
 
-def _counts(df: DataFrame, label, prediction, positive=1) -> DataFrame:
+def _counts(df: DataFrame, label, prediction, positive=1, group_by=()) -> DataFrame:
     y = col(label) == F.lit(positive)
     p = col(prediction) == F.lit(positive)
-    return df.agg(
+    return df.groupBy(*group_by).agg(
         F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"),
         F.count_if(~y & ~p).alias("tn"), F.count_if(y & ~p).alias("fn"),
     )
 
 
-def binary_metrics(df: DataFrame, label: str | Column, prediction: str | Column, positive=1) -> DataFrame:
-    """One row: tp, fp, tn, fn, accuracy, sensitivity, specificity, precision, f1."""
-    c = _counts(df, label, prediction, positive)
+def binary_metrics(df: DataFrame, label: str | Column, prediction: str | Column, positive=1,
+                   group_by=()) -> DataFrame:
+    """One row (per group): tp, fp, tn, fn, accuracy, sensitivity, specificity, precision, f1."""
+    c = _counts(df, label, prediction, positive, group_by)
     tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))
     return c.select(
-        "tp", "fp", "tn", "fn",
+        *group_by, "tp", "fp", "tn", "fn",
         _ratio(tp + tn, tp + fp + tn + fn).alias("accuracy"),
         _ratio(tp, tp + fn).alias("sensitivity"),
         _ratio(tn, tn + fp).alias("specificity"),
