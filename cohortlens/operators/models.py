@@ -115,11 +115,11 @@ def grid(estimator, params: Mapping[str, Sequence]) -> list:
 
 
 def grid_search(estimator, params: Mapping[str, Sequence], train: DataFrame, fold_col: str = "fold",
-                parallelism: int = 4):
+                parallelism: int = 4, k: int = 5):
     """k-fold grid search scored by exact ROC AUC (no score binning), refitting the best point on all rows."""
     ev = BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0)
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=grid(estimator, params), evaluator=ev,
-                        foldCol=fold_col, parallelism=parallelism, seed=42)
+                        foldCol=fold_col, numFolds=k, parallelism=parallelism, seed=42)
     return cv.fit(train)
 
 
@@ -187,10 +187,11 @@ def tree_text(model, features: Sequence[str]) -> DataFrame:
     return SparkSession.getActiveSession().createDataFrame(lines, "line_no int, line string")
 
 
-def cv_accuracy(estimator, data: DataFrame, fold_col: str = "fold") -> DataFrame:
+def cv_accuracy(estimator, data: DataFrame, fold_col: str = "fold", k: int = 5) -> DataFrame:
     """Mean and sd of accuracy over the folds (``cross_val_score(scoring='accuracy')``)."""
     ev = MulticlassClassificationEvaluator(metricName="accuracy")
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=[{}], evaluator=ev, foldCol=fold_col, seed=42)
+    cv = CrossValidator(estimator=estimator, estimatorParamMaps=[{}], evaluator=ev, foldCol=fold_col, numFolds=k,
+                        seed=42)
     m = cv.fit(data)
     from pyspark.sql import SparkSession
 
