@@ -40,8 +40,9 @@ def _bucket_of(value: Column, bounds: Sequence[float]) -> Column:
     return build(0, len(bounds))
 
 
-def probe_order_key(df: DataFrame, order_col: str, blocks: int = DEFAULT_BLOCKS) -> tuple[int, list[float]]:
+def probe_order_key(df: DataFrame, order_col: str, blocks: int | None = None) -> tuple[int, list[float]]:
     """Approximate distinct count and block boundaries of a numeric column (one small job)."""
+    blocks = DEFAULT_BLOCKS if blocks is None else blocks
     probs = [i / blocks for i in range(1, blocks)]
     row = df.agg(
         F.approx_count_distinct(order_col).alias("nd"),
@@ -59,8 +60,8 @@ def running_totals(
     ascending: bool = True,
     probe: tuple[int, list[float]] | None = None,
     probe_df: DataFrame | None = None,
-    single_task_rows: int = SINGLE_TASK_ROWS,
-    blocks: int = DEFAULT_BLOCKS,
+    single_task_rows: int | None = None,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums ``out = sum(expr)`` in ``order_col`` order within ``partition_by``.
 
@@ -68,6 +69,8 @@ def running_totals(
     names).  ``probe`` may carry a previously computed (distinct count, boundaries) pair; else it is computed on
     ``probe_df`` (default ``df``), ideally a cheap column-pruned scan of the raw key.
     """
+    single_task_rows = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
+    blocks = DEFAULT_BLOCKS if blocks is None else blocks
     pb = list(partition_by)
     exprs = {k: (F.col(v) if isinstance(v, str) else v) for k, v in sums.items()}
     tmp = {k: f"__rt_v_{i}" for i, k in enumerate(exprs)}
