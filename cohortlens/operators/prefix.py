@@ -5,9 +5,9 @@ sum over an ordered key.  A window with no partition, or partitioned by a group
 runs in one task.  ``running_totals`` avoids that:
 
 1. The input is already aggregated to one row per (partition keys, order key).
-2. A cheap probe (one column-pruned aggregate) returns an approximate distinct count of the order key and its
-   approximate quantiles.  If the distinct count is within ``single_task_rows`` every window partition is provably
-   small and a plain window is used.
+2. A cheap probe (one column-pruned HyperLogLog aggregate) returns an approximate distinct count of the order key.
+   If it is within ``single_task_rows`` (1M keys: about a second for one task) every window partition is provably
+   small and a plain window is used.  Only otherwise a second probe fetches approximate quantiles of the key.
 3. Otherwise the order key is cut into contiguous blocks by the quantile boundaries (at most ``blocks`` literal
    values, a fixed bound), block totals are aggregated, turned into offsets by a window over at most ``blocks`` rows
    per partition key, joined back on (partition keys, block) and added to a window running inside each block.
@@ -23,7 +23,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SINGLE_TASK_ROWS = 200_000
+SINGLE_TASK_ROWS = 1_000_000
 DEFAULT_BLOCKS = 256
 
 
@@ -40,16 +40,18 @@ def _bucket_of(value: Column, bounds: Sequence[float]) -> Column:
     return build(0, len(bounds))
 
 
-def probe_order_key(df: DataFrame, order_col: str, blocks: int | None = None) -> tuple[int, list[float]]:
-    """Approximate distinct count and block boundaries of a numeric column (one small job)."""
+def probe_order_key(df: DataFrame, order_col: str, blocks: int | None = None,
+                    single_task_rows: int | None = None) -> tuple[int, list[float]]:
+    """Approximate distinct count of a numeric column and, when that exceeds the single-task bound, the block
+    boundaries (approximate quantiles; at most ``blocks - 1`` values).  One small job, two when large."""
     blocks = DEFAULT_BLOCKS if blocks is None else blocks
+    single_task_rows = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
+    nd = int(df.agg(F.approx_count_distinct(order_col).alias("nd")).first()["nd"] or 0)
+    if nd <= single_task_rows:
+        return nd, []
     probs = [i / blocks for i in range(1, blocks)]
-    row = df.agg(
-        F.approx_count_distinct(order_col).alias("nd"),
-        F.percentile_approx(F.col(order_col).cast("double"), probs, 10 * blocks).alias("q"),
-    ).first()
-    bounds = sorted({float(x) for x in (row["q"] or []) if x is not None})
-    return int(row["nd"] or 0), bounds
+    q = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10 * blocks).alias("q")).first()["q"]
+    return nd, sorted({float(x) for x in (q or []) if x is not None})
 
 
 def running_totals(
@@ -78,7 +80,7 @@ def running_totals(
     order = F.col(order_col).asc() if ascending else F.col(order_col).desc()
 
     if probe is None:
-        probe = probe_order_key(probe_df if probe_df is not None else df, order_col, blocks)
+        probe = probe_order_key(probe_df if probe_df is not None else df, order_col, blocks, single_task_rows)
     n_distinct, bounds = probe
 
     if n_distinct <= single_task_rows or not bounds:

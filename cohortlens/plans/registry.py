@@ -43,12 +43,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def round_half_away(c, digits: int = 6):
+    """Round to ``digits`` decimals, halves away from zero, in plain double arithmetic (the SQL oracle's
+    rounding; Spark's ``round`` goes through BigDecimal per value, which dominates wide projections)."""
+    scale = float(10 ** digits)
+    y = c * F.lit(scale)
+    r = F.rint(y)
+    r = F.when(F.abs(y - r) == 0.5, y + F.lit(0.5) * F.signum(y)).otherwise(r)
+    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), c).otherwise(r / F.lit(scale))
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every floating column so results compare stably with the SQL oracle."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name), digits).alias(f.name))
+            cols.append(round_half_away(F.col(f.name).cast("double"), digits).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

@@ -13,7 +13,7 @@ import os
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,13 +98,13 @@ def convert(spark: SparkSession, src: str, dst: str, src_fmt: str | None = None,
 def filter_and_save(df: DataFrame, column: str, drop_values: Sequence, path: str, fmt: str | None = None) -> dict:
     """Remove rows whose ``column`` is listed (NULL kept, N4), save the rest and report the row counts.
 
-    The counts are collected by an ``Observation`` during the write itself: no second pass over the data."""
-    obs = Observation("filter_and_save")
+    The counts come from one column-pruned aggregate over the input (partial aggregation, a single row back);
+    ``Observation`` would fold them into the write job, but in Spark 4.1 an observed plan leaves a
+    non-serialisable manager behind that breaks later RDD-based jobs (Spark ML) in the same session."""
     x = F.col(column)
     keep = ~x.isin(list(drop_values)) | x.isNull()
-    observed = df.observe(obs, F.count(F.lit(1)).alias("before"), F.count_if(keep).alias("after"))
-    write_table(observed.where(keep), path, fmt)
-    m = obs.get
+    write_table(df.where(keep), path, fmt)
+    m = df.agg(F.count(F.lit(1)).alias("before"), F.count_if(keep).alias("after")).first()
     return {"path": path, "before": m["before"], "after": m["after"], "removed": m["before"] - m["after"]}
 
 

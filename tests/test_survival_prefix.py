@@ -69,6 +69,7 @@ def test_running_totals_blocked_equals_window(spark):
     expect = {(r["g"], r["k"]): r["s"] for r in df.select("g", "k", F.sum("v").over(w).alias("s")).collect()}
     got = prefix.running_totals(df, "k", {"s": "v"}, partition_by=["g"], ascending=False, single_task_rows=0,
                                 blocks=8)
+    assert "__rt_blk" in got._jdf.queryExecution().analyzed().toString()  # the blocked plan was taken
     assert {(r["g"], r["k"]): r["s"] for r in got.collect()} == expect
 
 
