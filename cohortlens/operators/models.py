@@ -43,7 +43,11 @@ def label_encode(df: DataFrame, column: str, output: str) -> DataFrame:
 
 
 def levels(df: DataFrame, column: str, max_levels: int = 1000) -> list:
-    """Sorted distinct non-null values; refuses more than ``max_levels`` (the dummy schema grows with them)."""
+    """Sorted distinct non-null values; refuses more than ``max_levels`` (the dummy schema grows with them).
+
+    A HyperLogLog pass rejects high-cardinality columns before any distinct shuffle is planned."""
+    if (df.agg(F.approx_count_distinct(column, 0.01)).first()[0] or 0) > 1.05 * max_levels:
+        raise ValueError(f"{column} has more than {max_levels} levels; dummies are not a sensible encoding")
     vals = [r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column)
             .limit(max_levels + 1).collect()]
     if len(vals) > max_levels:

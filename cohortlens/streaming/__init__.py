@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference reads bounded files only and has no watermarks, windows over event time, stateful operators or late
+data (SURVEY §2.11), so no Structured Streaming operator is built.  Every operator in ``cohortlens.operators`` is a
+plain DataFrame transformation; a caller who receives patient records as a stream can apply them per micro-batch
+with ``writeStream.foreachBatch`` without any code here.
+"""
