@@ -123,3 +123,23 @@ def test_effects_min_arm_rule(spark):
     df = spark.range(30).select((F.col("id") < 5).cast("int").alias("t"), (F.col("id") % 2).alias("y"),
                                 F.lit("s").alias("k"))
     assert treatment_effects(df, ["k"], {"t": "t"}, "y").count() == 0  # treated arm has 5 ≤ 10 rows
+
+
+def test_prepare_cohort_follows_study_rules(spark):
+    from cohortlens.operators.cohort import prepare_cohort
+
+    data = [
+        (60, 3.5, "III", "Radiation, Chemotherapy", 6, 10, "Deceased", "A,B", "Yes"),
+        (50, 2.0, "IV", None, 4, 0, None, None, "No"),
+        (40, 1.0, "II", "Surgery", 1, 1, "Alive", "None", "Yes"),
+        (70, 4.0, None, "Surgery", 2, 2, "Alive", "A", "Maybe"),
+    ]
+    schema = ("Age int, TumorSize double, CancerStage string, TreatmentType string, ChemotherapySessions int, "
+              "RadiationSessions int, SurvivalStatus string, Comorbidities string, Metastasis string")
+    out = {r["Age"]: r for r in prepare_cohort(spark.createDataFrame(data, schema)).collect()}
+    assert set(out) == {60, 50}  # stage filter III/IV; NULL stage dropped by isin
+    a, b = out[60], out[50]
+    assert (a["stage_code"], a["advanced"], a["Received_Radiation"], a["Received_Chemotherapy"]) == (3, 1, 1, 1)
+    assert (a["chemo_intensity"], a["radiation_intensity"], a["comorbidity_count"], a["metastasis"]) == (6, 10, 2, 1)
+    assert a["outcome"] == 1 and b["outcome"] == 0  # NULL status counts as alive (N3)
+    assert (b["Received_Surgery"], b["chemo_intensity"], b["comorbidity_count"], b["metastasis"]) == (0, 0, 0, 0)
