@@ -156,9 +156,11 @@ def kde(df: DataFrame, value: str | Column, grid_size: int = 200, cut: float = 3
     x = lo + F.col("point") * step
     z = (x - F.col("v")) / bw
     contrib = F.col("c") * F.exp(F.lit(-0.5) * z * z)
-    dens = pts.groupBy("point").agg(F.sum(contrib).alias("s"))
+    dens = pts.groupBy("point").agg(F.sum(F.when(bw > 0, contrib)).alias("s"))
     norm = n * bw * F.lit(math.sqrt(2 * math.pi))
-    return dens.select("point", (lo + F.col("point") * step).alias("x"), (F.col("s") / norm).alias("density"))
+    # a zero bandwidth (one distinct value) has no density; NULL instead of a division error
+    return dens.select("point", (lo + F.col("point") * step).alias("x"),
+                       F.when(bw > 0, F.col("s") / norm).alias("density"))
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str], min_columns: int = 4) -> DataFrame:
