@@ -45,13 +45,9 @@ def quantiles(df: DataFrame, value: str | Column, probs: Sequence[float], groups
 
     counts = v.groupBy(*g, "v").agg(F.count(F.lit(1)).alias("c"))
     probe = probe_order_key(v.select("v"), "v")
-    cum = running_totals(counts, "v", {"cum": "c"}, partition_by=g, probe=probe)
-    sizes = counts.groupBy(*g).agg(F.sum("c").alias("n"))
-    if g:
-        joined = cum.join(sizes, [cum[k].eqNullSafe(sizes[k]) for k in g], "inner").select(
-            *[cum[k] for k in g], "v", "c", "cum", "n")
-    else:
-        joined = cum.withColumn("n", sizes.select("n").scalar())
+    # the group size rides along with the running totals: no join back to a per-group table
+    joined = running_totals(counts, "v", {"cum": "c"}, partition_by=g, probe=probe, with_totals=True
+                            ).withColumnRenamed("cum_total", "n")
     aggs = []
     for i, p in enumerate(probs):
         h = (F.col("n") - 1) * F.lit(float(p))

@@ -64,12 +64,14 @@ def running_totals(
     probe_df: DataFrame | None = None,
     single_task_rows: int | None = None,
     blocks: int | None = None,
+    with_totals: bool = False,
 ) -> DataFrame:
     """Add inclusive running sums ``out = sum(expr)`` in ``order_col`` order within ``partition_by``.
 
     ``df`` must hold one row per (partition_by, order_col).  ``sums`` maps output names to expressions (or column
     names).  ``probe`` may carry a previously computed (distinct count, boundaries) pair; else it is computed on
-    ``probe_df`` (default ``df``), ideally a cheap column-pruned scan of the raw key.
+    ``probe_df`` (default ``df``), ideally a cheap column-pruned scan of the raw key.  ``with_totals`` adds
+    ``<out>_total``, the partition's grand total, without a join back to a per-group table.
     """
     single_task_rows = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
     blocks = DEFAULT_BLOCKS if blocks is None else blocks
@@ -86,6 +88,9 @@ def running_totals(
     if n_distinct <= single_task_rows or not bounds:
         w = Window.partitionBy(*pb).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         out = d.select("*", *[F.sum(tmp[k]).over(w).alias(k) for k in exprs])
+        if with_totals:
+            wt = Window.partitionBy(*pb)
+            out = out.select("*", *[F.sum(tmp[k]).over(wt).alias(f"{k}_total") for k in exprs])
         return out.drop(*tmp.values())
 
     d = d.withColumn("__rt_blk", _bucket_of(F.col(order_col).cast("double"), bounds))
@@ -96,6 +101,7 @@ def running_totals(
         *[F.col(c).alias(f"__rt_k_{c}") for c in pb],
         F.col("__rt_blk").alias("__rt_kblk"),
         *[F.coalesce(F.sum(f"__rt_t_{i}").over(wo), F.lit(0)).alias(f"__rt_o_{i}") for i, _ in enumerate(exprs)],
+        *[F.sum(f"__rt_t_{i}").over(Window.partitionBy(*pb)).alias(f"__rt_T_{i}") for i, _ in enumerate(exprs)],
     )
     cond = [d[c].eqNullSafe(off[f"__rt_k_{c}"]) for c in pb] + [d["__rt_blk"] == off["__rt_kblk"]]
     j = d.join(off, cond, "inner")
@@ -103,6 +109,7 @@ def running_totals(
     out = j.select(
         *[d[c] for c in df.columns],
         *[(F.col(f"__rt_o_{i}") + F.sum(tmp[k]).over(wi)).alias(k) for i, k in enumerate(exprs)],
+        *([F.col(f"__rt_T_{i}").alias(f"{k}_total") for i, k in enumerate(exprs)] if with_totals else []),
     )
     return out
 
@@ -114,9 +121,12 @@ def rank_rows(
     partition_by: Sequence[str] = (),
     ascending: bool = True,
     name: str = "rank",
+    size_name: str | None = None,
 ) -> DataFrame:
     """Add a 1-based ``row_number`` in (key, tie) order within ``partition_by`` without a global sort.
 
+    ``size_name`` also adds the partition's row count (a by-product of the running totals, no extra join).
+
     ``key`` must be numeric.  Rows are counted per distinct key, the counts are turned into running totals, and
     only rows sharing one key value are ordered by ``tie`` among themselves (a window over a single key value).
     """
@@ -124,9 +134,11 @@ def rank_rows(
     d = df.select("*", key.cast("double").alias("__rk_k"), tie.alias("__rk_t"))
     per = d.groupBy(*pb, "__rk_k").agg(F.count(F.lit(1)).alias("__rk_c"))
     probe = probe_order_key(d.select("__rk_k"), "__rk_k")
-    cum = running_totals(per, "__rk_k", {"__rk_cum": "__rk_c"}, partition_by=pb, ascending=ascending, probe=probe)
+    cum = running_totals(per, "__rk_k", {"__rk_cum": "__rk_c"}, partition_by=pb, ascending=ascending, probe=probe,
+                         with_totals=size_name is not None)
     keys = pb + ["__rk_k"]
-    c = cum.select(*[F.col(k).alias(f"__rk_j{i}") for i, k in enumerate(keys)], "__rk_c", "__rk_cum")
+    extra = [F.col("__rk_cum_total").alias(size_name)] if size_name else []
+    c = cum.select(*[F.col(k).alias(f"__rk_j{i}") for i, k in enumerate(keys)], "__rk_c", "__rk_cum", *extra)
     j = d.join(c, [d[k].eqNullSafe(c[f"__rk_j{i}"]) for i, k in enumerate(keys)], "inner")
     tie_order = F.col("__rk_t").asc() if ascending else F.col("__rk_t").desc()
     within = Window.partitionBy(*pb, "__rk_k").orderBy(tie_order)

@@ -29,12 +29,7 @@ def ranked(df: DataFrame, id_col: str, partition_by: Sequence[str] = (), order:
         key, tie = _hash_key(id_col)
     else:
         key, tie = F.col(id_col).cast("double"), F.col(id_col)
-    r = rank_rows(df, key, tie, pb, name="__rank")
-    sizes = df.groupBy(*pb).agg(F.count(F.lit(1)).alias("__n"))
-    if pb:
-        s = sizes.select(*[F.col(k).alias(f"__s_{k}") for k in pb], "__n")
-        return r.join(s, [r[k].eqNullSafe(s[f"__s_{k}"]) for k in pb], "inner").drop(*[f"__s_{k}" for k in pb])
-    return r.withColumn("__n", sizes.select("__n").scalar())
+    return rank_rows(df, key, tie, pb, name="__rank", size_name="__n")
 
 
 def random_split(df: DataFrame, id_col: str, test_fraction: float = 0.2) -> DataFrame:

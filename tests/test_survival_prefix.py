@@ -71,6 +71,12 @@ def test_running_totals_blocked_equals_window(spark):
                                 blocks=8)
     assert "__rt_blk" in got._jdf.queryExecution().analyzed().toString()  # the blocked plan was taken
     assert {(r["g"], r["k"]): r["s"] for r in got.collect()} == expect
+    tot = prefix.running_totals(df, "k", {"s": "v"}, partition_by=["g"], single_task_rows=0, blocks=8,
+                                with_totals=True)
+    sums = {}
+    for g, _, v in data:
+        sums[g] = sums.get(g, 0) + v
+    assert all(r["s_total"] == sums[r["g"]] for r in tot.collect())
 
 
 def test_rank_rows_matches_row_number(spark):
