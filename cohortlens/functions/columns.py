@@ -139,4 +139,4 @@ def equal_width_label(bin_no: Column, lo: Column, hi: Column, k: int, digits: in
 def custom_order(c: str | Column, order: Sequence) -> Column:
     """Sort key following a caller-given order; unlisted values sort last (Q2)."""
     pos = F.array_position(F.array(*[F.lit(v) for v in order]), col(c))
-    return F.when(pos == 0, F.lit(None)).otherwise(pos)
+    return F.when(pos == 0, F.lit(None)).otherwise(pos).cast("int")

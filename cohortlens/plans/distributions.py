@@ -95,8 +95,8 @@ def pair_grid(spark, sf_dir):
 
 
 @query("reg_sse_sst_r2", sql="""
-WITH d AS (SELECT CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END AS y,
-                  CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0.0 END AS p FROM lineitem),
+WITH d AS (SELECT CAST(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS DOUBLE) AS y,
+                  CAST(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END AS DOUBLE) AS p FROM lineitem),
 a AS (SELECT SUM((y - p) * (y - p)) AS sse, VAR_POP(y) * COUNT(y) AS sst FROM d)
 SELECT round(sse, 6) AS sse, round(sst, 6) AS sst, round(CASE WHEN sst = 0 THEN 0 ELSE 1 - sse / sst END, 6) AS r2 FROM a""")
 def reg_sse_sst_r2(spark, sf_dir):
