@@ -38,9 +38,20 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+_SCANS: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy parquet scan of one driver table (filters and projections are pushed into it by Catalyst)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Lazy parquet scan of one driver table (filters and projections are pushed into it by Catalyst).
+
+    The scan DataFrame is reused per session and path, so repeated bindings skip the file listing and footer
+    read; it holds no data (the driver tables are read-only inputs)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    cached = _SCANS.get(key)
+    if cached is None or cached.sparkSession is not spark or spark.sparkContext._jsc is None:
+        cached = _SCANS[key] = spark.read.parquet(path)
+    return cached
 
 
 def round_half_away(c, digits: int = 6):
