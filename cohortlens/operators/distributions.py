@@ -29,25 +29,20 @@ def _clean(x: Column) -> Column:
     return F.nanvl(x, F.lit(None).cast("double"))
 
 
-def quantiles(df: DataFrame, value: str | Column, probs: Sequence[float], groups: Sequence[str] = (),
-              approx: bool = False, accuracy: int = 10000) -> DataFrame:
-    """Quantiles with linear interpolation (numpy's default, DuckDB ``quantile_cont``) per group.
-
-    Output: groups..., n, q0, q1, ... (one column per probability, in order).
-    """
+def _ranked_values(df: DataFrame, value: str | Column, groups: Sequence[str]) -> DataFrame:
+    """(groups, v, c, cum, n): one row per distinct value with its count, cumulative count and group size."""
     g = list(groups)
     v = df.select(*g, _clean(col(value)).alias("v")).where(F.col("v").isNotNull())
-    if approx:
-        return v.groupBy(*g).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.percentile_approx("v", list(probs), accuracy).alias("__q"),
-        ).select(*g, "n", *[F.col("__q")[i].alias(f"q{i}") for i in range(len(probs))])
-
     counts = v.groupBy(*g, "v").agg(F.count(F.lit(1)).alias("c"))
     probe = probe_order_key(v.select("v"), "v")
     # the group size rides along with the running totals: no join back to a per-group table
-    joined = running_totals(counts, "v", {"cum": "c"}, partition_by=g, probe=probe, with_totals=True
-                            ).withColumnRenamed("cum_total", "n")
+    return running_totals(counts, "v", {"cum": "c"}, partition_by=g, probe=probe, with_totals=True
+                          ).withColumnRenamed("cum_total", "n")
+
+
+def _pick(ranked: DataFrame, probs: Sequence[float], groups: Sequence[str]) -> DataFrame:
+    """Linear-interpolation quantiles from a ranked value table (order statistics picked by rank ranges)."""
+    g = list(groups)
     aggs = []
     for i, p in enumerate(probs):
         h = (F.col("n") - 1) * F.lit(float(p))
@@ -58,7 +53,7 @@ def quantiles(df: DataFrame, value: str | Column, probs: Sequence[float], groups
             F.min(F.when((prev <= hi) & (hi < F.col("cum")), F.col("v"))).alias(f"__hi{i}"),
             F.first(h - lo, ignorenulls=True).alias(f"__fr{i}"),
         ]
-    picked = joined.groupBy(*g).agg(F.max("n").alias("n"), *aggs)
+    picked = ranked.groupBy(*g).agg(F.max("n").alias("n"), *aggs)
     return picked.select(
         *g, "n",
         *[(F.col(f"__lo{i}") + F.col(f"__fr{i}") * (F.col(f"__hi{i}") - F.col(f"__lo{i}"))).alias(f"q{i}")
@@ -66,39 +61,55 @@ def quantiles(df: DataFrame, value: str | Column, probs: Sequence[float], groups
     )
 
 
+def quantiles(df: DataFrame, value: str | Column, probs: Sequence[float], groups: Sequence[str] = (),
+              approx: bool = False, accuracy: int = 10000) -> DataFrame:
+    """Quantiles with linear interpolation (numpy's default, DuckDB ``quantile_cont``) per group.
+
+    Output: groups..., n, q0, q1, ... (one column per probability, in order).
+    """
+    g = list(groups)
+    if approx:
+        v = df.select(*g, _clean(col(value)).alias("v")).where(F.col("v").isNotNull())
+        return v.groupBy(*g).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.percentile_approx("v", list(probs), accuracy).alias("__q"),
+        ).select(*g, "n", *[F.col("__q")[i].alias(f"q{i}") for i in range(len(probs))])
+    return _pick(_ranked_values(df, value, g), probs, g)
+
+
 def box_summary(df: DataFrame, value: str | Column, groups: Sequence[str] = (), approx: bool = False) -> DataFrame:
     """Box-plot table per group: n, min, q1, median, q3, max, whisker_low, whisker_high, outliers.
 
     Whiskers are the most extreme data points within 1.5 IQR of the quartiles (the seaborn/matplotlib rule);
-    ``outliers`` counts the points beyond them.
+    ``outliers`` counts the points beyond them.  The per-value table that gives the quartiles is reused for the
+    whiskers, so the data is grouped once; the quartiles (one row per group) meet it in a single join.
     """
     g = list(groups)
-    q = quantiles(df, value, QUARTILES, g, approx=approx).select(
-        *g, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
-    v = df.select(*g, _clean(col(value)).alias("v")).where(F.col("v").isNotNull())
-    counts = v.groupBy(*g, "v").agg(F.count(F.lit(1)).alias("c"))
+    if approx:
+        q = quantiles(df, value, QUARTILES, g, approx=True)
+        v = df.select(*g, _clean(col(value)).alias("v")).where(F.col("v").isNotNull())
+        per = v.groupBy(*g, "v").agg(F.count(F.lit(1)).alias("c"))
+    else:
+        per = _ranked_values(df, value, g)
+        q = _pick(per, QUARTILES, g)
+    q = q.select(*g, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     if g:
-        j = counts.join(q, [counts[k].eqNullSafe(q[k]) for k in g], "inner").select(
-            *[counts[k] for k in g], "v", "c", "q1", "q3")
+        qk = q.select(*[F.col(k).alias(f"__g_{k}") for k in g], "n", "q1", "median", "q3")
+        j = per.select(*g, "v", "c").join(qk, [per[k].eqNullSafe(qk[f"__g_{k}"]) for k in g], "inner")
     else:
-        j = counts.withColumn("q1", q.select("q1").scalar()).withColumn("q3", q.select("q3").scalar())
+        j = per.select("v", "c").select("*", *[q.select(c).scalar().alias(c) for c in ("n", "q1", "median", "q3")])
     iqr = F.col("q3") - F.col("q1")
     low_fence, high_fence = F.col("q1") - WHISKER * iqr, F.col("q3") + WHISKER * iqr
     inside = (F.col("v") >= low_fence) & (F.col("v") <= high_fence)
-    w = j.groupBy(*g).agg(
-        F.min("v").alias("min"), F.max("v").alias("max"),
+    return j.groupBy(*g).agg(
+        F.first("n").alias("n"),
+        F.min("v").alias("min"),
+        F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
+        F.max("v").alias("max"),
         F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
         F.sum(F.when(~inside, F.col("c")).otherwise(F.lit(0))).alias("outliers"),
     )
-    if g:
-        out = q.join(w, [q[k].eqNullSafe(w[k]) for k in g], "inner").select(
-            *[q[k] for k in g], "n", "min", "q1", "median", "q3", "max", "whisker_low", "whisker_high", "outliers")
-    else:
-        out = q.select("n", "q1", "median", "q3", *[w.select(c).scalar().alias(c) for c in
-                                                    ("min", "max", "whisker_low", "whisker_high", "outliers")])
-        out = out.select("n", "min", "q1", "median", "q3", "max", "whisker_low", "whisker_high", "outliers")
-    return out
 
 
 def _long_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -132,15 +132,23 @@ def rank_rows(
     """
     pb = list(partition_by)
     d = df.select("*", key.cast("double").alias("__rk_k"), tie.alias("__rk_t"))
+    key_order = F.col("__rk_k").asc() if ascending else F.col("__rk_k").desc()
+    tie_order = F.col("__rk_t").asc() if ascending else F.col("__rk_t").desc()
+    n_rows = d.count()
+    if n_rows <= SINGLE_TASK_ROWS:
+        # provably small input: one window over at most SINGLE_TASK_ROWS rows, no aggregation or join
+        w = Window.partitionBy(*pb).orderBy(key_order, tie_order)
+        extra = [F.count(F.lit(1)).over(Window.partitionBy(*pb)).alias(size_name)] if size_name else []
+        out = d.select("*", F.row_number().over(w).cast("long").alias(name), *extra)
+        return out.drop("__rk_k", "__rk_t")
     per = d.groupBy(*pb, "__rk_k").agg(F.count(F.lit(1)).alias("__rk_c"))
-    probe = probe_order_key(d.select("__rk_k"), "__rk_k")
+    probe = probe_order_key(d.select("__rk_k"), "__rk_k", single_task_rows=0)
     cum = running_totals(per, "__rk_k", {"__rk_cum": "__rk_c"}, partition_by=pb, ascending=ascending, probe=probe,
                          with_totals=size_name is not None)
     keys = pb + ["__rk_k"]
     extra = [F.col("__rk_cum_total").alias(size_name)] if size_name else []
     c = cum.select(*[F.col(k).alias(f"__rk_j{i}") for i, k in enumerate(keys)], "__rk_c", "__rk_cum", *extra)
     j = d.join(c, [d[k].eqNullSafe(c[f"__rk_j{i}"]) for i, k in enumerate(keys)], "inner")
-    tie_order = F.col("__rk_t").asc() if ascending else F.col("__rk_t").desc()
     within = Window.partitionBy(*pb, "__rk_k").orderBy(tie_order)
     rank = F.col("__rk_cum") - F.col("__rk_c") + F.when(F.col("__rk_c") == 1, F.lit(1)).otherwise(
         F.row_number().over(within))

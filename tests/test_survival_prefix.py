@@ -79,11 +79,17 @@ def test_running_totals_blocked_equals_window(spark):
     assert all(r["s_total"] == sums[r["g"]] for r in tot.collect())
 
 
-def test_rank_rows_matches_row_number(spark):
+@pytest.mark.parametrize("blocked", [False, True])
+def test_rank_rows_matches_row_number(spark, monkeypatch, blocked):
     rng = random.Random(13)
     data = [(i, rng.choice(["p", "q"]), float(rng.randint(0, 50))) for i in range(500)]
     df = spark.createDataFrame(data, "id int, g string, k double")
     w = Window.partitionBy("g").orderBy("k", "id")
     expect = {r["id"]: r["rn"] for r in df.select("id", F.row_number().over(w).alias("rn")).collect()}
-    got = prefix.rank_rows(df, F.col("k"), F.col("id"), ["g"])
-    assert {r["id"]: r["rank"] for r in got.collect()} == expect
+    sizes = {g: sum(1 for _, x, _ in data if x == g) for g in "pq"}
+    if blocked:
+        monkeypatch.setattr(prefix, "SINGLE_TASK_ROWS", 0)
+        monkeypatch.setattr(prefix, "DEFAULT_BLOCKS", 8)
+    got = prefix.rank_rows(df, F.col("k"), F.col("id"), ["g"], size_name="n").collect()
+    assert {r["id"]: r["rank"] for r in got} == expect
+    assert all(r["n"] == sizes[r["g"]] for r in got)
