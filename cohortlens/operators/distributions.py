@@ -217,11 +217,15 @@ def regression_errors(df: DataFrame, y: str | Column, p: str | Column) -> DataFr
                       .otherwise(1 - F.col("sse") / F.col("sst")).alias("r2"))
 
 
-def standardize(df: DataFrame, columns: Sequence[str], suffix: str = "") -> DataFrame:
+def standardize(df: DataFrame, columns: Sequence[str], suffix: str = "", fit_on: DataFrame | None = None
+                ) -> DataFrame:
     """(x − mean) / population sd for each column (scikit-learn's scaler; a zero sd leaves x − mean).
 
-    Means and sds are scalar subqueries over one aggregate, so the scaling stays lazy and distributed."""
-    stats = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)],
+    ``fit_on`` is the table the statistics are learned from (e.g. the training rows); by default the scaled table
+    itself, which is what the reference does when it scales before splitting (Q5).  Means and sds are scalar
+    subqueries over one aggregate, so the scaling stays lazy and distributed."""
+    src = df if fit_on is None else fit_on
+    stats = src.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)],
                    *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(columns)])
     out = df
     for i, c in enumerate(columns):

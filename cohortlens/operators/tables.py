@@ -129,6 +129,23 @@ def stratified_crosstab(df: DataFrame, stratum: str, strata: Sequence[str], rows
                     row_domain={"stratum": list(strata), rows: list(row_values)})
 
 
+def stratified_shares(df: DataFrame, stratum: str, strata: Sequence[str], column: str, column_values: Sequence,
+                      match: str = "exact") -> DataFrame:
+    """Outcome counts and shares per requested stratum (the per-stage pie variant), one pass:
+    (stratum, value, count, share); every (stratum, value) pair of the domains appears."""
+    x = F.col(stratum)
+    test = (lambda s: F.coalesce(F.regexp_like(x, s), F.lit(False))) if match == "regex" else \
+        (lambda s: F.coalesce(x == s, F.lit(False)))
+    exploded = df.select(F.explode(F.filter(F.array(*[F.lit(s) for s in strata]), test)).alias("stratum"),
+                         F.col(column).alias("value")).where(F.col("value").isNotNull())
+    counts = exploded.groupBy("stratum", "value").agg(F.count(F.lit(1)).alias("count"))
+    totals = counts.groupBy("stratum").agg(F.sum("count").alias("__t"))
+    dom = domain_frame(df.sparkSession, {"stratum": list(strata), "value": list(column_values)})
+    out = dom.join(counts, ["stratum", "value"], "left").join(totals, "stratum", "left")
+    return out.select("stratum", "value", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"),
+                      F.coalesce(F.try_divide(F.col("count").cast("double"), F.col("__t")), F.lit(0.0)).alias("share"))
+
+
 def ordered_by(df: DataFrame, c: str, order: Sequence) -> DataFrame:
     """Sort by a caller-given order of values; unlisted values last, then by value (Q2)."""
     return df.orderBy(F.asc_nulls_last(custom_order(c, order)), F.asc_nulls_last(c))

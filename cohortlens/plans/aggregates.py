@@ -144,6 +144,22 @@ def ct_stratified(spark, sf_dir):
                                   "o_orderstatus", ORDER_STATUSES, match="regex")
 
 
+@query("ct_stratified_shares", sql=f"""
+WITH oc AS (SELECT *, {_STAGE_SQL} AS stage FROM orders),
+s AS (SELECT unnest([{", ".join(f"'{s}'" for s in _STRATA)}]) AS stratum),
+x AS (SELECT s.stratum, oc.o_orderstatus AS value FROM oc JOIN s ON regexp_matches(oc.stage, s.stratum)
+      WHERE oc.o_orderstatus IS NOT NULL),
+c AS (SELECT stratum, value, COUNT(*) AS count FROM x GROUP BY 1, 2),
+t AS (SELECT stratum, SUM(count) AS tot FROM c GROUP BY 1),
+d AS (SELECT stratum, v AS value FROM s, (SELECT unnest([{", ".join(f"'{v}'" for v in ORDER_STATUSES)}]) AS v))
+SELECT d.stratum, d.value, COALESCE(c.count, 0) AS count,
+  round(COALESCE(CAST(c.count AS DOUBLE) / t.tot, 0.0), 6) AS share
+FROM d LEFT JOIN c USING (stratum, value) LEFT JOIN t USING (stratum)""")
+def ct_stratified_shares(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("stage", C.map_values("o_orderpriority", _STAGES))
+    return rounded(TB.stratified_shares(o, "stage", _STRATA, "o_orderstatus", ORDER_STATUSES, match="regex"))
+
+
 @query("ct_gender_stage", sql=f"""
 WITH oc AS (SELECT *, {_STAGE_SQL} AS stage FROM {ORDERS_CUSTOMERS_SQL})
 SELECT stage, {_pivot_sql('c_mktsegment', SEGMENTS)} FROM oc WHERE stage IS NOT NULL GROUP BY stage""")

@@ -173,3 +173,10 @@ def test_auc_blocked_path(spark, monkeypatch):
     neg = [s for y, s in data if y == 0]
     brute = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
     assert plain == pytest.approx(brute, abs=1e-12)
+
+
+def test_standardize_fit_scope(spark):  # Q5
+    df = spark.createDataFrame([(1.0, 0), (2.0, 0), (3.0, 1), (10.0, 1)], "x double, test int")
+    train = df.where("test = 0")
+    z = [r[0] for r in D.standardize(df, ["x"], suffix="_z", fit_on=train).orderBy("x").select("x_z").collect()]
+    assert z == pytest.approx([-1.0, 1.0, 3.0, 17.0])

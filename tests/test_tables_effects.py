@@ -143,3 +143,10 @@ def test_prepare_cohort_follows_study_rules(spark):
     assert (a["chemo_intensity"], a["radiation_intensity"], a["comorbidity_count"], a["metastasis"]) == (6, 10, 2, 1)
     assert a["outcome"] == 1 and b["outcome"] == 0  # NULL status counts as alive (N3)
     assert (b["Received_Surgery"], b["chemo_intensity"], b["comorbidity_count"], b["metastasis"]) == (0, 0, 0, 0)
+
+
+def test_stratified_shares_regex(spark, patients):
+    out = {(r["stratum"], r["value"]): (r["count"], r["share"]) for r in
+           TB.stratified_shares(patients, "s", ["I", "IV"], "st", ["Alive", "Deceased"], match="regex").collect()}
+    assert out[("I", "Alive")] == (3, 0.5) and out[("I", "Deceased")] == (3, 0.5)
+    assert out[("IV", "Alive")] == (1, pytest.approx(1 / 3)) and out[("IV", "Deceased")][0] == 2
