@@ -148,5 +148,6 @@ def test_prepare_cohort_follows_study_rules(spark):
 def test_stratified_shares_regex(spark, patients):
     out = {(r["stratum"], r["value"]): (r["count"], r["share"]) for r in
            TB.stratified_shares(patients, "s", ["I", "IV"], "st", ["Alive", "Deceased"], match="regex").collect()}
-    assert out[("I", "Alive")] == (3, 0.5) and out[("I", "Deceased")] == (3, 0.5)
+    # 'I' as a regex selects all seven staged rows: 4 alive, 3 deceased
+    assert out[("I", "Alive")] == (4, pytest.approx(4 / 7)) and out[("I", "Deceased")] == (3, pytest.approx(3 / 7))
     assert out[("IV", "Alive")] == (1, pytest.approx(1 / 3)) and out[("IV", "Deceased")][0] == 2
