@@ -68,11 +68,26 @@ def one_hot(df: DataFrame, columns: Sequence[str], drop_first: bool = True, max_
 
 # ---------------------------------------------------------------- estimators
 
-def assemble(df: DataFrame, features: Sequence[str], label: str, handle_invalid: str = "skip") -> DataFrame:
-    """(features vector, label double) next to the input columns; rows with NULL features are skipped or raise."""
+def assemble(df: DataFrame, features: Sequence[str], label: str, handle_invalid: str = "skip",
+             impute: str | None = None) -> DataFrame:
+    """(features vector, label double) next to the input columns.
+
+    Rows with NULL features are skipped (``handle_invalid='skip'``) or raise (``'error'``); ``impute='mean'`` or
+    ``'median'`` fills them first with Spark ML's ``Imputer`` (gradient boosting in the reference accepts missing
+    values, Spark vectors do not)."""
     d = df.withColumn("label", F.col(label).cast("double"))
-    va = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid=handle_invalid)
-    return va.transform(d)
+    cols = list(features)
+    if impute:
+        from pyspark.ml.feature import Imputer
+
+        d = d.select("*", *[F.col(c).cast("double").alias(f"__imp_{c}") for c in cols])
+        imp = Imputer(strategy=impute, inputCols=[f"__imp_{c}" for c in cols],
+                      outputCols=[f"__imputed_{c}" for c in cols]).fit(d)
+        d = imp.transform(d).drop(*[f"__imp_{c}" for c in cols])
+        cols = [f"__imputed_{c}" for c in cols]
+    va = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid=handle_invalid)
+    out = va.transform(d)
+    return out.drop(*[c for c in cols if c.startswith("__imputed_")])
 
 
 def logistic(C: float = 1.0, n_rows: int | None = None, max_iter: int = 100, tol: float = 1e-4,

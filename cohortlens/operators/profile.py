@@ -87,6 +87,12 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approx: bool = False,
     return agg.select(F.explode(F.array(*stack)).alias("r")).select("r.*")
 
 
+def constant_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns holding at most one distinct non-null value (Q6: such features are reported, never dropped
+    silently).  Output: (column, n_distinct)."""
+    return distinct_counts(df, columns).where(F.col("n_distinct") <= 1).select("column", "n_distinct")
+
+
 def is_empty(df: DataFrame) -> bool:
     """Empty-after-filter guard (reads at most one row)."""
     return df.isEmpty()

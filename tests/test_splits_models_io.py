@@ -123,3 +123,14 @@ def test_csv_missing_tokens_and_dispatch(spark):  # N1
     assert (res["before"], res["after"], res["removed"]) == (3, 2, 1)
     part = IO.write_run(df, os.path.join(d, "runs"), stamp="2025-06-25_19-10-00")
     assert part.endswith("run_ts=2025-06-25_19-10-00") and spark.read.parquet(part).count() == 3
+
+
+def test_assemble_impute_and_constant_columns(spark):
+    from cohortlens.operators.profile import constant_columns
+
+    df = spark.createDataFrame([(1.0, 5.0, 1), (None, 5.0, 0), (3.0, 5.0, 1)], "a double, b double, y int")
+    skipped = M.assemble(df, ["a", "b"], "y")
+    assert skipped.count() == 2
+    filled = M.assemble(df, ["a", "b"], "y", impute="mean").orderBy("y").collect()
+    assert [list(r["features"]) for r in filled][0] == [2.0, 5.0]
+    assert [r["column"] for r in constant_columns(df, ["a", "b", "y"]).collect()] == ["b"]
