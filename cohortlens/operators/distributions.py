@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import col
+from cohortlens.operators import prefix
 from cohortlens.operators.prefix import probe_order_key, running_totals
 
 # The quartile probabilities of a box plot and its whisker reach in IQRs.
@@ -29,15 +30,25 @@ def _clean(x: Column) -> Column:
     return F.nanvl(x, F.lit(None).cast("double"))
 
 
-def _ranked_values(df: DataFrame, value: str | Column, groups: Sequence[str]) -> DataFrame:
-    """(groups, v, c, cum, n): one row per distinct value with its count, cumulative count and group size."""
+# A per-group result (one row per group) is broadcast to the per-value rows only up to this many groups.
+SMALL_SIDE_ROWS = 100_000
+
+
+def _ranked_values(df: DataFrame, value: str | Column, groups: Sequence[str]
+                   ) -> tuple[DataFrame, DataFrame, int]:
+    """(groups, v, c) per distinct value; the same with cumulative count ``cum`` and group size ``n``; and an
+    estimate of the number of groups (one probe job measures both key counts)."""
     g = list(groups)
     v = df.select(*g, _clean(col(value)).alias("v")).where(F.col("v").isNotNull())
     counts = v.groupBy(*g, "v").agg(F.count(F.lit(1)).alias("c"))
-    probe = probe_order_key(v.select("v"), "v")
+    est = v.agg(F.approx_count_distinct("v").alias("nd"),
+                (F.approx_count_distinct(F.struct(*g)) if g else F.lit(1)).alias("ng")).first()
+    nd, n_groups = int(est["nd"] or 0), int(est["ng"] or 0)
+    probe = (nd, []) if nd <= prefix.SINGLE_TASK_ROWS else probe_order_key(v.select("v"), "v")
     # the group size rides along with the running totals: no join back to a per-group table
-    return running_totals(counts, "v", {"cum": "c"}, partition_by=g, probe=probe, with_totals=True
-                          ).withColumnRenamed("cum_total", "n")
+    ranked = running_totals(counts, "v", {"cum": "c"}, partition_by=g, probe=probe, with_totals=True
+                            ).withColumnRenamed("cum_total", "n")
+    return counts, ranked, n_groups
 
 
 def _pick(ranked: DataFrame, probs: Sequence[float], groups: Sequence[str]) -> DataFrame:
@@ -74,7 +85,7 @@ def quantiles(df: DataFrame, value: str | Column, probs: Sequence[float], groups
             F.count(F.lit(1)).alias("n"),
             F.percentile_approx("v", list(probs), accuracy).alias("__q"),
         ).select(*g, "n", *[F.col("__q")[i].alias(f"q{i}") for i in range(len(probs))])
-    return _pick(_ranked_values(df, value, g), probs, g)
+    return _pick(_ranked_values(df, value, g)[1], probs, g)
 
 
 def box_summary(df: DataFrame, value: str | Column, groups: Sequence[str] = (), approx: bool = False) -> DataFrame:
@@ -89,13 +100,22 @@ def box_summary(df: DataFrame, value: str | Column, groups: Sequence[str] = (),
         q = quantiles(df, value, QUARTILES, g, approx=True)
         v = df.select(*g, _clean(col(value)).alias("v")).where(F.col("v").isNotNull())
         per = v.groupBy(*g, "v").agg(F.count(F.lit(1)).alias("c"))
+        n_groups = int(v.agg(F.approx_count_distinct(F.struct(*g)) if g else F.lit(1)).first()[0] or 0)
     else:
-        per = _ranked_values(df, value, g)
-        q = _pick(per, QUARTILES, g)
+        # whiskers need only (value, count): join the pre-window counts (a reused exchange), not the ranked rows
+        per, ranked, n_groups = _ranked_values(df, value, g)
+        q = _pick(ranked, QUARTILES, g)
     q = q.select(*g, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     if g:
         qk = q.select(*[F.col(k).alias(f"__g_{k}") for k in g], "n", "q1", "median", "q3")
-        j = per.select(*g, "v", "c").join(qk, [per[k].eqNullSafe(qk[f"__g_{k}"]) for k in g], "inner")
+        per = per.select(*g, "v", "c")
+        if n_groups <= SMALL_SIDE_ROWS:
+            # checked size: one row per group, at most SMALL_SIDE_ROWS rows
+            qk = F.broadcast(qk)
+        else:
+            # many groups: shuffle both sides (never broadcast the per-value side); AQE splits a hot group
+            per = per.hint("merge")
+        j = per.join(qk, [per[k].eqNullSafe(qk[f"__g_{k}"]) for k in g], "inner")
     else:
         j = per.select("v", "c").select("*", *[q.select(c).scalar().alias(c) for c in ("n", "q1", "median", "q3")])
     iqr = F.col("q3") - F.col("q1")
