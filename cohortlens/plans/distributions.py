@@ -67,6 +67,20 @@ def dist_kde(spark, sf_dir):
         "point", F.col("point").cast("int")))
 
 
+@query("dist_violin", sql="""
+WITH v AS (SELECT event_type, value AS v FROM events WHERE value IS NOT NULL AND NOT isnan(value)),
+s AS (SELECT event_type, COUNT(*) AS n, STDDEV_SAMP(v) * POW(COUNT(*), -0.2) AS bw, MIN(v) AS mn, MAX(v) AS mx
+      FROM v GROUP BY event_type),
+g AS (SELECT unnest(range(0, 200)) AS point),
+c AS (SELECT event_type, v, COUNT(*) AS c FROM v GROUP BY event_type, v),
+pts AS (SELECT event_type, point, mn - 3 * bw + point * ((mx + 3 * bw) - (mn - 3 * bw)) / 199 AS x, bw, n FROM g, s)
+SELECT pts.event_type, CAST(point AS INTEGER) AS point, round(x, 6) AS x,
+  round(SUM(c * exp(-0.5 * ((x - v) / bw) * ((x - v) / bw))) / (n * bw * sqrt(2 * pi())), 6) AS density
+FROM pts JOIN c USING (event_type) GROUP BY pts.event_type, point, x, n, bw""")
+def dist_violin(spark, sf_dir):
+    return rounded(D.kde_by_group(table(spark, sf_dir, "events"), "value", ["event_type"], grid_size=200))
+
+
 _PAIRS = [(a, b) for i, a in enumerate(_NUM) for b in _NUM[i + 1:]]
 
 

@@ -194,3 +194,18 @@ def test_kde_truncated_reach_is_exact(spark):
     assert len(out) == 200
     assert [r["density"] for r in out] == pytest.approx(dens, rel=1e-9, abs=1e-300)
     assert sum(1 for r in out if r["density"] == 0.0) > 100
+
+
+def test_kde_by_group_matches_per_group_formula(spark):
+    rng = random.Random(31)
+    data = [("a", round(rng.gauss(0, 1), 3)) for _ in range(300)] + [("b", round(rng.gauss(50, 5), 3)) for _ in range(200)]
+    df = spark.createDataFrame(data, "g string, x double")
+    out = D.kde_by_group(df, "x", ["g"], grid_size=50).collect()
+    for g in "ab":
+        arr = np.array([x for k, x in data if k == g])
+        bw = arr.std(ddof=1) * len(arr) ** (-0.2)
+        grid = np.linspace(arr.min() - 3 * bw, arr.max() + 3 * bw, 50)
+        dens = [np.exp(-0.5 * ((p - arr) / bw) ** 2).sum() / (len(arr) * bw * math.sqrt(2 * math.pi)) for p in grid]
+        got = sorted((r for r in out if r["g"] == g), key=lambda r: r["point"])
+        assert [r["x"] for r in got] == pytest.approx(list(grid))
+        assert [r["density"] for r in got] == pytest.approx(dens, rel=1e-9)
