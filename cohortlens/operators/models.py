@@ -11,7 +11,6 @@ from __future__ import annotations
 import time
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -286,7 +285,3 @@ def param_table(model_or_estimator) -> DataFrame:
     return SparkSession.getActiveSession().createDataFrame(rows, "param string, value string")
 
 
-def pipeline(*stages) -> Pipeline:
-    return Pipeline(stages=list(stages))
-
-
