@@ -8,9 +8,10 @@ runs in one task.  ``running_totals`` avoids that:
 2. A cheap probe (one column-pruned HyperLogLog aggregate) returns an approximate distinct count of the order key.
    If it is within ``single_task_rows`` (1M keys: about a second for one task) every window partition is provably
    small and a plain window is used.  Only otherwise a second probe fetches approximate quantiles of the key.
-3. Otherwise the order key is cut into contiguous blocks by the quantile boundaries (at most ``blocks`` literal
-   values, a fixed bound), block totals are aggregated, turned into offsets by a window over at most ``blocks`` rows
-   per partition key, joined back on (partition keys, block) and added to a window running inside each block.
+3. Otherwise the order key is cut into contiguous blocks by the quantile boundaries (literal values: 256 blocks,
+   or about one block per BLOCK_KEYS keys up to MAX_BLOCKS), block totals are aggregated, turned into offsets by a
+   window over at most that many rows per partition key, joined back on (partition keys, block) and added to a
+   window running inside each block.
 
 Block numbers are a pure function of the order value and literal boundaries, so a re-executed task recomputes the
 same blocks after an executor loss.
@@ -25,6 +26,13 @@ from pyspark.sql import functions as F
 
 SINGLE_TASK_ROWS = 1_000_000
 DEFAULT_BLOCKS = 256
+# Above DEFAULT_BLOCKS the block count grows with the key count (about BLOCK_KEYS keys per block, at most
+# MAX_BLOCKS), so each task of the inner window stays bounded however large the table grows.
+BLOCK_KEYS = 1_000_000
+MAX_BLOCKS = 16_384
+# Up to this many boundaries the block number is a balanced CASE tree (whole-stage codegen); beyond it Spark ML's
+# Bucketizer does the binary search in the JVM.
+CASE_TREE_BOUNDS = 255
 
 
 def _bucket_of(value: Column, bounds: Sequence[float]) -> Column:
@@ -40,15 +48,29 @@ def _bucket_of(value: Column, bounds: Sequence[float]) -> Column:
     return build(0, len(bounds))
 
 
+def _with_blocks(d: DataFrame, order_col: str, bounds: Sequence[float], name: str) -> DataFrame:
+    """Add the block number of ``order_col``: a monotone, deterministic function of the value."""
+    if len(bounds) <= CASE_TREE_BOUNDS:
+        return d.withColumn(name, _bucket_of(F.col(order_col).cast("double"), bounds))
+    from pyspark.ml.feature import Bucketizer
+
+    tmp = f"{name}__x"
+    b = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol=tmp, outputCol=name,
+                   handleInvalid="keep")
+    out = b.transform(d.withColumn(tmp, F.col(order_col).cast("double")))
+    return out.withColumn(name, F.col(name).cast("int")).drop(tmp)
+
+
 def probe_order_key(df: DataFrame, order_col: str, blocks: int | None = None,
                     single_task_rows: int | None = None) -> tuple[int, list[float]]:
     """Approximate distinct count of a numeric column and, when that exceeds the single-task bound, the block
     boundaries (approximate quantiles; at most ``blocks - 1`` values).  One small job, two when large."""
-    blocks = DEFAULT_BLOCKS if blocks is None else blocks
     single_task_rows = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
     nd = int(df.agg(F.approx_count_distinct(order_col).alias("nd")).first()["nd"] or 0)
     if nd <= single_task_rows:
         return nd, []
+    if blocks is None:
+        blocks = min(MAX_BLOCKS, max(DEFAULT_BLOCKS, -(-nd // BLOCK_KEYS)))
     probs = [i / blocks for i in range(1, blocks)]
     q = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10 * blocks).alias("q")).first()["q"]
     return nd, sorted({float(x) for x in (q or []) if x is not None})
@@ -74,7 +96,6 @@ def running_totals(
     ``<out>_total``, the partition's grand total, without a join back to a per-group table.
     """
     single_task_rows = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
-    blocks = DEFAULT_BLOCKS if blocks is None else blocks
     pb = list(partition_by)
     exprs = {k: (F.col(v) if isinstance(v, str) else v) for k, v in sums.items()}
     tmp = {k: f"__rt_v_{i}" for i, k in enumerate(exprs)}
@@ -93,7 +114,7 @@ def running_totals(
             out = out.select("*", *[F.sum(tmp[k]).over(wt).alias(f"{k}_total") for k in exprs])
         return out.drop(*tmp.values())
 
-    d = d.withColumn("__rt_blk", _bucket_of(F.col(order_col).cast("double"), bounds))
+    d = _with_blocks(d, order_col, bounds, "__rt_blk")
     tot = d.groupBy(*pb, "__rt_blk").agg(*[F.sum(tmp[k]).alias(f"__rt_t_{i}") for i, k in enumerate(exprs)])
     blk_order = F.col("__rt_blk").asc() if ascending else F.col("__rt_blk").desc()
     wo = Window.partitionBy(*pb).orderBy(blk_order).rowsBetween(Window.unboundedPreceding, -1)

@@ -93,3 +93,18 @@ def test_rank_rows_matches_row_number(spark, monkeypatch, blocked):
     got = prefix.rank_rows(df, F.col("k"), F.col("id"), ["g"], size_name="n").collect()
     assert {r["id"]: r["rank"] for r in got} == expect
     assert all(r["n"] == sizes[r["g"]] for r in got)
+
+
+def test_running_totals_many_blocks_use_bucketizer(spark, monkeypatch):
+    rng = random.Random(37)
+    data = [(rng.choice(["a", "b"]), float(i), rng.randint(0, 9)) for i in range(4000)]
+    df = spark.createDataFrame(data, "g string, k double, v int")
+    w = Window.partitionBy("g").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    expect = {(r["g"], r["k"]): r["s"] for r in df.select("g", "k", F.sum("v").over(w).alias("s")).collect()}
+    monkeypatch.setattr(prefix, "BLOCK_KEYS", 10)  # ~400 blocks: more bounds than the CASE tree takes
+    seen = []
+    original = prefix._with_blocks
+    monkeypatch.setattr(prefix, "_with_blocks", lambda d, c, b, n: seen.append(len(b)) or original(d, c, b, n))
+    got = prefix.running_totals(df, "k", {"s": "v"}, partition_by=["g"], single_task_rows=0)
+    assert seen and seen[0] > prefix.CASE_TREE_BOUNDS
+    assert {(r["g"], r["k"]): r["s"] for r in got.collect()} == expect
