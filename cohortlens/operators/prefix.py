@@ -150,6 +150,8 @@ def rank_rows(
 
     ``key`` must be numeric.  Rows are counted per distinct key, the counts are turned into running totals, and
     only rows sharing one key value are ordered by ``tie`` among themselves (a window over a single key value).
+    Callers rank by near-unique keys (a 52-bit hash prefix, an id, a count), so a tie group stays small; a key
+    with massive ties should be refined (e.g. by adding a hash of the tie column) before ranking.
     """
     pb = list(partition_by)
     d = df.select("*", key.cast("double").alias("__rk_k"), tie.alias("__rk_t"))
