@@ -24,11 +24,11 @@ def _as_col(c: str | Column) -> Column:
 
 def km_event_table(df: DataFrame, time: str | Column, event: str | Column, group: Sequence[str] = ()) -> DataFrame:
     """Per (group, distinct time): events, censored, removed and subjects at risk (time ≥ t)."""
-    return _event_table(df, time, event, group)[0]
+    return _event_table(df, time, event, group)[0].drop("at_risk_total")
 
 
 def _event_table(df, time, event, group):
-    """Event table, the key probe and the pre-window per-time aggregate (reused by callers)."""
+    """Event table (with ``at_risk_total``, the group size) and the key probe."""
     gcols = list(group)
     subj = df.select(*gcols, _as_col(time).cast("double").alias("time"), _as_col(event).cast("long").alias("__e"))
     subj = subj.where(F.col("time").isNotNull())
@@ -37,8 +37,9 @@ def _event_table(df, time, event, group):
         F.count(F.lit(1)).alias("removed"),
     )
     probe = probe_order_key(subj.select("time"), "time")
-    cum = running_totals(et, "time", {"at_risk": "removed"}, partition_by=gcols, ascending=False, probe=probe)
-    return cum.withColumn("censored", F.col("removed") - F.col("events")), probe, et
+    cum = running_totals(et, "time", {"at_risk": "removed"}, partition_by=gcols, ascending=False, probe=probe,
+                         with_totals=True)
+    return cum.withColumn("censored", F.col("removed") - F.col("events")), probe
 
 
 def km_curve(
@@ -56,7 +57,7 @@ def km_curve(
     group whose first observed time is positive.
     """
     gcols = list(group)
-    et, probe, per_time = _event_table(df, time, event, gcols)
+    et, probe = _event_table(df, time, event, gcols)
     d, n = F.col("events"), F.col("at_risk")
     terms = et.select(
         "*",
@@ -69,30 +70,33 @@ def km_curve(
         probe=probe,
     )
     s = F.when(F.col("__cz") > 0, F.lit(0.0)).otherwise(F.exp("__cl"))
-    curve = cum.select(*gcols, "time", "at_risk", "events", "censored", s.alias("survival"), F.col("__cgw").alias("__v"))
+    curve = cum.select(*gcols, "time", "at_risk", "events", "censored", s.alias("survival"),
+                       F.col("__cgw").alias("__v"), "at_risk_total")
     ls = F.log("survival")
     inner = F.log(-ls)
     spread = z * F.sqrt("__v") / ls
     defined = (F.col("survival") > 0) & (F.col("survival") < 1)
+    cols = [*gcols, "time", "at_risk", "events", "censored", "survival", "ci_lower", "ci_upper"]
     curve = curve.select(
         *gcols, "time", "at_risk", "events", "censored", "survival",
         F.when(defined, F.exp(-F.exp(inner - spread))).alias("ci_lower"),
         F.when(defined, F.exp(-F.exp(inner + spread))).alias("ci_upper"),
+        "at_risk_total",
     )
-    if origin:
-        first = per_time.groupBy(*gcols).agg(F.sum("removed").alias("at_risk"), F.min("time").alias("__tmin"))
-        start = first.where(F.col("__tmin") > 0).select(
-            *gcols,
-            F.lit(0.0).alias("time"),
-            "at_risk",
-            F.lit(0).cast("long").alias("events"),
-            F.lit(0).cast("long").alias("censored"),
-            F.lit(1.0).alias("survival"),
-            F.lit(None).cast("double").alias("ci_lower"),
-            F.lit(None).cast("double").alias("ci_upper"),
-        )
-        curve = curve.unionByName(start)
-    return curve
+    if not origin:
+        return curve.select(*cols)
+    # The (time 0, survival 1) row is emitted next to each group's first time (where everyone is still at risk)
+    # by exploding a one- or two-element array: same pass, no union with a second scan of the subjects.
+    this = F.struct(*[F.col(c) for c in cols])
+    start = F.struct(
+        *[F.col(c) for c in gcols],
+        F.lit(0.0).alias("time"), F.col("at_risk_total").alias("at_risk"), F.lit(0).cast("long").alias("events"),
+        F.lit(0).cast("long").alias("censored"), F.lit(1.0).alias("survival"),
+        F.lit(None).cast("double").alias("ci_lower"), F.lit(None).cast("double").alias("ci_upper"),
+    )
+    first = (F.col("at_risk") == F.col("at_risk_total")) & (F.col("time") > 0)
+    rows = F.when(first, F.array(start, this)).otherwise(F.array(this))
+    return curve.select(F.explode(rows).alias("__r")).select("__r.*")
 
 
 def km_at(curve: DataFrame, t0: float, group: Sequence[str] = ()) -> DataFrame:
