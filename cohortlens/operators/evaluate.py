@@ -87,18 +87,18 @@ def _score_table(df: DataFrame, label, score, positive=1):
                   col(score).cast("double").alias("score")).where(F.col("score").isNotNull())
     per = d.groupBy("score").agg(F.sum("y").cast("long").alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
     probe = probe_order_key(d.select("score"), "score")
-    cum = running_totals(per, "score", {"cum_pos": "pos", "cum_neg": "neg"}, ascending=False, probe=probe)
+    cum = running_totals(per, "score", {"cum_pos": "pos", "cum_neg": "neg"}, ascending=False, probe=probe,
+                         with_totals=True)
     return per, cum
 
 
 def roc_points(df: DataFrame, label: str | Column, score: str | Column, positive=1) -> DataFrame:
     """ROC curve points (threshold, fpr, tpr) at every distinct score, plus the (0, 0) origin with threshold
     +∞ (``roc_curve(drop_intermediate=False)``)."""
-    per, cum = _score_table(df, label, score, positive)
-    tot = per.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    P, N = tot.select("P").scalar(), tot.select("N").scalar()
-    pts = cum.select(F.col("score").alias("threshold"), _ratio(F.col("cum_neg"), N).alias("fpr"),
-                     _ratio(F.col("cum_pos"), P).alias("tpr"))
+    _, cum = _score_table(df, label, score, positive)
+    # class totals ride along with the running counts: no second aggregation over the scores
+    pts = cum.select(F.col("score").alias("threshold"), _ratio(F.col("cum_neg"), F.col("cum_neg_total")).alias("fpr"),
+                     _ratio(F.col("cum_pos"), F.col("cum_pos_total")).alias("tpr"))
     origin = df.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"),
                                              F.lit(0.0).alias("tpr"))
     return pts.unionByName(origin)
