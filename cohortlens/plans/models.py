@@ -67,7 +67,16 @@ def _fit_three(spark, sf_dir):
     return out
 
 
-@query("mdl_assemble")
+@query("mdl_assemble", sql="""
+SELECT doc_id, CAST(quality AS DOUBLE) AS label, [
+  CAST(n_chars AS DOUBLE),
+  CAST(len(regexp_split_to_array(trim(text, ' '), '\\s+')) AS DOUBLE),
+  CAST(len(string_split(text, chr(10))) AS DOUBLE),
+  length(regexp_replace(text, '[^0-9]', '', 'g')) / GREATEST(length(text), 1),
+  length(regexp_replace(text, '[^A-Z]', '', 'g')) / GREATEST(length(text), 1),
+  CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END, CASE WHEN lang = 'es' THEN 1.0 ELSE 0.0 END,
+  CASE WHEN lang = 'fr' THEN 1.0 ELSE 0.0 END]::DOUBLE[] AS features
+FROM documents JOIN labels USING (doc_id)""")
 def mdl_assemble(spark, sf_dir):
     d = M.assemble(doc_table(spark, sf_dir), FEATURES, "quality")
     return d.select("doc_id", "label", vector_to_array("features").alias("features"))
