@@ -27,13 +27,16 @@ def test_registry_covers_survey_inventory():
 
 
 def _norm(v):
+    if isinstance(v, list):
+        return tuple(_norm(x) for x in v)
     if isinstance(v, float):
         return "nan" if math.isnan(v) else round(v, 6)
     return v
 
 
 @pytest.mark.parametrize("name", ["km_by_group", "effect_treatment", "ct_stratified", "evl_auc", "dist_box",
-                                  "spl_stratified", "ct_binned", "snk_report"])
+                                  "spl_stratified", "ct_binned", "snk_report", "study_effects", "dist_violin",
+                                  "mdl_assemble"])
 def test_against_duckdb(spark, name):
     df = E.queries()[name](spark, SF)
     con = duckdb.connect()
