@@ -134,3 +134,17 @@ def test_assemble_impute_and_constant_columns(spark):
     filled = M.assemble(df, ["a", "b"], "y", impute="mean").orderBy("y").collect()
     assert [list(r["features"]) for r in filled][0] == [2.0, 5.0]
     assert [r["column"] for r in constant_columns(df, ["a", "b", "y"]).collect()] == ["b"]
+
+
+def test_run_folders_append_and_formats_round_trip(spark):
+    d = tempfile.mkdtemp(prefix="cl-io-", dir="/tmp")
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    base = os.path.join(d, "runs")
+    first = IO.write_run(df, base, stamp="2025-01-01_00-00-00")
+    second = IO.write_run(df.where("id = 1"), base, stamp="2025-01-02_00-00-00")
+    assert spark.read.parquet(first).count() == 2 and spark.read.parquet(second).count() == 1
+    assert spark.read.parquet(base).select("run_ts").distinct().count() == 2
+    for ext in ("json", "orc", "parquet", "csv"):
+        p = IO.write_table(df, os.path.join(d, f"t.{ext}"))
+        back = IO.read_table(spark, p, schema="id int, v string")
+        assert sorted(tuple(r) for r in back.collect()) == [(1, "a"), (2, "b")]
