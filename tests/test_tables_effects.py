@@ -151,3 +151,9 @@ def test_stratified_shares_regex(spark, patients):
     # 'I' as a regex selects all seven staged rows: 4 alive, 3 deceased
     assert out[("I", "Alive")] == (4, pytest.approx(4 / 7)) and out[("I", "Deceased")] == (3, pytest.approx(3 / 7))
     assert out[("IV", "Alive")] == (1, pytest.approx(1 / 3)) and out[("IV", "Deceased")][0] == 2
+
+
+@pytest.mark.parametrize("k", [1, 10, 11, 500])
+def test_more_distinct_than_is_exact_at_the_threshold(spark, k):
+    df = spark.range(5000).select((F.col("id") % k).alias("x"))
+    assert TB.more_distinct_than(df, "x", 10) is (k > 10)
