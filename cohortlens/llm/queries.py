@@ -2,16 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, quality, urls
+from . import decontaminate, licences, pieces, pii, quality, tokens, toxicity, urls
+
+TOKENIZERS = os.environ.get("COHORTLENS_TOKENIZERS", "/opt/tokenizers")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(_table(spark, sf_dir, "documents"), tokens.read_ranks(f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"))
+
+
+def op2_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_pieces(_table(spark, sf_dir, "documents"), pieces.read_vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages"), urls.rules_table(spark, urls.RULES))
 
@@ -20,6 +38,26 @@ def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(_table(spark, sf_dir, "documents"), licences.known_digests(spark))
 
 
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(_table(spark, sf_dir, "documents"))
+
+
+def held_out(doc_id) -> Column:
+    """Rows that labels are never learnt from."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
+
+
+def toxicity_machine(spark: SparkSession, sf_dir: str) -> toxicity.Machine:
+    """Fitted on labelled documents that aren't held out."""
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull())
+    return toxicity.fit(_table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(_table(spark, sf_dir, "documents"), toxicity_machine(spark, sf_dir))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = quality.ledger(_table(spark, sf_dir, "documents"))
     base = F.col("failed_bits").bitwiseAND(F.lit(quality.POLICIES["base"].mask)) != 0
@@ -28,9 +66,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "kept", "failed_bits")
 
 
-QUERIES = {f.__name__: f for f in (op4_url_filter, op5_licence_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_piece_encoding, op3_decontamination, op4_url_filter, op5_licence_scan,
+                                     op8_pseudonyms, op9_toxicity, op10_quality_rules)}
 
 ORACLES = {
+    "op3_decontamination": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win
+       FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS r(i) WHERE len(w) > 0),
+dw AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS win FROM d, (SELECT DISTINCT k FROM bw), unnest(range(1, len(w) - k + 2)) AS r(i)),
+h AS (SELECT doc_id, i, k, item_id FROM dw JOIN (SELECT DISTINCT item_id, k, win FROM bw) USING (k, win)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM h) GROUP BY 1),
+its AS (SELECT doc_id, count(DISTINCT item_id) AS n, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS ids FROM h GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(its.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN its USING (doc_id)""",
     "op4_url_filter": r"""
 WITH u AS (
   SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0
