@@ -27,6 +27,8 @@ class Settings:
     buckets: int = 1 << 18
     prefixes: tuple[int, ...] = (4, 5)
     terms: int = 2048
+    rows_per_term: int = 8
+    positive_weight: float = 4.0
     factors: int = 4
     epochs: int = 30
     batch: int = 256
@@ -98,7 +100,9 @@ def train(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, settings: Sett
     hit = np.bincount(bucket, weights=label[row], minlength=settings.buckets)
     expected = both * positive / n
     chi = np.where(both >= min(3, n), (hit - expected) ** 2 / np.maximum(expected * (1 - both / n), 1e-9), 0.0)
-    best = np.lexsort((np.arange(settings.buckets), -chi))[: settings.terms]
+    # few rows can't tell many terms apart
+    most = min(settings.terms, max(16, n // settings.rows_per_term))
+    best = np.lexsort((np.arange(settings.buckets), -chi))[:most]
     best = np.sort(best[chi[best] > 0])
     slot[best] = np.arange(len(best))
     known = slot[bucket] >= 0
@@ -116,7 +120,7 @@ def train(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, settings: Sett
             take_ = np.repeat(first[docs] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
             s, r = slots[take_], np.repeat(np.arange(len(docs)), counts)
             raw, sums = _raw(len(docs), r, s, bias, weight, factor)
-            error = (sigmoid(raw) - label[docs]) / len(docs)
+            error = (sigmoid(raw) - label[docs]) * np.where(label[docs] == 1, settings.positive_weight, 1.0) / len(docs)
             seen_b += error.sum() ** 2
             bias -= settings.rate * error.sum() / np.sqrt(seen_b)
             if not len(s):
