@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.session import ensure_checkpoint_dir
@@ -41,6 +43,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Parquet tables in the shared checkpoint folder that live as long as one operator's eager work.
+
+    Written tables survive the loss of executors; leaving the ``with`` block deletes them."""
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark = spark
+        self.path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a table and read it back."""
+        df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+
+def same_row(a: str, b: str) -> Column:
+    """Rows of one (id, key), null ids included."""
+    return F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.key") == F.col(f"{b}.key"))
+
+
 def shuffle_width(df: DataFrame) -> int:
     """Number of shuffle partitions that the session is set to; it follows the cluster and the input."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, pieces, pii, quality, tokens, toxicity, urls
+from . import decontaminate, licences, pieces, pii, quality, repeats, tokens, toxicity, urls
 
 TOKENIZERS = os.environ.get("COHORTLENS_TOKENIZERS", "/opt/tokenizers")
 
@@ -38,6 +38,11 @@ def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(_table(spark, sf_dir, "documents"), licences.known_digests(spark))
 
 
+def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(_table(spark, sf_dir, "documents"))
 
@@ -67,7 +72,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_piece_encoding, op3_decontamination, op4_url_filter, op5_licence_scan,
-                                     op8_pseudonyms, op9_toxicity, op10_quality_rules)}
+                                     op7_repeated_bytes, op8_pseudonyms, op9_toxicity, op10_quality_rules)}
 
 ORACLES = {
     "op3_decontamination": r"""
