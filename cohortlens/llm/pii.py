@@ -305,3 +305,19 @@ def pseudonymize(docs: DataFrame, *, key: bytes = DEFAULT_KEY, undo: bool = Fals
                                              names=["id", "text", "n_replaced", "kinds"])
 
     return rows.mapInArrow(work, f"id {kind}, text string, n_replaced long, kinds string").withColumnRenamed("id", id_col)
+
+
+def replace(docs: DataFrame, *, key: bytes = DEFAULT_KEY, undo: bool = False, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, with pseudonyms in their texts (see ``pseudonymize``)."""
+    names = docs.columns
+    at = names.index(text_col)
+    placed = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        change = Pseudonymizer(key, undo)
+        for batch in batches:
+            field = batch.schema.field(at)
+            texts = [change(t)[0] if t else t for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, field, pa.array(texts, field.type))
+
+    return placed.mapInArrow(work, placed.schema).toDF(*names)
