@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,13 +64,15 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray) -> t
     return s, e, np.searchsorted(offsets, s, side="right") - 1
 
 
-_POWERS: dict[tuple[int, int], np.ndarray] = {}
+def _kept() -> dict:
+    """Tables that live as long as the worker process, which outlives the task functions sent to it."""
+    return sys.modules.setdefault("cohortlens_tables", types.ModuleType("cohortlens_tables")).__dict__
 
 
 def _powers(base: int, n: int) -> np.ndarray:
     """base**0 ... base**n modulo 2**64, kept for slices of usual length."""
     size = max(SLICE_BYTES, n) + 1
-    got = _POWERS.get((base, size))
+    got = _kept().get((base, size))
     if got is None:
         got = np.empty(size, np.uint64)
         got[0], m = 1, 1
@@ -77,7 +81,7 @@ def _powers(base: int, n: int) -> np.ndarray:
             got[m:m + k] = got[:k] * np.uint64(pow(base, m, 1 << 64))
             m += k
         if size == SLICE_BYTES + 1:
-            _POWERS[base, size] = got
+            _kept()[base, size] = got
     return got
 
 

@@ -59,8 +59,7 @@ def held_out(doc_id) -> Column:
 
 def toxicity_machine(spark: SparkSession, sf_dir: str) -> toxicity.Machine:
     """Fitted on labelled documents that aren't held out."""
-    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull())
-    return toxicity.fit(_table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.fit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

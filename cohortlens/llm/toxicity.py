@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import RangeHash, byte_class, byte_values, lists, mix, text_slices, word_bounds
-from .common import take
+from .common import cut, take
 
 #: Letters of any script as UTF-8 bytes; A-Z are folded when hashed.
 LETTERS = byte_class(lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
@@ -20,8 +20,8 @@ LETTERS = byte_class(lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
 
 @dataclass(frozen=True)
 class Settings:
-    """``max_rows`` bounds the labelled rows that the machine is fitted on (the rest of the labelled rows, chosen by
-    a hash of the text, stay unused); everything else covers all rows."""
+    """``max_rows`` bounds the labelled rows that the machine is fitted on (those with the lowest hash of their id; the
+    others stay unused); everything else covers all rows."""
 
     max_rows: int = 20_000
     buckets: int = 1 << 18
@@ -83,11 +83,20 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500)))
 
 
+def telling_terms(both: np.ndarray, hit: np.ndarray, n: int, positive: int, settings: Settings) -> np.ndarray:
+    """Buckets with the highest chi-square against the label (the lower one on a tie), from the rows and the
+    positive rows of each; few rows can't tell many terms apart."""
+    expected = both * positive / max(n, 1)
+    chi = np.where(both >= min(3, n), (hit - expected) ** 2 / np.maximum(expected * (1 - both / max(n, 1)), 1e-9), 0.0)
+    most = min(settings.terms, max(16, n // settings.rows_per_term))
+    best = np.lexsort((np.arange(settings.buckets), -chi))[:most]
+    return np.sort(best[chi[best] > 0])
+
+
 def train(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, settings: Settings) -> Machine:
     """Fit a machine to distinct (row, bucket) pairs, sorted by row, and 0/1 labels.
 
-    The terms are the buckets with the highest chi-square against the label (lower bucket on a tie).  Logistic
-    loss, Adagrad over shuffled batches, L2 decay; the same input gives the same machine.  Without rows, or with
+    Only ``telling_terms`` count.  Logistic loss, Adagrad over shuffled batches, L2 decay; the same input gives the same machine.  Without rows, or with
     one label only, the machine is the (smoothed) share of that label."""
     n = len(label)
     share = (label.sum() + 0.5) / (n + 1.0)
@@ -96,14 +105,8 @@ def train(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, settings: Sett
     positive = int(label.sum())
     if not len(row) or positive in (0, n):
         return Machine(settings, slot, bias, np.zeros(0), np.zeros((0, settings.factors)))
-    both = np.bincount(bucket, minlength=settings.buckets).astype(float)
-    hit = np.bincount(bucket, weights=label[row], minlength=settings.buckets)
-    expected = both * positive / n
-    chi = np.where(both >= min(3, n), (hit - expected) ** 2 / np.maximum(expected * (1 - both / n), 1e-9), 0.0)
-    # few rows can't tell many terms apart
-    most = min(settings.terms, max(16, n // settings.rows_per_term))
-    best = np.lexsort((np.arange(settings.buckets), -chi))[:most]
-    best = np.sort(best[chi[best] > 0])
+    both = np.bincount(bucket, minlength=settings.buckets)
+    best = telling_terms(both, np.bincount(bucket, weights=label[row], minlength=settings.buckets), n, positive, settings)
     slot[best] = np.arange(len(best))
     known = slot[bucket] >= 0
     row, slots = row[known], slot[bucket[known]]
@@ -146,14 +149,27 @@ def score_texts(machine: Machine, data: np.ndarray, offsets: np.ndarray) -> np.n
     return sigmoid(_raw(n, row, slots, machine.bias, machine.weight, machine.factor)[0])
 
 
-def fit(labelled: DataFrame, settings: Settings = Settings(), *, text_col: str = "text", label_col: str = "toxic") -> Machine:
-    """Fit on labelled rows: at most ``settings.max_rows`` of them, those with the lowest hash of text and label.
+def sample(labels: DataFrame, settings: Settings, *, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
+    """(id, label) of at most ``settings.max_rows`` rows with a label of 0 or 1, those with the lowest hash of the id.
+
+    A share of the hash range that holds half as many more is cut out first, so what is ordered is bounded too."""
+    rows = take(labels, id=id_col, label=label_col).where("label IN (0, 1) AND id IS NOT NULL").select("id", F.col("label").cast("int").alias("label"))
+    n = rows.count()
+    share = min(1.0, (1.5 * settings.max_rows + 1000) / max(n, 1))
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 32))
+    return rows.where(place < int(share * (1 << 32))).orderBy(place, "id", "label").limit(settings.max_rows)
+
 
-    Rows with a null label are left out; null texts count as empty; repeated rows count each time they are among
-    the chosen.  Terms are extracted by Spark tasks; the bounded sample of them is fitted on the driver."""
-    rows = take(labelled, text=text_col, label=label_col).where("label IN (0, 1)")
-    rows = rows.select("text", F.col("label").cast("int").alias("label"))
-    sample = (rows.orderBy(F.xxhash64("text", "label"), "label").limit(settings.max_rows))
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), *, id_col: str = "doc_id", text_col: str = "text",
+        label_col: str = "toxic") -> Machine:
+    """Fit on a bounded ``sample`` of the labels and the documents of their ids.
+
+    Null labels, null ids and labels of unknown ids are left out; null texts count as empty; an id with more rows
+    or labels counts each time.  Spark extracts and counts terms; the driver gets counts per hash bucket and, of
+    the sampled rows, the telling terms."""
+    chosen = sample(labels, settings, id_col=id_col, label_col=label_col)
+    # at most max_rows small rows
+    rows = take(docs, id=id_col, text=text_col).join(F.broadcast(chosen), "id").select("text", "label")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,13 +179,31 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), *, text_col: str =
                     [lists(bucket, np.bincount(row, minlength=hi - lo), pa.int32()), batch.column("label").slice(lo, hi - lo)],
                     names=["terms", "label"])
 
-    found = sample.mapInArrow(work, "terms array<int>, label int").toArrow()
-    terms = found.column("terms").combine_chunks()
-    if isinstance(terms, pa.ChunkedArray):
-        terms = pa.concat_arrays(terms.chunks) if terms.num_chunks else pa.array([], pa.list_(pa.int32()))
-    counts = np.diff(terms.offsets.to_numpy()) if len(terms) else np.zeros(0, np.int64)
-    label = np.array(found.column("label").to_pylist(), float)
-    return train(np.repeat(np.arange(len(counts)), counts), terms.flatten().to_numpy(zero_copy_only=False).astype(np.int64), label, settings)
+    found = cut(rows.mapInArrow(work, "terms array<int>, label int"))
+    n, positive = found.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    counts = found.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("both"), F.sum("label").alias("hit")).toArrow()
+    both, hit = np.zeros(settings.buckets), np.zeros(settings.buckets)
+    both[counts["term"].to_numpy()] = counts["both"].to_numpy()
+    hit[counts["term"].to_numpy()] = counts["hit"].to_numpy()
+    known = np.zeros(settings.buckets, bool)
+    known[telling_terms(both, hit, n, positive, settings)] = True
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = batch.column("terms")
+            flat, sizes = terms.flatten().to_numpy(zero_copy_only=False), np.diff(terms.offsets.to_numpy())
+            keep = shared.value[flat]
+            row = np.repeat(np.arange(len(sizes)), sizes)[keep]
+            yield pa.RecordBatch.from_arrays([lists(flat[keep], np.bincount(row, minlength=len(sizes)), pa.int32()), batch.column("label")],
+                                             names=["terms", "label"])
+
+    got = found.mapInArrow(telling, "terms array<int>, label int").toArrow()
+    records = sorted(zip(got["terms"].to_pylist(), got["label"].to_pylist(), strict=True))
+    label = np.array([y for _, y in records], float)
+    sizes = np.array([len(t) for t, _ in records], np.int64)
+    flat = np.array([x for t, _ in records for x in t], np.int64)
+    return train(np.repeat(np.arange(len(sizes)), sizes), flat, label, settings)
 
 
 def score(docs: DataFrame, machine: Machine, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
