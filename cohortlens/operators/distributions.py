@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import col
-from cohortlens.operators import prefix
-from cohortlens.operators.prefix import probe_order_key, running_totals
+from cohortlens.operators.prefix import BLOCK, running_totals, with_blocks
 
 # The quartile probabilities of a box plot and its whisker reach in IQRs.
 QUARTILES = (0.25, 0.5, 0.75)
@@ -37,18 +36,14 @@ SMALL_SIDE_ROWS = 100_000
 def _ranked_values(df: DataFrame, value: str | Column, groups: Sequence[str]
                    ) -> tuple[DataFrame, DataFrame, int]:
     """(groups, v, c) per distinct value; the same with cumulative count ``cum`` and group size ``n``; and an
-    estimate of the number of groups (one probe job measures both key counts)."""
+    estimate of the number of groups.  The counts are checkpointed in blocks, so both tables read them back."""
     g = list(groups)
     v = df.select(*g, _clean(col(value)).alias("v")).where(F.col("v").isNotNull())
-    counts = v.groupBy(*g, "v").agg(F.count(F.lit(1)).alias("c"))
-    est = v.agg(F.approx_count_distinct("v").alias("nd"),
-                (F.approx_count_distinct(F.struct(*g)) if g else F.lit(1)).alias("ng")).first()
-    nd, n_groups = int(est["nd"] or 0), int(est["ng"] or 0)
-    probe = (nd, []) if nd <= prefix.SINGLE_TASK_ROWS else probe_order_key(v.select("v"), "v")
+    counts = with_blocks(v.groupBy(*g, "v").agg(F.count(F.lit(1)).alias("c")), ["v"], g)
+    n_groups = int(counts.agg(F.approx_count_distinct(F.struct(*g))).first()[0] or 0) if g else 1
     # the group size rides along with the running totals: no join back to a per-group table
-    ranked = running_totals(counts, "v", {"cum": "c"}, partition_by=g, probe=probe, with_totals=True
-                            ).withColumnRenamed("cum_total", "n")
-    return counts, ranked, n_groups
+    ranked = running_totals(counts, "v", {"cum": "c"}, partition_by=g, with_totals=True).withColumnRenamed("cum_total", "n")
+    return counts.drop(BLOCK), ranked, n_groups
 
 
 def _pick(ranked: DataFrame, probs: Sequence[float], groups: Sequence[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import col
-from cohortlens.operators.prefix import probe_order_key, running_totals
+from cohortlens.operators.prefix import running_totals
 from cohortlens.operators.tables import domain_frame
 
 
@@ -83,19 +83,19 @@ def classification_report(df: DataFrame, label: str | Column, prediction: str |
 
 
 def _score_table(df: DataFrame, label, score, positive=1):
+    """Positives and negatives per distinct score, with running counts from the top; rows without a label or a score
+    are left out, as in the other metrics."""
     d = df.select(F.when(col(label) == F.lit(positive), 1).otherwise(0).alias("y"),
-                  col(score).cast("double").alias("score")).where(F.col("score").isNotNull())
+                  F.nanvl(col(score).cast("double"), F.lit(None).cast("double")).alias("score"), col(label).alias("__label"))
+    d = d.where(F.col("score").isNotNull() & F.col("__label").isNotNull())
     per = d.groupBy("score").agg(F.sum("y").cast("long").alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    probe = probe_order_key(d.select("score"), "score")
-    cum = running_totals(per, "score", {"cum_pos": "pos", "cum_neg": "neg"}, ascending=False, probe=probe,
-                         with_totals=True)
-    return per, cum
+    return running_totals(per, "score", {"cum_pos": "pos", "cum_neg": "neg"}, ascending=False, with_totals=True)
 
 
 def roc_points(df: DataFrame, label: str | Column, score: str | Column, positive=1) -> DataFrame:
     """ROC curve points (threshold, fpr, tpr) at every distinct score, plus the (0, 0) origin with threshold
     +∞ (``roc_curve(drop_intermediate=False)``)."""
-    _, cum = _score_table(df, label, score, positive)
+    cum = _score_table(df, label, score, positive)
     # class totals ride along with the running counts: no second aggregation over the scores
     pts = cum.select(F.col("score").alias("threshold"), _ratio(F.col("cum_neg"), F.col("cum_neg_total")).alias("fpr"),
                      _ratio(F.col("cum_pos"), F.col("cum_pos_total")).alias("tpr"))
@@ -106,12 +106,12 @@ def roc_points(df: DataFrame, label: str | Column, score: str | Column, positive
 
 def roc_auc(df: DataFrame, label: str | Column, score: str | Column, positive=1) -> DataFrame:
     """One row (auc, positives, negatives): trapezoid area under the ROC curve, exact with tied scores."""
-    per, cum = _score_table(df, label, score, positive)
+    cum = _score_table(df, label, score, positive)
     # each negative at score s is beaten by the positives above s and ties with half of those at s
     agg = cum.agg(
-        F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2.0)).alias("w"),
+        F.sum(F.col("neg").cast("double") * (F.col("cum_pos") - F.col("pos") / 2.0)).alias("w"),
         F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"),
     )
-    return agg.select(_ratio(F.col("w"), F.col("positives") * F.col("negatives")).alias("auc"),
+    return agg.select(_ratio(F.col("w"), F.col("positives").cast("double") * F.col("negatives").cast("double")).alias("auc"),
                       F.col("positives").cast("long").alias("positives"),
                       F.col("negatives").cast("long").alias("negatives"))

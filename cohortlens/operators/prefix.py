@@ -2,19 +2,14 @@
 
 Cumulative statistics (Kaplan–Meier at-risk counts and products, ROC counts, exact quantile ranks) need a running
 sum over an ordered key.  A window with no partition, or partitioned by a group that may hold a third of all rows,
-runs in one task.  ``running_totals`` avoids that:
-
-1. The input is already aggregated to one row per (partition keys, order key).
-2. A cheap probe (one column-pruned HyperLogLog aggregate) returns an approximate distinct count of the order key.
-   If it is within ``single_task_rows`` (1M keys: about a second for one task) every window partition is provably
-   small and a plain window is used.  Only otherwise a second probe fetches approximate quantiles of the key.
-3. Otherwise the order key is cut into contiguous blocks by the quantile boundaries (literal values: 256 blocks,
-   or about one block per BLOCK_KEYS keys up to MAX_BLOCKS), block totals are aggregated, turned into offsets by a
-   window over at most that many rows per partition key, joined back on (partition keys, block) and added to a
-   window running inside each block.
-
-Block numbers are a pure function of the order value and literal boundaries, so a re-executed task recomputes the
-same blocks after an executor loss.
+runs in one task.  ``running_totals`` has one way for every size:
+
+1. The table (for most callers one row per partition keys and order key) is range-partitioned on (partition keys,
+   order key).  Every row notes the number of its range, its block, and the result is checkpointed, so that a
+   re-executed task finds the same blocks.  Blocks follow the data: there are ``spark.sql.shuffle.partitions`` of
+   them at most, of about equal size, a hot group spans many, NULL is an ordinary (lowest) key.
+2. Block totals are turned into offsets by a window over at most one row per block and partition key.
+3. A window inside each block gives the running sums, the block's offset is added.
 """
 
 from __future__ import annotations
@@ -24,115 +19,62 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SINGLE_TASK_ROWS = 1_000_000
-DEFAULT_BLOCKS = 256
-# Above DEFAULT_BLOCKS the block count grows with the key count (about BLOCK_KEYS keys per block, at most
-# MAX_BLOCKS), so each task of the inner window stays bounded however large the table grows.
-BLOCK_KEYS = 1_000_000
-MAX_BLOCKS = 16_384
-# Up to this many boundaries the block number is a balanced CASE tree (whole-stage codegen); beyond it Spark ML's
-# Bucketizer does the binary search in the JVM.
-CASE_TREE_BOUNDS = 255
-
-
-def _bucket_of(value: Column, bounds: Sequence[float]) -> Column:
-    """Number of boundaries strictly below ``value`` as a balanced CASE tree (log2(len) comparisons per row)."""
-
-    def build(lo: int, hi: int) -> Column:
-        # result lies in [lo, hi]; bounds[lo:hi] decide it
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value > F.lit(bounds[mid]), build(mid + 1, hi)).otherwise(build(lo, mid))
-
-    return build(0, len(bounds))
-
+from cohortlens.session import ensure_checkpoint_dir
 
-def _with_blocks(d: DataFrame, order_col: str, bounds: Sequence[float], name: str) -> DataFrame:
-    """Add the block number of ``order_col``: a monotone, deterministic function of the value."""
-    if len(bounds) <= CASE_TREE_BOUNDS:
-        return d.withColumn(name, _bucket_of(F.col(order_col).cast("double"), bounds))
-    from pyspark.ml.feature import Bucketizer
+BLOCK = "__rt_blk"
+# Number of ranges; None leaves it to spark.sql.shuffle.partitions and adaptive coalescing.
+BLOCKS: int | None = None
 
-    tmp = f"{name}__x"
-    b = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol=tmp, outputCol=name,
-                   handleInvalid="keep")
-    out = b.transform(d.withColumn(tmp, F.col(order_col).cast("double")))
-    return out.withColumn(name, F.col(name).cast("int")).drop(tmp)
 
-
-def probe_order_key(df: DataFrame, order_col: str, blocks: int | None = None,
-                    single_task_rows: int | None = None) -> tuple[int, list[float]]:
-    """Approximate distinct count of a numeric column and, when that exceeds the single-task bound, the block
-    boundaries (approximate quantiles; at most ``blocks - 1`` values).  One small job, two when large."""
-    single_task_rows = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
-    nd = int(df.agg(F.approx_count_distinct(order_col).alias("nd")).first()["nd"] or 0)
-    if nd <= single_task_rows:
-        return nd, []
-    if blocks is None:
-        blocks = min(MAX_BLOCKS, max(DEFAULT_BLOCKS, -(-nd // BLOCK_KEYS)))
-    probs = [i / blocks for i in range(1, blocks)]
-    q = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10 * blocks).alias("q")).first()["q"]
-    return nd, sorted({float(x) for x in (q or []) if x is not None})
+def with_blocks(df: DataFrame, order_cols: Sequence[str], partition_by: Sequence[str] = ()) -> DataFrame:
+    """``df`` range-partitioned on (partition keys, order columns) with the block number, checkpointed."""
+    keys = [F.col(c).asc_nulls_first() for c in (*partition_by, *order_cols)]
+    dealt = df.repartitionByRange(BLOCKS, *keys) if BLOCKS else df.repartitionByRange(*keys)
+    ensure_checkpoint_dir(df.sparkSession)
+    return dealt.withColumn(BLOCK, F.spark_partition_id()).checkpoint()
 
 
 def running_totals(
     df: DataFrame,
-    order_col: str,
+    order_cols: str | Sequence[str],
     sums: Mapping[str, str | Column],
     partition_by: Sequence[str] = (),
     ascending: bool = True,
-    probe: tuple[int, list[float]] | None = None,
-    probe_df: DataFrame | None = None,
-    single_task_rows: int | None = None,
-    blocks: int | None = None,
     with_totals: bool = False,
+    keep_blocks: bool = False,
 ) -> DataFrame:
-    """Add inclusive running sums ``out = sum(expr)`` in ``order_col`` order within ``partition_by``.
+    """Add inclusive running sums ``out = sum(expr)`` in the order of ``order_cols`` within ``partition_by``.
 
-    ``df`` must hold one row per (partition_by, order_col).  ``sums`` maps output names to expressions (or column
-    names).  ``probe`` may carry a previously computed (distinct count, boundaries) pair; else it is computed on
-    ``probe_df`` (default ``df``), ideally a cheap column-pruned scan of the raw key.  ``with_totals`` adds
-    ``<out>_total``, the partition's grand total, without a join back to a per-group table.
+    (partition_by, order_cols) should be unique per row; among equal rows the order is arbitrary.  ``sums`` maps
+    output names to expressions (or column names).  NULL keys come first in ascending order.  ``with_totals`` adds
+    ``<out>_total``, the partition's grand total.  A table that already carries blocks of the same keys (see
+    ``with_blocks`` and ``keep_blocks``) is not dealt again.
     """
-    single_task_rows = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
+    order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     pb = list(partition_by)
+    if BLOCK not in df.columns:
+        df = with_blocks(df, order_cols, pb)
     exprs = {k: (F.col(v) if isinstance(v, str) else v) for k, v in sums.items()}
     tmp = {k: f"__rt_v_{i}" for i, k in enumerate(exprs)}
     d = df.select("*", *[e.alias(tmp[k]) for k, e in exprs.items()])
-    order = F.col(order_col).asc() if ascending else F.col(order_col).desc()
-
-    if probe is None:
-        probe = probe_order_key(probe_df if probe_df is not None else df, order_col, blocks, single_task_rows)
-    n_distinct, bounds = probe
-
-    if n_distinct <= single_task_rows or not bounds:
-        w = Window.partitionBy(*pb).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = d.select("*", *[F.sum(tmp[k]).over(w).alias(k) for k in exprs])
-        if with_totals:
-            wt = Window.partitionBy(*pb)
-            out = out.select("*", *[F.sum(tmp[k]).over(wt).alias(f"{k}_total") for k in exprs])
-        return out.drop(*tmp.values())
-
-    d = _with_blocks(d, order_col, bounds, "__rt_blk")
-    tot = d.groupBy(*pb, "__rt_blk").agg(*[F.sum(tmp[k]).alias(f"__rt_t_{i}") for i, k in enumerate(exprs)])
-    blk_order = F.col("__rt_blk").asc() if ascending else F.col("__rt_blk").desc()
+    order = [F.col(c).asc_nulls_first() if ascending else F.col(c).desc_nulls_last() for c in order_cols]
+    blk_order = F.col(BLOCK).asc() if ascending else F.col(BLOCK).desc()
+    tot = d.groupBy(*pb, BLOCK).agg(*[F.sum(tmp[k]).alias(f"__rt_t_{i}") for i, k in enumerate(exprs)])
     wo = Window.partitionBy(*pb).orderBy(blk_order).rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(
         *[F.col(c).alias(f"__rt_k_{c}") for c in pb],
-        F.col("__rt_blk").alias("__rt_kblk"),
+        F.col(BLOCK).alias("__rt_kblk"),
         *[F.coalesce(F.sum(f"__rt_t_{i}").over(wo), F.lit(0)).alias(f"__rt_o_{i}") for i, _ in enumerate(exprs)],
         *[F.sum(f"__rt_t_{i}").over(Window.partitionBy(*pb)).alias(f"__rt_T_{i}") for i, _ in enumerate(exprs)],
     )
-    cond = [d[c].eqNullSafe(off[f"__rt_k_{c}"]) for c in pb] + [d["__rt_blk"] == off["__rt_kblk"]]
+    cond = [d[c].eqNullSafe(off[f"__rt_k_{c}"]) for c in pb] + [d[BLOCK] == off["__rt_kblk"]]
     j = d.join(off, cond, "inner")
-    wi = Window.partitionBy(*pb, "__rt_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = j.select(
-        *[d[c] for c in df.columns],
+    wi = Window.partitionBy(*pb, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return j.select(
+        *[d[c] for c in df.columns if keep_blocks or c != BLOCK],
         *[(F.col(f"__rt_o_{i}") + F.sum(tmp[k]).over(wi)).alias(k) for i, k in enumerate(exprs)],
         *([F.col(f"__rt_T_{i}").alias(f"{k}_total") for i, k in enumerate(exprs)] if with_totals else []),
     )
-    return out
 
 
 def rank_rows(
@@ -144,36 +86,13 @@ def rank_rows(
     name: str = "rank",
     size_name: str | None = None,
 ) -> DataFrame:
-    """Add a 1-based ``row_number`` in (key, tie) order within ``partition_by`` without a global sort.
+    """Add a 1-based ``row_number`` in (key, tie) order within ``partition_by`` without a global sort: rows are
+    counted by ``running_totals``, which splits ties and hot partitions over blocks.
 
-    ``size_name`` also adds the partition's row count (a by-product of the running totals, no extra join).
-
-    ``key`` must be numeric.  Rows are counted per distinct key, the counts are turned into running totals, and
-    only rows sharing one key value are ordered by ``tie`` among themselves (a window over a single key value).
-    Callers rank by near-unique keys (a 52-bit hash prefix, an id, a count), so a tie group stays small; a key
-    with massive ties should be refined (e.g. by adding a hash of the tie column) before ranking.
-    """
-    pb = list(partition_by)
-    d = df.select("*", key.cast("double").alias("__rk_k"), tie.alias("__rk_t"))
-    key_order = F.col("__rk_k").asc() if ascending else F.col("__rk_k").desc()
-    tie_order = F.col("__rk_t").asc() if ascending else F.col("__rk_t").desc()
-    n_rows = d.count()
-    if n_rows <= SINGLE_TASK_ROWS:
-        # provably small input: one window over at most SINGLE_TASK_ROWS rows, no aggregation or join
-        w = Window.partitionBy(*pb).orderBy(key_order, tie_order)
-        extra = [F.count(F.lit(1)).over(Window.partitionBy(*pb)).alias(size_name)] if size_name else []
-        out = d.select("*", F.row_number().over(w).cast("long").alias(name), *extra)
-        return out.drop("__rk_k", "__rk_t")
-    per = d.groupBy(*pb, "__rk_k").agg(F.count(F.lit(1)).alias("__rk_c"))
-    probe = probe_order_key(d.select("__rk_k"), "__rk_k", single_task_rows=0)
-    cum = running_totals(per, "__rk_k", {"__rk_cum": "__rk_c"}, partition_by=pb, ascending=ascending, probe=probe,
+    ``size_name`` also adds the partition's row count."""
+    d = df.select("*", key.alias("__rk_k"), tie.alias("__rk_t"))
+    out = running_totals(d, ["__rk_k", "__rk_t"], {name: F.lit(1).cast("long")}, partition_by, ascending,
                          with_totals=size_name is not None)
-    keys = pb + ["__rk_k"]
-    extra = [F.col("__rk_cum_total").alias(size_name)] if size_name else []
-    c = cum.select(*[F.col(k).alias(f"__rk_j{i}") for i, k in enumerate(keys)], "__rk_c", "__rk_cum", *extra)
-    j = d.join(c, [d[k].eqNullSafe(c[f"__rk_j{i}"]) for i, k in enumerate(keys)], "inner")
-    within = Window.partitionBy(*pb, "__rk_k").orderBy(tie_order)
-    rank = F.col("__rk_cum") - F.col("__rk_c") + F.when(F.col("__rk_c") == 1, F.lit(1)).otherwise(
-        F.row_number().over(within))
-    out = j.withColumn(name, rank.cast("long"))
-    return out.drop("__rk_k", "__rk_t", "__rk_c", "__rk_cum", *[f"__rk_j{i}" for i in range(len(keys))])
+    if size_name:
+        out = out.withColumnRenamed(f"{name}_total", size_name)
+    return out.drop("__rk_k", "__rk_t")

@@ -1,73 +1,123 @@
 """Repeatable train/test splits, folds and class weights.
 
 Order comes from ``md5(id)`` (the same hex in Spark and DuckDB), so splits are reproducible on any engine and
-after any task retry.  Exact cut sizes need ranks; ranks are cumulative counts over the numeric md5 prefix taken
-from ``running_totals`` (blocked when large), so no step ranks the whole table — or a whole class — in one task.
+after any task retry.  A split needs one cutoff key per class, k folds need k − 1: the cutoffs are found on counts per
+key and applied to the rows as a comparison, so the table itself is neither shuffled nor ranked.  Rows that share
+an id stay together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.operators.prefix import rank_rows
+from cohortlens.operators.prefix import running_totals
+
+# Hex digits of the hash that rows are first counted by: 65,536 counts per class.
+PREFIX_DIGITS = 4
+# A table of one row per class is broadcast up to this many classes.
+SMALL_CLASSES = 100_000
+
+
+def _hash_key(id_col: str) -> Column:
+    """Hash order of an id; a missing id comes first."""
+    return F.coalesce(F.md5(F.col(id_col).cast("string")), F.lit(""))
+
+
+def _reached(run: DataFrame, cum: Column, n: Column, ends: Callable[[Column], list[Column]], *columns: str | Column) -> DataFrame:
+    """Rows of running counts (``cum`` up to and with the row's ``c``) at which end ranks are reached, with their j."""
+    hits = F.array(*[F.when((cum - F.col("c") < e) & (e <= cum), F.lit(j)) for j, e in enumerate(ends(n))])
+    return run.select(*columns, F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("j"))
+
+
+def _cutoffs(df: DataFrame, key: Column, ends: Callable[[Column], list[Column]], labels: Sequence[str], hashed: bool
+             ) -> DataFrame:
+    """(labels, __cut0, __cut1, ...): the key at each end rank, one row per class."""
+    d = df.select(*labels, key.alias("__key"))
+    per_key = F.count(F.lit(1)).alias("c")
+    if hashed:
+        # count by prefix, then by whole key within the few prefixes that hold a cutoff
+        short = F.substring("__key", 1, PREFIX_DIGITS)
+        run = running_totals(d.groupBy(*labels, short.alias("__short")).agg(per_key), "__short", {"__cum": "c"}, labels, with_totals=True)
+        inside = _reached(run, F.col("__cum"), F.col("__cum_total"), ends, *labels, "__short",
+                          (F.col("__cum") - F.col("c")).alias("__ahead"), F.col("__cum_total").alias("__n"))
+        inside = inside.select(*[F.col(c).alias(f"__l_{c}") for c in labels], "__short", "__ahead", "__n").distinct()
+        part = d.join(inside, [d[c].eqNullSafe(inside[f"__l_{c}"]) for c in labels] + [short == inside["__short"]])
+        group = [*labels, "__short", "__ahead", "__n"]
+        run = running_totals(part.groupBy(*[d[c] for c in labels], "__short", "__ahead", "__n", "__key").agg(per_key), "__key",
+                             {"__cum": "c"}, group)
+        found = _reached(run, F.col("__ahead") + F.col("__cum"), F.col("__n"), ends, *labels, "__key")
+    else:
+        run = running_totals(d.groupBy(*labels, "__key").agg(per_key), "__key", {"__cum": "c"}, labels, with_totals=True)
+        found = _reached(run, F.col("__cum"), F.col("__cum_total"), ends, *labels, "__key")
+    m = len(ends(F.lit(1)))
+    return found.groupBy(*labels).agg(*[F.max(F.when(F.col("j") == j, F.col("__key"))).alias(f"__cut{j}") for j in range(m)])
 
 
-def _hash_key(id_col: str) -> tuple[Column, Column]:
-    h = F.md5(F.col(id_col).cast("string"))
-    # 52 bits of the digest fit a double exactly; the full hex breaks the (rare) ties
-    return F.conv(F.substring(h, 1, 13), 16, 10).cast("double"), h
+def _with_cutoffs(df: DataFrame, key: Column, ends: Callable[[Column], list[Column]], label: str | None, hashed: bool,
+                  use: Callable[[list[Column], Column], Column], name: str) -> DataFrame:
+    """Add ``name``, computed from a row's key and its class's cutoffs."""
+    labels = [label] if label else []
+    cuts = _cutoffs(df, key, ends, labels, hashed)
+    m = len(ends(F.lit(1)))
+    if not label:
+        one = [cuts.select(f"__cut{j}").scalar() for j in range(m)]
+        return df.withColumn(name, use(one, key))
+    c = cuts.withColumnRenamed(label, "__label")
+    side = F.broadcast(c) if cuts.count() <= SMALL_CLASSES else c
+    j = df.join(side, df[label].eqNullSafe(side["__label"]), "left")
+    return j.select(df["*"], use([F.col(f"__cut{i}") for i in range(m)], key).alias(name))
 
 
-def ranked(df: DataFrame, id_col: str, partition_by: Sequence[str] = (), order: str = "hash") -> DataFrame:
-    """Add ``__rank`` (1-based) in md5(id) order (``order='hash'``) or id order (``'id'``) within
-    ``partition_by``, and ``__n`` the partition size."""
-    pb = list(partition_by)
-    if order == "hash":
-        key, tie = _hash_key(id_col)
-    else:
-        key, tie = F.col(id_col).cast("double"), F.col(id_col)
-    return rank_rows(df, key, tie, pb, name="__rank", size_name="__n")
+def _test_end(fraction: float) -> Callable[[Column], list[Column]]:
+    return lambda n: [F.ceil(n * F.lit(fraction))]
 
 
 def random_split(df: DataFrame, id_col: str, test_fraction: float = 0.2) -> DataFrame:
     """Add ``is_test`` (0/1): the first ceil(fraction·n) rows in md5(id) order are the test set
-    (scikit-learn's test size rule)."""
-    r = ranked(df, id_col)
-    return r.withColumn("is_test", (F.col("__rank") <= F.ceil(F.col("__n") * F.lit(test_fraction))).cast("int")
-                        ).drop("__rank", "__n")
+    (scikit-learn's test size rule); rows that share the last id come along."""
+    return _with_cutoffs(df, _hash_key(id_col), _test_end(test_fraction), None, True,
+                         lambda cut, key: F.coalesce(key <= cut[0], F.lit(False)).cast("int"), "is_test")
 
 
 def stratified_split(df: DataFrame, id_col: str, label: str, test_fraction: float = 0.3) -> DataFrame:
     """Add ``is_test`` keeping class shares: within each class the first ceil(fraction·n_class) rows by md5(id).
     (scikit-learn rounds the total instead, so each class may differ by one row.)"""
-    r = ranked(df, id_col, [label])
-    return r.withColumn("is_test", (F.col("__rank") <= F.ceil(F.col("__n") * F.lit(test_fraction))).cast("int")
-                        ).drop("__rank", "__n")
+    return _with_cutoffs(df, _hash_key(id_col), _test_end(test_fraction), label, True,
+                         lambda cut, key: F.coalesce(key <= cut[0], F.lit(False)).cast("int"), "is_test")
+
 
+def _fold_ends(k: int) -> Callable[[Column], list[Column]]:
+    """Last ranks of the first k − 1 folds: the first n % k folds hold one extra row (unshuffled KFold sizes)."""
 
-def _ntile(rank: Column, n: Column, k: int) -> Column:
-    """0-based ``ntile(k)``: the first n % k folds hold one extra row (unshuffled KFold sizes)."""
-    q = F.floor(n / k)
-    rem = n - q * k
-    big = rem * (q + 1)
-    return F.when(rank <= big, F.floor((rank - 1) / (q + 1))).otherwise(
-        rem + F.floor((rank - 1 - big) / q)).cast("int")
+    def ends(n: Column) -> list[Column]:
+        q = F.floor(n / k)
+        rem = n - q * k
+        return [F.lit(j) * q + F.least(F.lit(j), rem) for j in range(1, k)]
+
+    return ends
 
 
 def kfold(df: DataFrame, id_col: str, k: int = 5, label: str | None = None, order: str = "id") -> DataFrame:
-    """Add ``fold`` (0..k-1): contiguous folds in id order (``KFold(shuffle=False)``), or per class when
-    ``label`` is given (stratified folds; sizes may differ by one row from scikit-learn)."""
-    r = ranked(df, id_col, [label] if label else [], order=order)
-    return r.withColumn("fold", _ntile(F.col("__rank"), F.col("__n"), k)).drop("__rank", "__n")
+    """Add ``fold`` (0..k-1): contiguous folds in id order (``KFold(shuffle=False)``; ids of any ordered type, a
+    missing id first), or in md5(id) order (``order='hash'``), or per class when ``label`` is given (stratified
+    folds; sizes may differ by one row from scikit-learn)."""
+    if k < 2:
+        raise ValueError("k must be at least 2")
+    # a struct with a flag gives a missing id a place among the cutoffs
+    key = _hash_key(id_col) if order == "hash" else F.struct(F.col(id_col).isNotNull().alias("a"), F.col(id_col).alias("b"))
+    return _with_cutoffs(df, key, _fold_ends(k), label, order == "hash", lambda cuts, x: sum(
+        (F.coalesce(x > c, F.lit(False)).cast("int") for c in cuts), F.lit(0)), "fold")
 
 
 def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """Add ``n / (n_classes · n_c)`` per row (``class_weight='balanced'``)."""
+    """Add ``n / (n_classes · n_c)`` per row (``class_weight='balanced'``); NULL counts as a class.
+
+    One row per class joins the rows; it is broadcast where the class count, checked first, is small."""
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
-    total = per.agg(F.sum("__nc")).scalar()
-    k = per.agg(F.count(F.lit(1))).scalar()
-    w = per.select(label, (total / (k * F.col("__nc"))).alias(name))
-    return df.join(w, df[label].eqNullSafe(w[label]), "left").select(df["*"], w[name])
+    total, k = per.agg(F.coalesce(F.sum("__nc"), F.lit(0)), F.count(F.lit(1))).first()
+    w = per.select(F.col(label).alias("__label"), (F.lit(float(total)) / (F.lit(k) * F.col("__nc"))).alias(name))
+    side = F.broadcast(w) if k <= SMALL_CLASSES else w
+    return df.join(side, df[label].eqNullSafe(side["__label"]), "left").select(df["*"], side[name])

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.operators.prefix import probe_order_key, running_totals
+from cohortlens.operators.prefix import BLOCK, running_totals, with_blocks
 
 # Fixed value: two-sided 95 % normal quantile used by the log-log confidence band (norm.ppf(0.975)).
 Z_95 = 1.959963984540054
@@ -23,23 +23,24 @@ def _as_col(c: str | Column) -> Column:
 
 
 def km_event_table(df: DataFrame, time: str | Column, event: str | Column, group: Sequence[str] = ()) -> DataFrame:
-    """Per (group, distinct time): events, censored, removed and subjects at risk (time ≥ t)."""
-    return _event_table(df, time, event, group)[0].drop("at_risk_total")
+    """Per (group, distinct time): events, censored, removed and subjects at risk (time ≥ t).
+
+    A NULL event counts as censored (N3), a NULL or NaN time is left out."""
+    return _event_table(df, time, event, group).drop("at_risk_total", BLOCK)
 
 
 def _event_table(df, time, event, group):
-    """Event table (with ``at_risk_total``, the group size) and the key probe."""
+    """Event table with ``at_risk_total``, the group size, and its blocks."""
     gcols = list(group)
     subj = df.select(*gcols, _as_col(time).cast("double").alias("time"), _as_col(event).cast("long").alias("__e"))
-    subj = subj.where(F.col("time").isNotNull())
+    subj = subj.where(F.col("time").isNotNull() & ~F.isnan("time"))
     et = subj.groupBy(*gcols, "time").agg(
-        F.sum("__e").alias("events"),
+        F.sum(F.coalesce("__e", F.lit(0))).alias("events"),
         F.count(F.lit(1)).alias("removed"),
     )
-    probe = probe_order_key(subj.select("time"), "time")
-    cum = running_totals(et, "time", {"at_risk": "removed"}, partition_by=gcols, ascending=False, probe=probe,
-                         with_totals=True)
-    return cum.withColumn("censored", F.col("removed") - F.col("events")), probe
+    cum = running_totals(with_blocks(et, ["time"], gcols), "time", {"at_risk": "removed"}, partition_by=gcols, ascending=False,
+                         with_totals=True, keep_blocks=True)
+    return cum.withColumn("censored", F.col("removed") - F.col("events"))
 
 
 def km_curve(
@@ -57,17 +58,16 @@ def km_curve(
     group whose first observed time is positive.
     """
     gcols = list(group)
-    et, probe = _event_table(df, time, event, gcols)
+    et = _event_table(df, time, event, gcols)
     d, n = F.col("events"), F.col("at_risk")
     terms = et.select(
         "*",
         F.when(d < n, F.log1p(-d / n)).otherwise(F.lit(0.0)).alias("__lt"),
         F.when(d >= n, F.lit(1)).otherwise(F.lit(0)).alias("__zero"),
-        F.when(n > d, d / (n * (n - d))).otherwise(F.lit(0.0)).alias("__gw"),
+        F.when(n > d, d.cast("double") / n.cast("double") / (n - d).cast("double")).otherwise(F.lit(0.0)).alias("__gw"),
     )
     cum = running_totals(
         terms, "time", {"__cl": "__lt", "__cz": "__zero", "__cgw": "__gw"}, partition_by=gcols, ascending=True,
-        probe=probe,
     )
     s = F.when(F.col("__cz") > 0, F.lit(0.0)).otherwise(F.exp("__cl"))
     curve = cum.select(*gcols, "time", "at_risk", "events", "censored", s.alias("survival"),

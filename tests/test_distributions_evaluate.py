@@ -26,8 +26,7 @@ def test_quantiles_match_numpy(spark, sample, monkeypatch):
     probs = [0.1, 0.25, 0.5, 0.9]
     for blocked in (False, True):
         if blocked:
-            monkeypatch.setattr(prefix, "SINGLE_TASK_ROWS", 0)
-            monkeypatch.setattr(prefix, "DEFAULT_BLOCKS", 8)
+            monkeypatch.setattr(prefix, "BLOCKS", 8)
         got = {r["g"]: [r[f"q{i}"] for i in range(4)] for r in D.quantiles(df, "v", probs, ["g"]).collect()}
         for g in "ab":
             arr = np.array([v for k, v, _ in data if k == g])
@@ -166,8 +165,7 @@ def test_auc_blocked_path(spark, monkeypatch):
     data = [(int(rng.random() < 0.4), round(rng.random(), 3)) for _ in range(3000)]
     df = spark.createDataFrame(data, "y int, s double")
     plain = EV.roc_auc(df, "y", "s").first()["auc"]
-    monkeypatch.setattr(prefix, "SINGLE_TASK_ROWS", 0)
-    monkeypatch.setattr(prefix, "DEFAULT_BLOCKS", 16)
+    monkeypatch.setattr(prefix, "BLOCKS", 16)
     assert EV.roc_auc(df, "y", "s").first()["auc"] == pytest.approx(plain, abs=1e-12)
     pos = [s for y, s in data if y == 1]
     neg = [s for y, s in data if y == 0]
@@ -209,3 +207,14 @@ def test_kde_by_group_matches_per_group_formula(spark):
         got = sorted((r for r in out if r["g"] == g), key=lambda r: r["point"])
         assert [r["x"] for r in got] == pytest.approx(list(grid))
         assert [r["density"] for r in got] == pytest.approx(dens, rel=1e-9)
+
+
+def test_auc_beyond_the_range_of_bigint_products_and_without_labels(spark, monkeypatch):
+    counts = spark.createDataFrame([(0.9, 3_000_000_000, 1_000_000_000), (0.1, 1_000_000_000, 3_000_000_000)], "score double, pos long, neg long")
+    table = prefix.running_totals(counts, "score", {"cum_pos": "pos", "cum_neg": "neg"}, ascending=False, with_totals=True)
+    monkeypatch.setattr(EV, "_score_table", lambda *a: table)
+    assert EV.roc_auc(counts, "pos", "score").first()["auc"] == pytest.approx(0.75)
+    monkeypatch.undo()
+    df = spark.createDataFrame([(1, 0.9), (0, 0.2), (None, 0.95), (None, 0.1), (1, None)], "y int, s double")
+    r = EV.roc_auc(df, "y", "s").first()
+    assert (r["auc"], r["positives"], r["negatives"]) == (1.0, 1, 1)

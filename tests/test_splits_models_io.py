@@ -44,6 +44,33 @@ def test_folds_disjoint_cover_and_sizes(spark, labelled):
     assert len(per) == 10 and max(r["count"] for r in per) - min(r["count"] for r in per if r["y"] == 1) <= 68
 
 
+@pytest.mark.parametrize("blocks", [None, 300])
+def test_splits_and_folds_with_text_missing_and_repeated_ids(spark, monkeypatch, blocks):
+    from cohortlens.operators import prefix
+
+    monkeypatch.setattr(prefix, "BLOCKS", blocks)
+    rows = [(f"id{i:04d}", "a" if i % 3 else None) for i in range(1500)] + [(None, "a")] * 5 + [("id0003", "a")] * 4
+    df = spark.createDataFrame(rows, "id string, y string")
+    n = len(rows)
+    split = SP.random_split(df, "id", 0.2)
+    tests = split.where("is_test = 1").count()
+    assert split.count() == n and math.ceil(0.2 * n) <= tests <= math.ceil(0.2 * n) + 5
+    assert split.groupBy("id").agg(F.count_distinct("is_test").alias("k")).where("k > 1").count() == 0
+    strat = SP.stratified_split(df, "id", "y", 0.3)
+    assert strat.count() == n
+    for y, k in ((None, 500), ("a", n - 500)):
+        got = strat.where(F.col("y").eqNullSafe(F.lit(y)) & (F.col("is_test") == 1)).count()
+        assert math.ceil(0.3 * k) <= got <= math.ceil(0.3 * k) + 5
+    for order in ("id", "hash"):
+        folds = {r["fold"]: r["count"] for r in SP.kfold(df, "id", 4, order=order).groupBy("fold").count().collect()}
+        assert sum(folds.values()) == n and set(folds) == {0, 1, 2, 3} and max(folds.values()) - min(folds.values()) <= 12
+    first = SP.kfold(df, "id", 4).where("fold = 0")
+    assert first.where("id IS NULL").count() == 5 and first.agg(F.max("id")).first()[0] < "id0400"
+    assert SP.kfold(df.limit(0), "id", 4).count() == 0 and SP.random_split(df.limit(0), "id").count() == 0
+    tiny = SP.kfold(spark.range(2), "id", 5).orderBy("id").collect()
+    assert [r["fold"] for r in tiny] == [0, 1]
+
+
 def test_balanced_weights(spark, labelled):
     w = {r["y"]: r["weight"] for r in SP.balanced_weights(labelled, "y").select("y", "weight").distinct().collect()}
     assert w[1] == pytest.approx(1000 / (2 * 333)) and w[0] == pytest.approx(1000 / (2 * 667))
