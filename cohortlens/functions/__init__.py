@@ -5,10 +5,11 @@ from cohortlens.functions.columns import (  # noqa: F401
     conditional_value,
     count_tokens,
     custom_order,
+    cut_edges,
+    cut_labels,
     days_between,
     decimal_comma,
     equal_width_bin,
-    equal_width_label,
     flag_and,
     flag_contains,
     flag_equals,

@@ -8,6 +8,7 @@ NULL, divisions never raise.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from itertools import chain
 
@@ -80,9 +81,14 @@ def count_tokens(c: str | Column, sep: str = ",", none_token: str = "None") -> C
     )
 
 
+# A number as text: digits with an optional point and exponent, or an infinity (type suffixes and hexadecimal
+# forms, which a cast would take, are not numbers to the reference).
+_NUMBER = r"^\s*[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
+
+
 def to_number(c: str | Column) -> Column:
     """Text → double, anything unparseable (including the text 'nan') → NULL (N7)."""
-    v = col(c).try_cast("double")
+    v = F.when(col(c).cast("string").rlike(_NUMBER), col(c).try_cast("double"))
     return F.nanvl(v, F.lit(None).cast("double"))
 
 
@@ -118,22 +124,45 @@ def safe_ratio(num: str | Column, den: str | Column, zero=0.0) -> Column:
 
 
 def equal_width_bin(x: str | Column, lo: Column, hi: Column, k: int) -> Column:
-    """1-based right-closed equal-width bin over [lo, hi], lowest value included (``pd.cut(include_lowest)``).
+    """1-based right-closed equal-width bin over [lo, hi], lowest value included (``pd.cut(include_lowest)``): one
+    more than the number of inner edges ``lo + i·step`` below the value.  A range of one value is widened by a
+    thousandth to both sides first.  NULL stays NULL.
 
     ``lo``/``hi`` are typically scalar subqueries, so the bin edges never pass through the driver.
     """
     v = col(x).cast("double")
-    width = (hi - lo) / F.lit(k)
-    b = F.ceil((v - lo) / width)
-    return F.when(hi == lo, F.lit(1)).otherwise(F.least(F.greatest(b, F.lit(1)), F.lit(k))).cast("int")
-
-
-def equal_width_label(bin_no: Column, lo: Column, hi: Column, k: int, digits: int = 0) -> Column:
-    """Text label ``(a, b]`` of an equal-width bin, edges rounded to ``digits`` (``precision=0``)."""
-    width = (hi - lo) / F.lit(k)
-    a = lo + (bin_no - 1) * width
-    b = lo + bin_no * width
-    return F.concat(F.lit("("), F.round(a, digits).cast("string"), F.lit(", "), F.round(b, digits).cast("string"), F.lit("]"))
+    margin = F.when(hi == lo, F.when(lo == 0, F.lit(0.001)).otherwise(F.abs(lo) * 0.001)).otherwise(F.lit(0.0))
+    step = ((hi + margin) - (lo - margin)) / F.lit(float(k))
+    above = sum(((v > F.lit(float(i)) * step + (lo - margin)).cast("int") for i in range(1, k)), F.lit(1))
+    return F.when(v.isNotNull(), above)
+
+
+def cut_edges(lo: float, hi: float, k: int) -> list[float]:
+    """The k + 1 edges of equal-width bins over [lo, hi]; the first lies a thousandth of the range below ``lo``."""
+    if lo == hi:
+        margin = 0.001 * abs(lo) if lo else 0.001
+        lo, hi = lo - margin, hi + margin
+        return [i * ((hi - lo) / k) + lo for i in range(k)] + [hi]
+    edges = [i * ((hi - lo) / k) + lo for i in range(k)] + [hi]
+    return [edges[0] - (hi - lo) * 0.001, *edges[1:]]
+
+
+def cut_labels(edges: Sequence[float], digits: int = 0) -> list[str]:
+    """Labels ``(a, b]`` of bins: edges rounded to as few digits, at least ``digits``, as keep them apart; the first
+    edge is lowered by one unit of the last digit, as the lowest value belongs to the first bin."""
+
+    def rounded(x: float, places: int) -> float:
+        whole = int(x)
+        if x == 0 or whole:
+            return round(x, places)
+        return round(x, places - 1 - math.floor(math.log10(abs(x))))
+
+    for places in range(digits, digits + 20):
+        shown = [rounded(e, places) for e in edges]
+        if len(set(shown)) == len(shown):
+            break
+    shown[0] -= 10.0 ** -places
+    return [f"({float(a)}, {float(b)}]" for a, b in zip(shown, shown[1:])]
 
 
 def custom_order(c: str | Column, order: Sequence) -> Column:

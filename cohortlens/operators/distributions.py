@@ -227,7 +227,8 @@ def kde_by_group(df: DataFrame, value: str | Column, groups: Sequence[str], grid
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str], min_columns: int = 4) -> DataFrame:
-    """Pearson correlation of every ordered pair (var1, var2, corr), pairwise-complete, one aggregate.
+    """Pearson correlation of every ordered pair (var1, var2, corr), pairwise-complete, one aggregate; NULL where a
+    column is constant, also with itself.
 
     The reference draws the heat map only when at least four numeric columns exist; fewer raise here."""
     cols = list(columns)
@@ -235,8 +236,15 @@ def corr_matrix(df: DataFrame, columns: Sequence[str], min_columns: int = 4) ->
         raise ValueError(f"correlation matrix needs at least {min_columns} numeric columns, got {len(cols)}")
     d = df.select(*[_clean(F.col(c)).alias(c) for c in cols])
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    agg = d.agg(*[F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    rows = [F.struct(F.lit(a).alias("var1"), F.lit(a).alias("var2"), F.lit(1.0).alias("corr")) for a in cols]
+
+    def corr(a: str, b: str) -> Column:
+        # over the rows that have both; a column without spread has no correlation
+        x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+        return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y)))
+
+    agg = d.agg(*[corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)],
+                *[F.when(F.var_pop(c) > 0, F.lit(1.0)).alias(f"d{i}") for i, c in enumerate(cols)])
+    rows = [F.struct(F.lit(a).alias("var1"), F.lit(a).alias("var2"), F.col(f"d{i}").alias("corr")) for i, a in enumerate(cols)]
     for i, (a, b) in enumerate(pairs):
         rows.append(F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"p{i}").alias("corr")))
         rows.append(F.struct(F.lit(b).alias("var1"), F.lit(a).alias("var2"), F.col(f"p{i}").alias("corr")))

@@ -19,7 +19,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.functions.columns import col, custom_order, equal_width_bin, equal_width_label
+from cohortlens.functions.columns import col, custom_order, cut_edges, cut_labels
 
 
 def more_distinct_than(df: DataFrame, c: str, threshold: int) -> bool:
@@ -93,9 +93,11 @@ def group_mean_ci(df: DataFrame, keys: Sequence[str | Column], value: str | Colu
 
 
 def crosstab(df: DataFrame, rows: Sequence[str], column: str, column_values: Sequence,
-             row_domain: Mapping[str, Sequence] | None = None, dropna: bool = True) -> DataFrame:
+             row_domain: Mapping[str, Sequence] | None = None, dropna: bool = True, unlisted: str = "raise") -> DataFrame:
     """Counts of ``rows`` × ``column`` with one output column per listed value (missing → 0).
 
+    A value of ``column`` that isn't listed raises when the result is computed (``unlisted='raise'``), is counted in
+    a column ``other`` (``'other'``), or is left out (``'drop'``); nothing is dropped silently.
     ``row_domain`` forces the listed row keys to appear with zero counts (``reindex(fill_value=0)``); the result
     then holds exactly the domain rows.  NULL keys are dropped like ``pd.crosstab`` unless ``dropna=False``.
     """
@@ -103,8 +105,19 @@ def crosstab(df: DataFrame, rows: Sequence[str], column: str, column_values: Seq
     if dropna:
         for r in rows:
             d = d.where(F.col(r).isNotNull())
-    wide = d.groupBy(*rows).pivot(column, list(column_values)).agg(F.count(F.lit(1)))
+    if unlisted not in ("raise", "other", "drop"):
+        raise ValueError("unlisted must be 'raise', 'other' or 'drop'")
     vals = [str(v) for v in column_values]
+    x = F.col(column)
+    more = F.count_if(x.isNotNull() & ~x.isin(list(column_values))).alias("other")
+    wide = d.groupBy(*rows).agg(*[F.count_if(x == F.lit(v)).alias(n) for v, n in zip(column_values, vals)], more)
+    if unlisted == "raise":
+        stop = F.raise_error(F.concat(F.lit(f"{column} holds values outside {vals}: rows "), F.col("other").cast("string"))).cast("long")
+        wide = wide.select(*rows, *[F.when(F.col("other") == 0, F.col(f"`{n}`")).otherwise(stop).alias(n) for n in vals])
+    elif unlisted == "drop":
+        wide = wide.drop("other")
+    else:
+        vals = [*vals, "other"]
     if row_domain:
         dom = domain_frame(df.sparkSession, row_domain)
         keys = list(row_domain)
@@ -157,21 +170,20 @@ def binned_crosstab(df: DataFrame, value: str, column: str, column_values: Seque
     ``bins`` right-closed equal-width bins over [min, max] (``pd.cut(bins=5, include_lowest=True)``).
 
     Output: (bin, label, column values...).  Without binning ``bin`` is the value itself and ``label`` its text.
-    The distinct test is exact yet bounded: see ``more_distinct_than``; min/max are scalar subqueries.
+    The distinct test is exact yet bounded (see ``more_distinct_than``); its estimate and the range come from one
+    aggregate, so the rows are passed over twice.
     """
     d = df.where(F.col(value).isNotNull())
-    if more_distinct_than(d, value, threshold):
-        mm = d.agg(F.min(F.col(value).cast("double")).alias("lo"), F.max(F.col(value).cast("double")).alias("hi"))
-        lo = mm.select("lo").scalar()
-        hi = mm.select("hi").scalar()
-        b = equal_width_bin(value, lo, hi, bins)
-        keyed = d.select(b.alias("bin"), F.col(column))
-        wide = crosstab(keyed, ["bin"], column, column_values)
+    x = F.col(value).cast("double")
+    est, lo, hi = d.agg(F.approx_count_distinct(value, 0.01), F.min(x), F.max(x)).first()
+    if est > threshold or d.select(value).distinct().limit(threshold + 1).count() > threshold:
+        edges = cut_edges(lo, hi, bins)
+        b = sum(((x > F.lit(e)).cast("int") for e in edges[1:-1]), F.lit(1))
         # a bin with no rows is still listed, like the categorical bins of pd.cut
-        dom = d.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
-        wide = dom.join(wide, "bin", "left").na.fill(0, subset=[str(v) for v in column_values])
-        return wide.select("bin", equal_width_label(F.col("bin"), lo, hi, bins).alias("label"),
-                           *[str(v) for v in column_values]).orderBy("bin")
+        wide = crosstab(d.select(b.alias("bin"), F.col(column)), ["bin"], column, column_values,
+                        row_domain={"bin": list(range(1, bins + 1))})
+        labels = F.array(*[F.lit(t) for t in cut_labels(edges)])
+        return wide.select("bin", F.get(labels, F.col("bin") - 1).alias("label"), *[str(v) for v in column_values]).orderBy("bin")
     keyed = d.select(F.col(value).cast("double").alias("bin"), F.col(column))
     wide = crosstab(keyed, ["bin"], column, column_values)
     return wide.select("bin", F.col("bin").cast("string").alias("label"),
@@ -182,9 +194,11 @@ def completed_counts(df: DataFrame, x: str, group: str, group_values: Sequence,
                      column_values: Sequence) -> DataFrame:
     """Counts of (x, group) × column where every distinct x of the data appears for every listed group (the
     reference reindexes each group's ages by the sorted ages of the whole table)."""
-    d = df.where(F.col(x).isNotNull() & F.col(group).isin(list(group_values)))
-    wide = d.groupBy(x, group).pivot(column, list(column_values)).agg(F.count(F.lit(1)))
-    xs = df.where(F.col(x).isNotNull()).select(x).distinct()
+    # every distinct x comes out of the one grouping, also those that occur for no listed group
+    every = df.where(F.col(x).isNotNull()).groupBy(x, group).agg(
+        *[F.count_if(F.col(column) == F.lit(v)).alias(str(v)) for v in column_values])
+    xs = every.select(x).distinct()
+    wide = every.where(F.col(group).isin(list(group_values)))
     dom = xs.select(x, F.explode(F.array(*[F.lit(g) for g in group_values])).alias(group))
     return dom.join(wide, [x, group], "left").na.fill(0, subset=[str(v) for v in column_values])
 
@@ -207,9 +221,10 @@ def prevalence(df: DataFrame, flags: Mapping[str, str | Column]) -> DataFrame:
 
 
 def top_values(df: DataFrame, c: str | Column, n: int, name: str = "value") -> DataFrame:
-    """The ``n`` most frequent values with count and percent of all rows (ties broken by value)."""
+    """The ``n`` most frequent values with count and percent of all rows (ties broken by value); a missing value is
+    no candidate but counts among all rows."""
     d = df.select(col(c).alias(name))
     counts = d.groupBy(name).agg(F.count(F.lit(1)).alias("count"))
     total = counts.agg(F.sum("count")).scalar()
-    top = counts.orderBy(F.desc("count"), F.asc_nulls_last(name)).limit(n)
+    top = counts.where(F.col(name).isNotNull()).orderBy(F.desc("count"), F.asc_nulls_last(name)).limit(n)
     return top.withColumn("percent", F.col("count") * 100.0 / total)

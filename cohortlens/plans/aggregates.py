@@ -17,6 +17,7 @@ from cohortlens.plans.views import (
     ORDER_PRIORITIES,
     ORDER_STATUSES,
     ORDERS_CUSTOMERS_SQL,
+    PART_TYPES,
     SEGMENTS,
     lineitem_parts,
     orders_customers,
@@ -90,9 +91,15 @@ def cnt_by_value(spark, sf_dir):
 WITH oc AS {ORDERS_CUSTOMERS_SQL}
 SELECT 'o_orderpriority' AS variable, o_orderpriority AS value, COUNT(*) AS count FROM oc GROUP BY 1, 2 UNION ALL
 SELECT 'o_orderstatus', o_orderstatus, COUNT(*) FROM oc GROUP BY 1, 2 UNION ALL
-SELECT 'c_mktsegment', c_mktsegment, COUNT(*) FROM oc GROUP BY 1, 2""")
+SELECT 'c_mktsegment', c_mktsegment, COUNT(*) FROM oc GROUP BY 1, 2 UNION ALL
+SELECT 'order_year', CAST(year(o_orderdate) AS VARCHAR), COUNT(*) FROM oc GROUP BY 1, 2 UNION ALL
+SELECT 'order_month', CAST(month(o_orderdate) AS VARCHAR), COUNT(*) FROM oc GROUP BY 1, 2 UNION ALL
+SELECT 'in_debt', CASE WHEN c_acctbal < 0 THEN 'true' ELSE 'false' END, COUNT(*) FROM oc GROUP BY 1, 2""")
 def cnt_multi(spark, sf_dir):
-    return TB.multi_counts(orders_customers(spark, sf_dir), ["o_orderpriority", "o_orderstatus", "c_mktsegment"])
+    oc = orders_customers(spark, sf_dir).select(
+        "o_orderpriority", "o_orderstatus", "c_mktsegment", F.year("o_orderdate").alias("order_year"),
+        F.month("o_orderdate").alias("order_month"), (F.coalesce("c_acctbal", F.lit(0.0)) < 0).alias("in_debt"))
+    return TB.multi_counts(oc, oc.columns)
 
 
 @query("grp_size", sql=f"""
@@ -186,11 +193,12 @@ def ct_overall(spark, sf_dir):
 
 @query("ct_binned", sql=f"""
 WITH mm AS (SELECT MIN(l_quantity) AS lo, MAX(l_quantity) AS hi FROM lineitem),
-b AS (SELECT CAST(CASE WHEN hi = lo THEN 1 ELSE LEAST(GREATEST(CEIL((l_quantity - lo) / ((hi - lo) / 5)), 1), 5) END AS INTEGER) AS bin,
-        l_linestatus FROM lineitem, mm WHERE l_quantity IS NOT NULL),
+edges AS (SELECT unnest([1, 2, 3, 4]) AS i),
+b AS (SELECT (SELECT CAST(1 + COUNT(*) AS INTEGER) FROM edges, mm WHERE l_quantity > i * ((hi - lo) / 5) + lo) AS bin,
+        l_linestatus FROM lineitem WHERE l_quantity IS NOT NULL),
 c AS (SELECT bin, {_pivot_sql('l_linestatus', LINE_STATUSES)} FROM b GROUP BY bin),
 d AS (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS bin)
-SELECT d.bin, '(' || CAST(round(lo + (d.bin - 1) * ((hi - lo) / 5), 0) AS VARCHAR) || ', ' ||
+SELECT d.bin, '(' || CAST(CASE WHEN d.bin = 1 THEN round(lo - (hi - lo) * 0.001, 0) - 1 ELSE round(lo + (d.bin - 1) * ((hi - lo) / 5), 0) END AS VARCHAR) || ', ' ||
   CAST(round(lo + d.bin * ((hi - lo) / 5), 0) AS VARCHAR) || ']' AS label, {_fill_sql(LINE_STATUSES)}
 FROM d CROSS JOIN mm LEFT JOIN c USING (bin)""")
 def ct_binned(spark, sf_dir):
@@ -198,10 +206,10 @@ def ct_binned(spark, sf_dir):
 
 
 @query("ct_sessions", sql=f"""
-SELECT p_size, {_pivot_sql('p_type', ['SMALL', 'LARGE'])} FROM part WHERE p_size IS NOT NULL GROUP BY p_size""")
+SELECT p_size, {_pivot_sql('p_type', PART_TYPES)} FROM part WHERE p_size IS NOT NULL GROUP BY p_size""")
 def ct_sessions(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    return TB.crosstab(p, ["p_size"], "p_type", ["SMALL", "LARGE"])
+    return TB.crosstab(p, ["p_size"], "p_type", PART_TYPES)
 
 
 _SMOKING = {"R": "Smoker", "A": "Smoker", "N": "Never"}

@@ -92,7 +92,7 @@ def corr_matrix(spark, sf_dir):
     return rounded(D.corr_matrix(table(spark, sf_dir, "lineitem"), _NUM))
 
 
-_PG = ["l_quantity", "l_discount", "l_tax"]
+_PG = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_suppkey"]
 _PG_BIN = {c: f"CAST(CASE WHEN (mx_{c} - mn_{c}) / 10 = 0 THEN 0 ELSE LEAST(FLOOR(({c} - mn_{c}) / ((mx_{c} - mn_{c}) / 10)), 9) END AS INTEGER)"
            for c in _PG}
 

@@ -14,6 +14,7 @@ ORDER_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"
 ORDER_STATUSES = ["F", "O", "P"]
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 LINE_STATUSES = ["F", "O"]
+PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 RETURN_FLAGS = ["A", "N", "R"]
 
 

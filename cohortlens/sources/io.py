@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.functions.columns import _NUMBER
 from cohortlens.session import ensure_checkpoint_dir
 
 # The text tokens pandas' CSV reader treats as missing by default (library default, N1).
@@ -48,41 +49,69 @@ def normalise_missing(df: DataFrame, tokens: Sequence[str] = PANDAS_NA_TOKENS) -
     return df.select(*cols)
 
 
+# Quotes inside a quoted field are doubled, in files read and written.
+_CSV_QUOTES = {"quote": '"', "escape": '"'}
+# What stands for an absent field while CSV is read, so that a quoted empty text stays a text.
+_ABSENT = "\ufdd0absent"
+
+
+def _typed(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Text columns as bigint, double or boolean where every value present is one (one aggregate over the rows)."""
+    tests = {"bigint": r"^[+-]?[0-9]{1,18}$", "double": _NUMBER, "boolean": r"^(?i:true|false)$"}
+    found = df.agg(*[F.count(F.col(f"`{n}`")).alias(f"n{i}") for i, n in enumerate(names)],
+                   *[F.count_if(F.col(f"`{n}`").rlike(t)).alias(f"{k}{i}") for i, n in enumerate(names) for k, t in tests.items()]).first()
+    cast = {n: next((k for k in tests if found[f"n{i}"] and found[f"{k}{i}"] == found[f"n{i}"]), None) for i, n in enumerate(names)}
+    return df.select(*[F.col(f"`{c}`").cast(cast[c]).alias(c) if cast.get(c) else F.col(f"`{c}`") for c in df.columns])
+
+
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None,
                sep: str = ",", encoding: str | None = None, header: bool = True,
-               na_tokens: Sequence[str] | None = PANDAS_NA_TOKENS) -> DataFrame:
+               na_tokens: Sequence[str] | None = PANDAS_NA_TOKENS, multi_line: bool = True) -> DataFrame:
     """Lazy scan of a CSV / Parquet / JSON / ORC table chosen by extension (or ``fmt``).
 
-    CSV is read PERMISSIVE with an explicit schema when given (inference costs a full pass at scale), then missing
-    tokens are normalised to NULL."""
+    CSV: a quoted field may hold separators, doubled quotes and line breaks.  Line breaks in fields make a file
+    unsplittable (one task per file); ``multi_line=False`` splits large files that have none.  Missing tokens become
+    NULL before columns are typed: by ``schema`` when given (unparseable values are NULL), else by one aggregate over
+    the file, as bigint, double or boolean where all present values are (a full pass; give a schema at scale).
+    Without ``na_tokens`` only absent fields are NULL, and a quoted empty text stays a text."""
     fmt = fmt or format_of(path)
-    reader = spark.read.format(fmt)
-    if schema is not None:
-        reader = reader.schema(schema)
-    if fmt == "csv":
-        reader = reader.option("header", header).option("sep", sep).option("mode", "PERMISSIVE")
-        if encoding:
-            reader = reader.option("encoding", encoding)
-        if schema is None:
-            reader = reader.option("inferSchema", True)
-        df = reader.load(path)
-        return normalise_missing(df, na_tokens) if na_tokens else df
-    return reader.load(path)
+    if fmt != "csv":
+        reader = spark.read.format(fmt)
+        return (reader.schema(schema) if schema is not None else reader).load(path)
+    options = {"header": header, "sep": sep, "mode": "PERMISSIVE", "multiLine": multi_line, "nullValue": _ABSENT, **_CSV_QUOTES}
+    reader = spark.read.options(**options, **({"encoding": encoding} if encoding else {}))
+    if schema is None:
+        df = reader.csv(path)
+        df = normalise_missing(df, na_tokens) if na_tokens else df
+        return _typed(df, df.columns) if df.columns else df
+    wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    text = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.NumericType) else f.dataType) for f in wanted])
+    df = reader.schema(text).csv(path)
+    df = normalise_missing(df, na_tokens) if na_tokens else df
+    return df.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted])
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint location."""
+    """A fresh folder under the shared checkpoint location; the caller drops it with ``drop_scratch`` after use."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/cohortlens-io/{name}-{uuid.uuid4().hex}"
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a folder made by ``scratch_path``, in whatever store it lies; other paths are refused."""
+    if "/cohortlens-io/" not in path:
+        raise ValueError(f"{path} is no scratch folder")
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def write_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "overwrite",
                 partition_by: Sequence[str] = ()) -> str:
-    """Parallel write (one file per task); CSV gets a header line."""
+    """Parallel write (one file per task); CSV gets a header line and reads back as it was (see ``read_table``)."""
     fmt = fmt or format_of(path)
     w = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        w = w.option("header", True)
+        w = w.options(header=True, nullValue="", emptyValue='""', **_CSV_QUOTES)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)

@@ -108,3 +108,26 @@ def test_strip_text(spark):
 def test_to_number_rejects_inf_text_consistently(spark):
     out = _one(spark, [("1e3",)], "s string", C.to_number("s"))
     assert math.isclose(out[0], 1000.0)
+
+
+def test_to_number_takes_what_the_reference_takes(spark):
+    given = ["1", " 2.5 ", "-3e2", ".5", "7.", "1d", "3f", "0x1p3", "nan", "1e", "--1", "1,5", "", None, "inf", "12L"]
+    rows = spark.createDataFrame([(t,) for t in given], "t string").select(C.to_number("t").alias("x")).collect()
+    assert [r["x"] for r in rows] == [1.0, 2.5, -300.0, 0.5, 7.0, None, None, None, None, None, None, None, None, None, float("inf"), None]
+    assert spark.createDataFrame([(3.5,)], "t double").select(C.to_number("t").alias("x")).first()["x"] == 3.5
+
+
+def test_bins_and_labels_match_pandas(spark):
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    for values, k in ((np.arange(31) / 10, 5), (np.arange(1, 51), 5), (np.arange(100) / 1000, 5), ([0.0, 10.0], 5), ([4.0, 4.0], 5), ([0.0], 2),
+                      (np.random.default_rng(1).normal(size=300).round(2), 7), ([-5.0, -4.5, 3.25], 4)):
+        s = pd.Series(np.asarray(values, float))
+        cut = pd.cut(s, k, precision=0, include_lowest=True)
+        edges = C.cut_edges(s.min(), s.max(), k)
+        assert C.cut_labels(edges) == [str(c) for c in cut.cat.categories]
+        df = spark.createDataFrame([(float(x),) for x in s] + [(None,)], "x double")
+        got = [r[0] for r in df.select(C.equal_width_bin("x", F.lit(float(s.min())), F.lit(float(s.max())), k)).collect()]
+        assert got == [*(int(c) + 1 for c in cut.cat.codes), None]

@@ -218,3 +218,10 @@ def test_auc_beyond_the_range_of_bigint_products_and_without_labels(spark, monke
     df = spark.createDataFrame([(1, 0.9), (0, 0.2), (None, 0.95), (None, 0.1), (1, None)], "y int, s double")
     r = EV.roc_auc(df, "y", "s").first()
     assert (r["auc"], r["positives"], r["negatives"]) == (1.0, 1, 1)
+
+
+def test_correlation_with_constant_and_missing_columns(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 5.0, None), (2.0, 4.5, 5.0, 1.0), (3.0, 6.0, 5.0, 2.0)], "a double, b double, c double, d double")
+    got = {(r["var1"], r["var2"]): r["corr"] for r in D.corr_matrix(df, ["a", "b", "c", "d"]).collect()}
+    assert got["c", "c"] is None and got["a", "c"] is None and got["a", "a"] == 1.0
+    assert got["a", "b"] == pytest.approx(np.corrcoef([1, 2, 3], [2, 4.5, 6])[0, 1]) and got["a", "d"] == pytest.approx(1.0)

@@ -175,3 +175,50 @@ def test_run_folders_append_and_formats_round_trip(spark):
         p = IO.write_table(df, os.path.join(d, f"t.{ext}"))
         back = IO.read_table(spark, p, schema="id int, v string")
         assert sorted(tuple(r) for r in back.collect()) == [(1, "a"), (2, "b")]
+
+
+def test_csv_round_trip_of_awkward_fields(spark):
+    rows = [(1, 'a "quoted", b'), (2, "two\nlines"), (3, ""), (4, None), (5, "NA"), (6, "comma, only"), (7, 'ends with "'), (8, "back\\slash")]
+    df = spark.createDataFrame(rows, "i long, t string")
+    path = IO.scratch_path(spark, "awkward") + ".csv"
+    IO.write_table(df, path)
+    same = IO.read_table(spark, path, na_tokens=None)
+    assert sorted((r["i"], r["t"]) for r in same.collect()) == rows and dict(same.dtypes)["i"] == "bigint"
+    missing = IO.read_table(spark, path)
+    assert {r["i"]: r["t"] for r in missing.collect()} == {**dict(rows), 3: None, 5: None}
+    IO.drop_scratch(spark, path)
+    with pytest.raises(ValueError):
+        IO.drop_scratch(spark, "/tmp/elsewhere")
+
+
+def test_csv_types_after_missing_tokens(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('n,x,b,t,e\n1,2.5,True,"a ""b"", c",\nNA,NaN,false,"line\nbreak",\n3,-1e3,,1d,\n')
+    df = IO.read_table(spark, str(tmp_path / "t.csv"))
+    assert dict(df.dtypes) == {"n": "bigint", "x": "double", "b": "boolean", "t": "string", "e": "string"}
+    assert [tuple(r) for r in df.orderBy(F.asc_nulls_last("n")).collect()] == [
+        (1, 2.5, True, 'a "b", c', None), (3, -1000.0, None, "1d", None), (None, None, False, "line\nbreak", None)]
+    given = IO.read_table(spark, str(tmp_path / "t.csv"), schema="n int, x double, b boolean, t string, e string")
+    assert [r["n"] for r in given.orderBy(F.asc_nulls_last("n")).collect()] == [1, 3, None]
+
+
+def test_no_local_scratch_folder_off_local_mode():
+    from cohortlens.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())

@@ -157,3 +157,18 @@ def test_stratified_shares_regex(spark, patients):
 def test_more_distinct_than_is_exact_at_the_threshold(spark, k):
     df = spark.range(5000).select((F.col("id") % k).alias("x"))
     assert TB.more_distinct_than(df, "x", 10) is (k > 10)
+
+
+def test_crosstab_never_drops_values_silently(spark):
+    df = spark.createDataFrame([("a", "X"), ("a", "Z"), ("b", "Y"), ("b", None)], "r string, c string")
+    with pytest.raises(Exception, match="outside"):
+        TB.crosstab(df, ["r"], "c", ["X", "Y"]).collect()
+    other = {r["r"]: (r["X"], r["Y"], r["other"]) for r in TB.crosstab(df, ["r"], "c", ["X", "Y"], unlisted="other").collect()}
+    assert other == {"a": (1, 0, 1), "b": (0, 1, 0)}
+    dropped = TB.crosstab(df, ["r"], "c", ["X", "Y"], unlisted="drop", row_domain={"r": ["a", "q"]})
+    assert {(r["r"], r["X"], r["Y"]) for r in dropped.collect()} == {("a", 1, 0), ("q", 0, 0)}
+
+
+def test_top_values_leave_missing_values_out_but_count_them(spark):
+    df = spark.createDataFrame([(None,)] * 5 + [("a",)] * 3 + [("b",)] * 2, "v string")
+    assert [(r["value"], r["percent"]) for r in TB.top_values(df, "v", 2).collect()] == [("a", 30.0), ("b", 20.0)]
