@@ -257,22 +257,19 @@ def _decide(texts: DataFrame, scratch: Scratch, size: int, bands: tuple[int, ...
     cut_up = scratch.put(_bands(texts.join(crowded, "anchor"), size, bands[0]), f"bands{level}")
     groups = _groups(cut_up, F.col("n"))
     shared = scratch.put(cut_up.join(groups, "anchor"), f"shared{level}")
-    alike = shared.where("NOT differ").select("of_anchor", "of_piece", F.col("skip").alias("low"), (F.col("skip") + F.length("bytes") - size + 1).alias("high"))
+    alike = shared.where("NOT differ").select("of_anchor", "of_piece", F.array("skip", F.col("skip") + F.length("bytes") - size + 1).alias("spans"))
     different = shared.where("differ").groupBy("anchor", "piece").agg(F.sum("n").alias("n"), F.first("lead").alias("lead"), F.first("bytes").alias("bytes"))
     below = _decide(scratch.put(different, f"different{level}"), scratch, size, bands[1:], level + 1)
-    pairs = F.transform(F.sequence(F.lit(0), (F.size("spans") / 2).cast("int") - 1), lambda i: F.struct(
-        F.get("spans", 2 * i).alias("low"), F.get("spans", 2 * i + 1).alias("high")))
     found = (shared.where("differ").select("anchor", "piece", "of_anchor", "of_piece", "skip").join(below.where(F.size("spans") > 0), ["anchor", "piece"])
-             .select("of_anchor", "of_piece", "skip", F.explode(pairs).alias("x"))
-             .select("of_anchor", "of_piece", (F.col("skip") + F.col("x.low")).alias("low"), (F.col("skip") + F.col("x.high")).alias("high")))
+             .select("of_anchor", "of_piece", F.transform("spans", lambda s: s + F.col("skip")).alias("spans")))
     merged = (alike.unionByName(found).groupBy(F.col("of_anchor").alias("anchor"), F.col("of_piece").alias("piece"))
-              .agg(F.flatten(F.array_sort(F.collect_list(F.array("low", "high")))).alias("spans")))
+              .agg(F.flatten(F.collect_list("spans")).alias("spans")))
     return calm.unionByName(merged)
 
 
 def repeated_spans(docs: DataFrame, *, size: int = 400, gram: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, key, spans)``: for documents with repeated windows, their byte ranges as [start, end) pairs (they may
-    overlap), where ``key`` is ``common.text_key`` of the text.  The result is checkpointed."""
+    """``(id, key, spans)``: for documents with repeated windows, their byte ranges as a flat array of [start, end)
+    pairs (they may overlap), where ``key`` is ``common.text_key`` of the text.  The result is checkpointed."""
     if not 8 <= gram <= size:
         raise ValueError("gram must be between 8 and size")
     rows = take(docs, id=id_col, text=text_col).withColumn("key", text_key(F.col("text")))
@@ -286,13 +283,12 @@ def repeated_spans(docs: DataFrame, *, size: int = 400, gram: int = 128, id_col:
                   .agg(F.collect_list(F.struct("anchor", "piece", "n", "one.low", "one.length", "one.lead")).alias("wanted")))
         texts = scratch.put(_texts(rows, wanted), "texts")
         decided = _decide(texts, scratch, size, (BAND, 1))
-        pairs = F.transform(F.sequence(F.lit(0), (F.size("spans") / 2).cast("int") - 1), lambda i: F.struct(
-            F.get("spans", 2 * i).alias("low"), F.get("spans", 2 * i + 1).alias("high")))
-        alike = shared.where("NOT differ").select("id", "key", F.col("low").alias("start"), (F.col("low") + F.col("length")).alias("end"))
+        alike = shared.where("NOT differ").select("id", "key", F.array("low", F.col("low") + F.col("length")).alias("spans"))
+        # windows [first, end) of a piece are bytes [first, end + size - 1)
+        in_text = F.transform("spans", lambda s, i: s + F.col("low") + F.when(i % 2 == 1, F.lit(size - 1)).otherwise(F.lit(0)))
         found = (shared.where("differ").select("anchor", "piece", "id", "key", "low").join(decided.where(F.size("spans") > 0), ["anchor", "piece"])
-                 .select("id", "key", F.col("low").alias("base"), F.explode(pairs).alias("x"))
-                 .select("id", "key", (F.col("base") + F.col("x.low")).alias("start"), (F.col("base") + F.col("x.high") - 1 + size).alias("end")))
-        return cut(alike.unionByName(found).groupBy("id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+                 .select("id", "key", in_text.alias("spans")))
+        return cut(alike.unionByName(found).groupBy("id", "key").agg(F.flatten(F.collect_list("spans")).alias("spans")))
 
 
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -333,8 +329,8 @@ def remove_repeats(docs: DataFrame, *, size: int = 400, gram: int = 128, id_col:
                         n_spans.append(0)
                         continue
                     depth = np.zeros(len(raw) + 1, np.int32)
-                    np.add.at(depth, [x["start"] for x in mine], 1)
-                    np.add.at(depth, [x["end"] for x in mine], -1)
+                    np.add.at(depth, mine[::2], 1)
+                    np.add.at(depth, mine[1::2], -1)
                     gone = np.cumsum(depth[:-1]) > 0
                     kept.append(raw[~gone].tobytes())
                     removed.append(int(gone.sum()))
