@@ -8,8 +8,10 @@ levels, never by rows) is read on the driver, as Spark ML itself does.
 
 from __future__ import annotations
 
+import statistics
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -18,13 +20,16 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from cohortlens.operators.evaluate import binary_metrics, roc_auc
+from cohortlens.operators.distributions import regression_errors
+from cohortlens.operators.evaluate import binary_metrics, classification_report, roc_auc
+from cohortlens.operators.prefix import running_totals
+from cohortlens.session import ensure_checkpoint_dir
 
 # Spark ML refuses trees deeper than this (scikit-learn grids may ask for more; such points are clamped).
 MAX_TREE_DEPTH = 30
@@ -32,46 +37,85 @@ MAX_TREE_DEPTH = 30
 
 # ---------------------------------------------------------------- encoders
 
-def label_encode(df: DataFrame, column: str, output: str) -> DataFrame:
-    """Alphabetical ordinal code (0-based, ``LabelEncoder``); NULL stays NULL."""
-    idx = StringIndexer(inputCol=column, outputCol=f"__{output}", stringOrderType="alphabetAsc",
-                        handleInvalid="keep").fit(df.where(F.col(column).isNotNull()))
-    out = idx.transform(df)
-    return out.withColumn(output, F.when(F.col(column).isNotNull(), F.col(f"__{output}").cast("int"))).drop(
-        f"__{output}")
+# A table of one row per level is broadcast up to this many levels.
+SMALL_LEVELS = 100_000
+
+
+def label_codes(df: DataFrame, column: str) -> DataFrame:
+    """(level, code): the sorted distinct values with their 0-based positions (``LabelEncoder.classes_``), found by
+    distributed running counts, however many there are; NULL is no level."""
+    levels_ = df.select(F.col(column).alias("level")).where(F.col("level").isNotNull()).distinct()
+    counted = running_totals(levels_, "level", {"__n": F.lit(1).cast("long")})
+    return counted.select("level", (F.col("__n") - 1).cast("int").alias("code"))
+
+
+def _small(codes: DataFrame) -> DataFrame:
+    return F.broadcast(codes) if codes.count() <= SMALL_LEVELS else codes
+
+
+def label_encode(df: DataFrame, column: str, output: str, fit_on: DataFrame | None = None) -> DataFrame:
+    """Alphabetical ordinal code (0-based, ``LabelEncoder``) of the levels of ``fit_on`` (e.g. the training rows;
+    by default the table itself); NULL and levels unseen there give NULL."""
+    codes = _small(label_codes(df if fit_on is None else fit_on, column).select(F.col("level").alias("__level"), F.col("code").alias(output)))
+    return df.join(codes, F.col(column) == F.col("__level"), "left").select(df["*"], output)
+
+
+def label_decode(df: DataFrame, codes: DataFrame, column: str, output: str) -> DataFrame:
+    """The level of a code (``inverse_transform``), with ``codes`` from ``label_codes``; unknown codes give NULL."""
+    back = _small(codes.select(F.col("code").alias("__code"), F.col("level").alias(output)))
+    return df.join(back, F.col(column) == F.col("__code"), "left").select(df["*"], output)
 
 
 def levels(df: DataFrame, column: str, max_levels: int = 1000) -> list:
-    """Sorted distinct non-null values; refuses more than ``max_levels`` (the dummy schema grows with them).
+    """Sorted distinct non-null values; refuses more than ``max_levels`` (a column per level is no sensible schema
+    beyond; ``one_hot_vector`` has no such bound).
 
     A HyperLogLog pass rejects high-cardinality columns before any distinct shuffle is planned."""
     if (df.agg(F.approx_count_distinct(column, 0.01)).first()[0] or 0) > 1.05 * max_levels:
-        raise ValueError(f"{column} has more than {max_levels} levels; dummies are not a sensible encoding")
+        raise ValueError(f"{column} has more than {max_levels} levels; use one_hot_vector")
     vals = [r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column)
             .limit(max_levels + 1).collect()]
     if len(vals) > max_levels:
-        raise ValueError(f"{column} has more than {max_levels} levels; dummies are not a sensible encoding")
+        raise ValueError(f"{column} has more than {max_levels} levels; use one_hot_vector")
     return vals
 
 
-def one_hot(df: DataFrame, columns: Sequence[str], drop_first: bool = True, max_levels: int = 1000) -> DataFrame:
-    """0/1 dummies ``{column}_{level}`` (``pd.get_dummies``); the alphabetically first level is dropped with
-    ``drop_first``; NULL gives all zeros."""
-    out = df
+def one_hot(df: DataFrame, columns: Sequence[str], drop_first: bool = True, max_levels: int = 1000,
+            fit_on: DataFrame | None = None) -> DataFrame:
+    """0/1 dummies ``{column}_{level}`` (``pd.get_dummies``) of the levels of ``fit_on`` (by default the table
+    itself), in one projection; the alphabetically first level is dropped with ``drop_first``; NULL gives all zeros."""
+    dummies = []
     for c in columns:
-        lv = levels(df, c, max_levels)
-        for v in lv[1:] if drop_first else lv:
-            out = out.withColumn(f"{c}_{v}", F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0)))
-    return out
+        lv = levels(df if fit_on is None else fit_on, c, max_levels)
+        dummies += [F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{c}_{v}") for v in (lv[1:] if drop_first else lv)]
+    return df.select("*", *dummies)
+
+
+def one_hot_vector(df: DataFrame, column: str, output: str, drop_first: bool = True, fit_on: DataFrame | None = None) -> DataFrame:
+    """The dummies of a column with any number of levels as one sparse vector; position = code of the level (less
+    one with ``drop_first``); NULL and unseen levels give an all-zero vector."""
+    src = df if fit_on is None else fit_on
+    codes = label_codes(src, column)
+    n = codes.count()
+    size = max(n - drop_first, 0)
+    coded = label_encode(df, column, "__code", fit_on=src)
+    # the encoder drops what lies past the last category; a missing level is sent there
+    at = F.coalesce(F.col("__code") - F.lit(int(drop_first)), F.lit(-1))
+    coded = coded.withColumn("__at", F.when(at >= 0, at).otherwise(F.lit(size)).cast("double"))
+    from pyspark.ml.feature import OneHotEncoder
+
+    spread = df.sparkSession.range(size + 1).select(F.col("id").cast("double").alias("__at"))
+    model = OneHotEncoder(inputCols=["__at"], outputCols=[output], dropLast=True).fit(spread)
+    return model.transform(coded).drop("__code", "__at")
 
 
 # ---------------------------------------------------------------- estimators
 
-def assemble(df: DataFrame, features: Sequence[str], label: str, handle_invalid: str = "skip",
+def assemble(df: DataFrame, features: Sequence[str], label: str, handle_invalid: str = "error",
              impute: str | None = None) -> DataFrame:
     """(features vector, label double) next to the input columns.
 
-    Rows with NULL features are skipped (``handle_invalid='skip'``) or raise (``'error'``); ``impute='mean'`` or
+    Rows with NULL features raise (``handle_invalid='error'``) or are skipped (``'skip'``); ``impute='mean'`` or
     ``'median'`` fills them first with Spark ML's ``Imputer`` (gradient boosting in the reference accepts missing
     values, Spark vectors do not)."""
     d = df.withColumn("label", F.col(label).cast("double"))
@@ -99,32 +143,46 @@ def logistic(C: float = 1.0, n_rows: int | None = None, max_iter: int = 100, tol
     return lr
 
 
+def _depth(requested: int) -> int:
+    if requested > MAX_TREE_DEPTH:
+        raise ValueError(f"trees can't be deeper than {MAX_TREE_DEPTH}, asked for {requested}; grids clamp and record it")
+    return requested
+
+
 def tree(max_depth: int = 5, min_leaf: int = 1, weight_col: str | None = None, seed: int = 42, max_bins: int = 32):
-    m = DecisionTreeClassifier(maxDepth=min(max_depth, MAX_TREE_DEPTH), minInstancesPerNode=min_leaf, seed=seed,
-                               maxBins=max_bins)
+    m = DecisionTreeClassifier(maxDepth=_depth(max_depth), minInstancesPerNode=min_leaf, seed=seed, maxBins=max_bins)
     if weight_col:
         m.setWeightCol(weight_col)
     return m
 
 
 def forest(n_trees: int = 100, max_depth: int = 15, min_leaf: int = 1, weight_col: str | None = None, seed: int = 42):
-    m = RandomForestClassifier(numTrees=n_trees, maxDepth=min(max_depth, MAX_TREE_DEPTH),
-                               minInstancesPerNode=min_leaf, seed=seed)
+    m = RandomForestClassifier(numTrees=n_trees, maxDepth=_depth(max_depth), minInstancesPerNode=min_leaf, seed=seed)
     if weight_col:
         m.setWeightCol(weight_col)
     return m
 
 
-def boosted(n_trees: int = 100, max_depth: int = 3, step: float = 0.1, subsample: float = 1.0, seed: int = 42):
+def boosted(n_trees: int = 100, max_depth: int = 3, step: float = 0.1, subsample: float = 1.0, seed: int = 42,
+            weight_col: str | None = None):
     """Gradient-boosted trees (first-order; XGBoost's regularised objective is not reproduced)."""
-    return GBTClassifier(maxIter=n_trees, maxDepth=min(max_depth, MAX_TREE_DEPTH), stepSize=step,
-                         subsamplingRate=subsample, seed=seed)
+    m = GBTClassifier(maxIter=n_trees, maxDepth=_depth(max_depth), stepSize=step, subsamplingRate=subsample, seed=seed)
+    if weight_col:
+        m.setWeightCol(weight_col)
+    return m
+
+
+# Grid dimensions of scikit-learn that Spark ML's trees have no parameter for.
+NO_COUNTERPART = ("min_samples_split",)
 
 
 def grid(estimator, params: Mapping[str, Sequence]) -> list:
-    """Exhaustive parameter grid; depths beyond Spark's limit are clamped and duplicates removed."""
+    """Exhaustive parameter grid; depths beyond Spark's limit are clamped and duplicates removed (``grid_notes``
+    tells which), dimensions without a counterpart are left out."""
     b = ParamGridBuilder()
     for name, values in params.items():
+        if name in NO_COUNTERPART:
+            continue
         vals = list(values)
         if name == "maxDepth":
             vals = sorted({min(int(v), MAX_TREE_DEPTH) for v in vals})
@@ -132,6 +190,13 @@ def grid(estimator, params: Mapping[str, Sequence]) -> list:
     return b.build()
 
 
+def grid_notes(params: Mapping[str, Sequence]) -> str:
+    """What of a requested grid was changed: clamped depths and dimensions that were left out."""
+    notes = [f"maxDepth {v} -> {MAX_TREE_DEPTH}" for v in params.get("maxDepth", ()) if v > MAX_TREE_DEPTH]
+    notes += [f"{name} left out" for name in params if name in NO_COUNTERPART]
+    return "; ".join(notes)
+
+
 def grid_search(estimator, params: Mapping[str, Sequence], train: DataFrame, fold_col: str = "fold",
                 parallelism: int = 4, k: int = 5):
     """k-fold grid search scored by exact ROC AUC (no score binning), refitting the best point on all rows."""
@@ -141,15 +206,16 @@ def grid_search(estimator, params: Mapping[str, Sequence], train: DataFrame, fol
     return cv.fit(train)
 
 
-def grid_results(cv_model, estimator) -> DataFrame:
-    """One row per grid point: its parameters as text, mean and sd of the fold AUCs."""
+def grid_results(cv_model, estimator, params: Mapping[str, Sequence] | None = None) -> DataFrame:
+    """One row per grid point: its parameters as text, mean and sd of the fold AUCs, and what of the requested
+    grid was changed."""
     from pyspark.sql import SparkSession
 
     rows = []
     for pm, m, s in zip(cv_model.getEstimatorParamMaps(), cv_model.avgMetrics, cv_model.stdMetrics):
         rows.append(Row(params=", ".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda kv: kv[0].name)),
-                        mean_auc=float(m), sd_auc=float(s)))
-    return SparkSession.getActiveSession().createDataFrame(rows, "params string, mean_auc double, sd_auc double")
+                        mean_auc=float(m), sd_auc=float(s), notes=grid_notes(params or {})))
+    return SparkSession.getActiveSession().createDataFrame(rows, "params string, mean_auc double, sd_auc double, notes string")
 
 
 def predict(model, df: DataFrame) -> DataFrame:
@@ -158,20 +224,46 @@ def predict(model, df: DataFrame) -> DataFrame:
     return out.withColumn("p1", vector_to_array("probability")[1])
 
 
+def _scored(model, df: DataFrame) -> DataFrame:
+    """(label, prediction, p1) of every row, checkpointed: rows are scored once, whatever is computed from them."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return predict(model, df).select("label", "prediction", "p1").checkpoint()
+
+
+def report_text(scored: DataFrame) -> str:
+    """The classification report (five lines) as text, as it stands in a saved model record."""
+    return "\n".join(f"{r['class']} precision={r['precision']:.4f} recall={r['recall']:.4f} f1={r['f1']:.4f} support={r['support']:.0f}"
+                     for r in classification_report(scored, "label", "prediction").collect())
+
+
 def train_eval(name: str, estimator, train: DataFrame, test: DataFrame):
-    """Fit (timed on the driver), predict the test rows and return (metrics row DataFrame, model).
+    """Fit (timed on the driver), predict the test rows once and return (model record, model).
 
-    Metrics: accuracy, auc (exact), train_seconds and the confusion counts."""
+    The record, one row: accuracy, auc (exact), train_seconds, the confusion counts and the classification report."""
     t0 = time.time()
     model = estimator.fit(train)
     secs = time.time() - t0
-    pred = predict(model, test)
-    m = binary_metrics(pred, "label", "prediction")
-    a = roc_auc(pred, "label", "p1")
-    row = m.select(F.lit(name).alias("model"), "accuracy", F.lit(secs).alias("train_seconds"), "tn", "fp", "fn",
-                   "tp")
-    row = row.withColumn("auc", a.select("auc").scalar())
-    return row, model
+    scored = _scored(model, test)
+    m = binary_metrics(scored, "label", "prediction").first()
+    auc = roc_auc(scored, "label", "p1").first()["auc"]
+    row = Row(model=name, accuracy=m["accuracy"], train_seconds=secs, tn=m["tn"], fp=m["fp"], fn=m["fn"], tp=m["tp"], auc=auc,
+              report=report_text(scored))
+    return train.sparkSession.createDataFrame(
+        [row], "model string, accuracy double, train_seconds double, tn long, fp long, fn long, tp long, auc double, report string"), model
+
+
+def metric_table(model, features: Sequence[str], train: DataFrame, test: DataFrame, top: int = 5) -> DataFrame:
+    """(section, name, value) of a fitted model, as the reference saves them: its parameters, F1 on train and test,
+    SSE, SST and R² of the test labels, and the most important features where the model has importances."""
+    rows = [("parameter", r["param"], r["value"]) for r in param_table(model).collect()]
+    on_train, on_test = _scored(model, train), _scored(model, test)
+    for part, scored in (("train", on_train), ("test", on_test)):
+        rows.append(("metric", f"f1_{part}", f"{binary_metrics(scored, 'label', 'prediction').first()['f1']:.4f}"))
+    e = regression_errors(on_test, "label", "prediction").first()
+    rows += [("metric", k, f"{e[k]:.4f}") for k in ("sse", "sst", "r2")]
+    if hasattr(model, "featureImportances"):
+        rows += [("importance", r["feature"], f"{r['importance']:.4f}") for r in top_importances(importances(model, features), top).collect()]
+    return train.sparkSession.createDataFrame(rows, "section string, name string, value string")
 
 
 def best_model(results: DataFrame, metric: str = "auc") -> DataFrame:
@@ -209,7 +301,7 @@ def cv_accuracy(estimator, data: DataFrame, fold_col: str = "fold", k: int = 5)
     """Mean and sd of accuracy over the folds (``cross_val_score(scoring='accuracy')``)."""
     ev = MulticlassClassificationEvaluator(metricName="accuracy")
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=[{}], evaluator=ev, foldCol=fold_col, numFolds=k,
-                        seed=42)
+                        parallelism=5, seed=42)
     m = cv.fit(data)
     from pyspark.sql import SparkSession
 
@@ -218,44 +310,51 @@ def cv_accuracy(estimator, data: DataFrame, fold_col: str = "fold", k: int = 5)
         "mean_accuracy double, sd_accuracy double")
 
 
-def _accuracy(model, df: DataFrame) -> float:
-    pred = model.transform(df)
-    return binary_metrics(pred, "label", "prediction").select("accuracy").first()[0]
+def _fit_all(tasks: Sequence[Callable[[], Row]], parallelism: int) -> list[Row]:
+    """Independent fits side by side: each is a Spark job of its own, the driver only waits."""
+    with ThreadPoolExecutor(parallelism) as pool:
+        return list(pool.map(lambda t: t(), tasks))
+
+
+def _right(model, df: DataFrame, inside) -> tuple[float, float]:
+    """Accuracy inside and outside a condition, from one scoring pass."""
+    hit = (F.col("prediction") == F.col("label")).cast("double")
+    r = model.transform(df).agg(F.avg(F.when(inside, hit)), F.avg(F.when(~inside, hit))).first()
+    return r[0], r[1]
 
 
 def validation_curve(make_estimator, depths: Sequence[int], data: DataFrame, fold_col: str = "fold",
-                     k: int = 5) -> DataFrame:
+                     k: int = 5, parallelism: int = 8) -> DataFrame:
     """Train and validation accuracy (mean, sd over folds) per depth (``validation_curve``).
 
-    ``CrossValidator`` reports no training scores, so each (depth, fold) is fitted on the cached folds."""
-    import statistics
+    ``CrossValidator`` reports no training scores, so each (depth, fold) is fitted here; the fits are independent
+    and run side by side, and each model scores all rows once."""
 
-    from pyspark.sql import SparkSession
+    def one(depth: int, fold: int) -> Row:
+        model = make_estimator(depth).fit(data.where(F.col(fold_col) != fold))
+        valid, train = _right(model, data, F.col(fold_col) == fold)
+        return Row(depth=depth, train=train, valid=valid)
 
+    found = _fit_all([lambda d=d, f=f: one(d, f) for d in depths for f in range(k)], parallelism)
     rows = []
     for d in depths:
-        tr_scores, va_scores = [], []
-        for f in range(k):
-            tr = data.where(F.col(fold_col) != f)
-            va = data.where(F.col(fold_col) == f)
-            model = make_estimator(d).fit(tr)
-            tr_scores.append(_accuracy(model, tr))
-            va_scores.append(_accuracy(model, va))
-        rows.append(Row(depth=int(d), train_mean=statistics.fmean(tr_scores), train_sd=statistics.pstdev(tr_scores),
-                        valid_mean=statistics.fmean(va_scores), valid_sd=statistics.pstdev(va_scores)))
-    return SparkSession.getActiveSession().createDataFrame(
+        tr, va = ([r[x] for r in found if r["depth"] == d] for x in ("train", "valid"))
+        rows.append(Row(depth=int(d), train_mean=statistics.fmean(tr), train_sd=statistics.pstdev(tr),
+                        valid_mean=statistics.fmean(va), valid_sd=statistics.pstdev(va)))
+    return data.sparkSession.createDataFrame(
         rows, "depth int, train_mean double, train_sd double, valid_mean double, valid_sd double")
 
 
-def depth_curve(make_estimator, depths: Sequence[int], train: DataFrame, test: DataFrame) -> DataFrame:
+def depth_curve(make_estimator, depths: Sequence[int], train: DataFrame, test: DataFrame, parallelism: int = 8) -> DataFrame:
     """Train and test accuracy per depth on one hold-out split (overfitting curve)."""
-    from pyspark.sql import SparkSession
+    both = train.select("features", "label", F.lit(False).alias("held")).unionByName(test.select("features", "label", F.lit(True).alias("held")))
 
-    rows = []
-    for d in depths:
-        model = make_estimator(d).fit(train)
-        rows.append(Row(depth=int(d), train_accuracy=_accuracy(model, train), test_accuracy=_accuracy(model, test)))
-    return SparkSession.getActiveSession().createDataFrame(rows, "depth int, train_accuracy double, test_accuracy double")
+    def one(depth: int) -> Row:
+        held, fitted = _right(make_estimator(depth).fit(train), both, F.col("held"))
+        return Row(depth=int(depth), train_accuracy=fitted, test_accuracy=held)
+
+    return train.sparkSession.createDataFrame(_fit_all([lambda d=d: one(d) for d in depths], parallelism),
+                                              "depth int, train_accuracy double, test_accuracy double")
 
 
 def logistic_trend(df: DataFrame, x: str, y: str, points: int = 50) -> DataFrame:

@@ -137,9 +137,12 @@ def stratified_crosstab(df: DataFrame, stratum: str, strata: Sequence[str], rows
         hits = F.filter(F.array(*[F.lit(s) for s in strata]), lambda s: F.coalesce(F.regexp_like(x, s), F.lit(False)))
     else:
         hits = F.filter(F.array(*[F.lit(s) for s in strata]), lambda s: F.coalesce(x == s, F.lit(False)))
-    exploded = df.select(F.explode(hits).alias("stratum"), F.col(rows), F.col(column))
-    return crosstab(exploded, ["stratum", rows], column, column_values,
-                    row_domain={"stratum": list(strata), rows: list(row_values)})
+    # values are counted first, so patterns are matched per distinct value, not per row
+    vals = [str(v) for v in column_values]
+    counted = df.where(F.col(rows).isNotNull()).groupBy(x.alias(stratum), rows).agg(*[F.count_if(F.col(column) == F.lit(v)).alias(n) for v, n in zip(column_values, vals)])
+    wide = counted.select(F.explode(hits).alias("stratum"), rows, *vals).groupBy("stratum", rows).agg(*[F.sum(n).alias(n) for n in vals])
+    dom = domain_frame(df.sparkSession, {"stratum": list(strata), rows: list(row_values)})
+    return dom.join(wide, ["stratum", rows], "left").na.fill(0, subset=vals)
 
 
 def stratified_shares(df: DataFrame, stratum: str, strata: Sequence[str], column: str, column_values: Sequence,
@@ -149,9 +152,9 @@ def stratified_shares(df: DataFrame, stratum: str, strata: Sequence[str], column
     x = F.col(stratum)
     test = (lambda s: F.coalesce(F.regexp_like(x, s), F.lit(False))) if match == "regex" else \
         (lambda s: F.coalesce(x == s, F.lit(False)))
-    exploded = df.select(F.explode(F.filter(F.array(*[F.lit(s) for s in strata]), test)).alias("stratum"),
-                         F.col(column).alias("value")).where(F.col("value").isNotNull())
-    counts = exploded.groupBy("stratum", "value").agg(F.count(F.lit(1)).alias("count"))
+    counted = df.select(x, F.col(column).alias("value")).where(F.col("value").isNotNull()).groupBy(stratum, "value").agg(F.count(F.lit(1)).alias("__n"))
+    exploded = counted.select(F.explode(F.filter(F.array(*[F.lit(s) for s in strata]), test)).alias("stratum"), "value", "__n")
+    counts = exploded.groupBy("stratum", "value").agg(F.sum("__n").alias("count"))
     totals = counts.groupBy("stratum").agg(F.sum("count").alias("__t"))
     dom = domain_frame(df.sparkSession, {"stratum": list(strata), "value": list(column_values)})
     out = dom.join(counts, ["stratum", "value"], "left").join(totals, "stratum", "left")
