@@ -185,10 +185,13 @@ FROM orders WHERE regexp_matches(CASE o_orderpriority WHEN '1-URGENT' THEN 'I' W
   WHEN '3-MEDIUM' THEN 'III' WHEN '4-NOT SPECIFIED' THEN 'IV' END, 'III|IV') GROUP BY o_orderstatus""")
 def ct_overall(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("stage", C.map_values("o_orderpriority", _STAGES))
-    everyone = TB.value_counts(o, "o_orderstatus", normalize=True).withColumn("cohort", F.lit("all"))
-    late = TB.value_counts(FL.keep_regex(o, "stage", "III|IV"), "o_orderstatus", normalize=True).withColumn(
-        "cohort", F.lit("III|IV"))
-    return rounded(everyone.unionByName(late).select("cohort", "value", "count", "share"))
+    # one grouping by status and cohort: late orders are counted twice, once among all
+    late = F.coalesce(F.regexp_like("stage", F.lit("III|IV")), F.lit(False))
+    cohorts = F.when(late, F.array(F.lit("all"), F.lit("III|IV"))).otherwise(F.array(F.lit("all")))
+    counted = o.where(F.col("o_orderstatus").isNotNull()).groupBy(F.col("o_orderstatus").alias("value"), cohorts.alias("cohorts")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counted.select("value", "n", F.explode("cohorts").alias("cohort")).groupBy("cohort", "value").agg(F.sum("n").alias("count"))
+    total = counts.groupBy("cohort").agg(F.sum("count").alias("total"))
+    return rounded(counts.join(total, "cohort").select("cohort", "value", "count", (F.col("count") / F.col("total")).alias("share")))
 
 
 @query("ct_binned", sql=f"""
