@@ -306,7 +306,7 @@ class Scan:
         for row, at, start, end, most, names in found:
             items[row] |= names
             words[row].extend(at.tolist())
-            spans[row].extend(np.stack([start, end], axis=1).ravel().__sub__(offsets[row]).tolist())
+            spans[row].extend((np.stack([start, end], axis=1).ravel() - offsets[row]).tolist())
             longest[row] = max(longest[row], most)
         return {"n_words": pa.array(counts, pa.int64()), "longest": pa.array(longest), "items": pa.array([sorted(x) for x in items], pa.list_(pa.string())),
                 "words": pa.array(words, pa.list_(pa.int32())), "spans": pa.array(spans, pa.list_(pa.int64()))}

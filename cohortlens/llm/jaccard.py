@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,8 @@ WORD = byte_class(lambda b: b != 32 and not 9 <= b <= 13)
 #: Share of the hash range that the first screen looks at, and the rows of a screened chunk.
 SAMPLE = 0.35
 CHUNK_ROWS = 60_000
-BITS = 8
+#: Words of 64 bits in a set's parity bitmap.
+BITS = 32
 _KINDS = "b" + " long, b".join(map(str, range(BITS))) + " long"
 
 
@@ -71,20 +73,29 @@ def _screen(rows: DataFrame, words: int, percent: int) -> DataFrame:
 
     Of the n-grams in the lowest ``SAMPLE`` of the hash range, a set may lack at most its spare members in a partner,
     so all others occur in another document.  N-grams are dealt as packed hashes, once per chunk of documents, to
-    ranges of the hash space; ranges answer how many of each document's occur again.  An answer that is too high
-    (equal 32-bit remainders) only lets a document through."""
+    ranges of the hash space; ranges answer chunks how many of each document's occur again.  An answer that is too
+    high (equal 32-bit remainders) only lets a document through."""
     width = shuffle_width(rows)
     limit = int(SAMPLE * (1 << 64))
     per = limit // width + 1
+    fields = {"part": pa.int32(), "chunk": pa.int64(), "place": pa.binary(), "hash": pa.binary(), "nobody": pa.binary(),
+              "refs": pa.binary(), "shared": pa.binary(), "sampled": pa.binary(), "size": pa.binary()}
+    schema = "part int, chunk long, place binary, hash binary, nobody binary, refs binary, shared binary, sampled binary, size binary"
+
+    def records(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(fields.values())], names=list(fields))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        chunk = 0
         for batch in batches:
             for at in range(0, len(batch), CHUNK_ROWS):
-                yield pack(batch.slice(at, CHUNK_ROWS))
+                yield pack(batch.slice(at, CHUNK_ROWS), task + chunk)
+                chunk += 1
 
-    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def pack(batch: pa.RecordBatch, chunk: int) -> pa.RecordBatch:
         refs = batch.column("ref").to_numpy()
-        all_rows, all_hashes, sizes = [], [], np.zeros(len(refs), np.int64)
+        all_rows, all_hashes, sizes = [np.zeros(0, np.uint16)], [np.zeros(0, np.uint64)], np.zeros(len(refs), np.int64)
         for lo, hi, data, offsets in text_slices(batch.column("text")):
             row, h = gram_sets(data, offsets, words)
             sizes[lo:hi] = np.bincount(row, minlength=hi - lo)
@@ -95,63 +106,58 @@ def _screen(rows: DataFrame, words: int, percent: int) -> DataFrame:
         sampled = np.bincount(row, minlength=len(refs))
         order = np.argsort(h)
         row, h = row[order], h[order]
-        equal = h[1:] == h[:-1]
-        twice = np.concatenate(([False], equal)) | np.concatenate((equal, [False])) if len(h) else np.zeros(0, bool)
+        first, last = np.ones(len(h), bool), np.ones(len(h), bool)
+        first[1:] = h[1:] != h[:-1]
+        last[:-1] = first[1:]
+        twice = ~(first & last)
         local = np.bincount(row[twice], minlength=len(refs))
         # what occurs twice in the chunk goes once, for no document
-        send = ~twice
-        send[np.flatnonzero(twice & ~np.concatenate(([False], equal)) if len(h) else twice)] = True
-        row, h, nobody = row[send], h[send], twice[send]
+        row, h, nobody = row[first], h[first], twice[first]
         part = (h // np.uint64(per)).astype(np.int64)
         bounds = np.searchsorted(part, np.arange(width + 1))
         small = h.astype(np.uint32)
-        out: list[tuple] = []
-        for p in np.flatnonzero(np.diff(bounds)):
-            a, b = bounds[p], bounds[p + 1]
-            mine, place = np.unique(row[a:b], return_inverse=True)
-            out.append((int(p), refs[mine].tobytes(), place.astype(np.uint16).tobytes(), small[a:b].tobytes(), np.packbits(nobody[a:b]).tobytes(), b"", b"", b""))
-        for p in range(0, len(refs), 2048):
-            q = slice(p, p + 2048)
-            out.append((int(refs[p] % width), refs[q].tobytes(), b"", b"", b"", local[q].tobytes(), sampled[q].tobytes(), sizes[q].tobytes()))
-        names = ["part", "refs", "place", "hash", "nobody", "shared", "sampled", "size"]
-        kinds = [pa.int32()] + [pa.binary()] * 7
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        out = [(int(p), chunk, row[a:b].tobytes(), small[a:b].tobytes(), np.packbits(nobody[a:b]).tobytes(), b"", b"", b"", b"")
+               for p, a, b in zip(range(width), bounds[:-1], bounds[1:], strict=True) if a < b]
+        out.append((chunk % width, chunk, b"", b"", b"", refs.tobytes(), local.tobytes(), sampled.tobytes(), sizes.tobytes()))
+        return records(out)
 
     def answer(table: pa.Table) -> pa.Table:
-        records = table.to_pylist()
-        dealt = [r for r in records if r["hash"]]
+        """Per chunk: documents (by place) with the number of their n-grams that occur again; chunks' own rows pass."""
+        found = table.to_pylist()
+        out = [tuple(r[k] for k in fields) for r in found if r["refs"]]
+        dealt = [r for r in found if r["hash"]]
         hashes = [np.frombuffer(r["hash"], np.uint32) for r in dealt]
-        refs, shared, sampled, sizes = [], [], [], []
         if dealt:
             flat = np.concatenate(hashes)
-            weight = np.concatenate([np.unpackbits(np.frombuffer(r["nobody"], np.uint8), count=len(h)) for r, h in zip(dealt, hashes, strict=True)]).astype(bool)
+            nobody = np.concatenate([np.unpackbits(np.frombuffer(r["nobody"], np.uint8), count=len(h)) for r, h in zip(dealt, hashes, strict=True)]).astype(bool)
             order = np.argsort(flat, kind="stable")
             equal = flat[order][1:] == flat[order][:-1]
             again = np.empty(len(flat), bool)
             again[order] = np.concatenate(([False], equal)) | np.concatenate((equal, [False]))
-            counts = again & ~weight
+            again &= ~nobody
             at = 0
             for r, h in zip(dealt, hashes, strict=True):
-                mine = np.frombuffer(r["refs"], np.int64)
-                n = np.bincount(np.frombuffer(r["place"], np.uint16), weights=counts[at:at + len(h)], minlength=len(mine)).astype(np.int64)
+                place = np.frombuffer(r["place"], np.uint16)[again[at:at + len(h)]]
                 at += len(h)
-                some = n > 0
-                refs.append(mine[some])
-                shared.append(n[some])
-                sampled.append(np.zeros(int(some.sum()), np.int64))
-                sizes.append(np.zeros(int(some.sum()), np.int64))
-        for r in records:
-            if r["size"]:
-                refs.append(np.frombuffer(r["refs"], np.int64))
-                for to, name in ((shared, "shared"), (sampled, "sampled"), (sizes, "size")):
-                    to.append(np.frombuffer(r[name], np.int64))
-        return pa.table({"ref": np.concatenate(refs), "shared": np.concatenate(shared), "sampled": np.concatenate(sampled), "size": np.concatenate(sizes)})
-
-    packed = rows.select("ref", "text").mapInArrow(work, "part int, refs binary, place binary, hash binary, nobody binary, shared binary, sampled binary, size binary")
-    answers = packed.groupBy("part").applyInArrow(answer, "ref long, shared long, sampled long, size long")
-    return (answers.groupBy("ref").agg(F.sum("shared").alias("shared"), F.max("sampled").alias("sampled"), F.max("size").alias("size"))
-            .where((F.col("size") > 0) & (F.col("sampled") - F.col("shared") <= F.floor(F.col("size") * (100 - percent) / 100)))
-            .select("ref"))
+                documents, counts = np.unique(place, return_counts=True)
+                if len(documents):
+                    out.append((r["part"], r["chunk"], documents.tobytes(), b"", b"", b"", counts.astype(np.int64).tobytes(), b"", b""))
+        return pa.Table.from_batches([records(out)])
+
+    def gather(table: pa.Table) -> pa.Table:
+        found = table.to_pylist()
+        own = next(r for r in found if r["refs"])
+        refs = np.frombuffer(own["refs"], np.int64)
+        shared = np.frombuffer(own["shared"], np.int64).copy()
+        for r in found:
+            if r["place"]:
+                shared[np.frombuffer(r["place"], np.uint16)] += np.frombuffer(r["shared"], np.int64)
+        size = np.frombuffer(own["size"], np.int64)
+        stays = (size > 0) & (np.frombuffer(own["sampled"], np.int64) - shared <= _spare(size, percent))
+        return pa.table({"ref": refs[stays]})
+
+    packed = rows.select("ref", "text").mapInArrow(work, schema)
+    return packed.groupBy("part").applyInArrow(answer, schema).groupBy("chunk").applyInArrow(gather, "ref long").distinct()
 
 
 # -- sets of the documents that are left -------------------------------------------------------------------------
@@ -184,23 +190,33 @@ def _sets(rows: DataFrame, kind: str, words: int) -> DataFrame:
 
 
 def _prefixes(nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, size, prefix): prefixes under the order by document frequency, then hash, without n-grams of one set."""
+    """(node, size, ahead, prefix): prefixes under the order by document frequency, then hash, without the n-grams of
+    one set alone, of which ``ahead`` come first."""
     members = nodes.select("node", "size", F.explode("grams").alias("gram"))
     frequent = members.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
     known = (members.join(frequent, "gram").groupBy("node", "size")
              .agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("known")))
     # the n-grams that are left out come first in the order
-    rest = F.floor(F.col("size") * (100 - percent) / 100) + 1 - (F.col("size") - F.size("known"))
+    ahead = F.col("size") - F.size("known")
+    rest = F.floor(F.col("size") * (100 - percent) / 100) + 1 - ahead
     return (known.withColumn("rest", rest.cast("int")).where("rest > 0")
-            .select("node", "size", F.transform(F.slice("known", 1, F.col("rest")), lambda x: x["gram"]).alias("prefix")))
+            .select("node", "size", ahead.cast("int").alias("ahead"), F.transform(F.slice("known", 1, F.col("rest")), lambda x: x["gram"]).alias("prefix")))
+
+
+def _sizes(a: str, b: str, percent: int) -> Column:
+    """What two sets' sizes allow, and the places of a shared n-gram in their orders: similar sets share one that
+    has no more n-grams ahead of it than either may lack, which depends on both sizes."""
+    x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
+    overlap = F.ceil(F.lit(percent) * (x + y) / F.lit(100 + percent))
+    return ((F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y))
+            & (F.col(f"{a}.ahead") <= x - overlap) & (F.col(f"{b}.ahead") <= y - overlap))
 
 
 def _close(a: str, b: str, percent: int) -> Column:
     """What two sets' sizes and bitmaps allow: the difference of the sets is at least that of their parities."""
-    x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
     apart = sum((F.bit_count(F.col(f"{a}.b{k}").bitwiseXOR(F.col(f"{b}.b{k}"))) for k in range(BITS)), F.lit(0))
-    return ((F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y))
-            & (F.lit(100 + percent) * apart <= F.lit(100 - percent) * (x + y)))
+    both = F.col(f"{a}.size") + F.col(f"{b}.size")
+    return _sizes(a, b, percent) & (F.lit(100 + percent) * apart <= F.lit(100 - percent) * both)
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -212,39 +228,74 @@ def _verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.where(F.lit(100) * both >= F.lit(percent) * (F.col("sa") + F.col("sb") - both)).select("a", "b")
 
 
+def _entries(labelled: DataFrame) -> DataFrame:
+    """(gram, node, label, size, ahead): prefix members with the number of n-grams ahead of them in their set."""
+    exploded = labelled.select(F.posexplode("prefix").alias("at", "gram"), "node", "label", "size", "ahead")
+    return exploded.withColumn("ahead", F.col("ahead") + F.col("at")).drop("at")
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b")]
+
+
+def _hub_pairs(entries: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Every entry with one other of its n-gram, in its size class or the one below: another one for every n-gram and
+    turn, so that a large class of similar documents hangs together although its pairs aren't enumerated."""
+    sized = entries.withColumn("class", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))
+    hubs = (sized.groupBy("gram", "class")
+            .agg(F.min_by(F.struct("size", "node", "ahead", "label"), F.xxhash64("gram", "node", F.lit(turn))).alias("hub"))
+            .select("gram", "class", "hub.*"))
+    near = sized.select("*", F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("of")).drop("class").withColumnRenamed("of", "class")
+    return (hubs.alias("h").join(near.alias("p"), (F.col("h.gram") == F.col("p.gram")) & (F.col("h.class") == F.col("p.class"))
+                                 & (F.col("h.label") != F.col("p.label")) & _sizes("h", "p", percent))
+            .select(*_pair("h", "p")))
+
+
+def _cross_pairs(entries: DataFrame, nodes: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
+    """All pairs of different classes that share an entry's n-gram and can be similar.
+
+    Only n-grams of more than one class are looked at: a document outside an n-gram's largest class meets all others
+    of other classes."""
+    counted = entries.groupBy("gram", "label").agg(F.count("*").alias("n"))
+    split = (counted.groupBy("gram").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels"))
+             .where("labels > 1").select("gram", F.col("most.label").alias("major")))
+    bits = nodes.select("node", *[f"b{k}" for k in range(BITS)])
+    mixed = scratch.put(entries.join(split, "gram").join(bits, "node"), name)
+    x, y = mixed.where("label != major").alias("x"), mixed.alias("y")
+    return (x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") != F.col("y.label"))
+                   & ((F.col("y.label") == F.col("y.major")) | (F.col("x.node") < F.col("y.node"))) & _close("x", "y", percent))
+            .select(*_pair("x", "y")))
+
+
 def _links(nodes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """(node, label): classes of the sets that are linked.  Every link lies within a class; links that join no
-    two classes needn't be looked at, so the pairs of a large class are never enumerated."""
-    bits = [f"b{k}" for k in range(BITS)]
-    prefixed = scratch.put(_prefixes(nodes, percent).join(nodes.select("node", *bits), "node"), "prefixes")
+    """(node, label): classes of the sets that are linked, labelled by their lowest node.
+
+    Sets with equal prefix and size are a group; groups are paired through their heads and expanded to members with
+    their head.  Every round verifies pairs of different classes and merges the classes they link; the last two
+    rounds (by an eighth of the n-grams, then by the rest) look at all pairs of different classes, so no link between
+    classes is lost."""
+    prefixed = scratch.put(_prefixes(nodes, percent), "prefixes")
     grouped = scratch.put(prefixed.join(prefixed.groupBy("size", "prefix").agg(F.min("node").alias("head")), ["size", "prefix"])
-                          .select("node", "head", "size", "prefix", *bits), "groups")
-    heads = grouped.where("node = head")
-    postings = heads.select(F.explode("prefix").alias("gram"), "node", "size", *bits,
-                            F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int").alias("class"))
-    # members with their group's head; heads with the smallest head of the n-gram in their size class or the one below
+                          .select("node", "head", "size", "ahead", "prefix").withColumn("label", F.col("node")), "groups")
+
+    def merged(labelled: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+        links = scratch.put(_verify(pairs.distinct(), nodes, percent), f"links_{name}")
+        label = labelled.select("node", "label")
+        joined = (links.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
+                  .join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+                  .select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+        # the classes themselves are the nodes of these links
+        to = components(joined).select(F.col("node").alias("label"), F.col("label").alias("to"))
+        return scratch.put(labelled.join(to, "label", "left").select("node", "size", "ahead", "prefix", F.coalesce("to", "label").alias("label")), f"labelled_{name}")
+
     inside = grouped.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    hubs = postings.groupBy("gram", "class").agg(F.min(F.struct("size", "node", *bits)).alias("hub")).select("gram", "class", "hub.*")
-    near = postings.select("*", F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("of")).drop("class").withColumnRenamed("of", "class")
-    paired = (hubs.alias("h").join(near.alias("p"), (F.col("h.gram") == F.col("p.gram")) & (F.col("h.class") == F.col("p.class"))
-                                   & (F.col("h.node") != F.col("p.node")) & _close("h", "p", percent))
-              .select(F.least("h.node", "p.node").alias("a"), F.greatest("h.node", "p.node").alias("b")))
-    links = scratch.put(_verify(inside.unionByName(paired).distinct(), nodes, percent), "links0")
-    # then what joins two classes: by an eighth of the n-grams, and by the rest
-    for step, share in enumerate(("pmod(gram, 8) = 0", "pmod(gram, 8) != 0")):
-        label = components(links)
-        mine = grouped.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        entries = scratch.put(mine.select(F.explode("prefix").alias("gram"), "node", "label", "size", *bits).where(share), f"entries{step}")
-        counted = entries.groupBy("gram", "label").agg(F.count("*").alias("n"))
-        split = counted.groupBy("gram").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").select("gram", F.col("most.label").alias("major"))
-        mixed = scratch.put(entries.join(split, "gram"), f"mixed{step}")
-        # a document outside an n-gram's largest class meets all others of other classes
-        x, y = mixed.where("label != major").alias("x"), mixed.alias("y")
-        across = (x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") != F.col("y.label"))
-                         & ((F.col("y.label") == F.col("y.major")) | (F.col("x.node") < F.col("y.node"))) & _close("x", "y", percent))
-                  .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
-        links = links.unionByName(scratch.put(_verify(across, nodes, percent), f"links{step + 1}"))
-    return components(links)
+    heads = _hub_pairs(_entries(grouped.where("node = head")), percent, 0)
+    labelled = merged(grouped.drop("head"), inside.unionByName(heads), "heads")
+    labelled = merged(labelled, _hub_pairs(_entries(labelled), percent, 1), "hubs")
+    for name, share in (("eighth", "pmod(gram, 8) = 0"), ("rest", "pmod(gram, 8) != 0")):
+        entries = scratch.put(_entries(labelled).where(share), f"entries_{name}")
+        labelled = merged(labelled, _cross_pairs(entries, nodes, scratch, f"mixed_{name}", percent), name)
+    return labelled.select("node", "label")
 
 
 def classes(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
