@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 BASE = 0x9E3779B97F4A7C15
 SEED = 20_231
 #: Bytes of text worked on at once (a longer document is worked on alone).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def upper_to_lower() -> np.ndarray:

@@ -177,12 +177,15 @@ def _sets(rows: DataFrame, kind: str, words: int) -> DataFrame:
                 np.add.at(sums[1], row, mix(h + np.uint64(0x632BE59BD9B4E019)))
                 wanted = wanted_all[lo:hi].astype(bool)
                 mine = wanted[row]
-                parity = np.bincount(row[mine] * 64 * BITS + (h[mine] >> np.uint64(20) & np.uint64(64 * BITS - 1)).astype(np.int64), minlength=n * 64 * BITS) & 1
-                words_ = np.packbits(parity.astype(np.uint8).reshape(n, BITS, 64), axis=2).view(">u8").astype(np.uint64).reshape(n, BITS).view(np.int64)
+                # every member flips one bit of its set's bitmap
+                flips = np.zeros(n * BITS, np.uint64)
+                np.bitwise_xor.at(flips, row[mine] * BITS + (h[mine] >> np.uint64(20) & np.uint64(BITS - 1)).astype(np.int64),
+                                  np.uint64(1) << (h[mine] >> np.uint64(40) & np.uint64(63)))
+                bitmap = flips.reshape(n, BITS).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(lo, n), batch.column("key").slice(lo, n), pa.array(size, pa.int64()), pa.array(mix(sums[0]).view(np.int64)),
                      pa.array(mix(sums[1]).view(np.int64)), pa.array(wanted), lists(h[mine].view(np.int64), np.where(wanted, size, 0), pa.int64())]
-                    + [pa.array(np.ascontiguousarray(words_[:, k])) for k in range(BITS)],
+                    + [pa.array(np.ascontiguousarray(bitmap[:, k])) for k in range(BITS)],
                     names=["id", "key", "size", "one", "two", "wanted", "grams"] + [f"b{k}" for k in range(BITS)])
 
     return rows.select("id", "key", "text", "wanted").mapInArrow(
