@@ -156,7 +156,7 @@ def test_assemble_impute_and_constant_columns(spark):
     from cohortlens.operators.profile import constant_columns
 
     df = spark.createDataFrame([(1.0, 5.0, 1), (None, 5.0, 0), (3.0, 5.0, 1)], "a double, b double, y int")
-    skipped = M.assemble(df, ["a", "b"], "y")
+    skipped = M.assemble(df, ["a", "b"], "y", handle_invalid="skip")  # the default raises, see test_models_reports
     assert skipped.count() == 2
     filled = M.assemble(df, ["a", "b"], "y", impute="mean").orderBy("y").collect()
     assert [list(r["features"]) for r in filled][0] == [2.0, 5.0]
