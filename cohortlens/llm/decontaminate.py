@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import RangeHash, byte_class, byte_values, mix, runs, text_slices, upper_to_lower, word_bounds
-from .common import take, text_key
+from .common import Scratch, cut, take, text_key
 
 #: Digits, letters and everything beyond ASCII, as UTF-8 bytes.
 WORD = byte_class(lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
@@ -312,7 +312,7 @@ class Scan:
                 "words": pa.array(words, pa.list_(pa.int32())), "spans": pa.array(spans, pa.list_(pa.int64()))}
 
     def clean(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
-        """Texts without their hit spans (None where nothing is hit), hit words and words of each text.
+        """Texts without their hit spans (None where nothing is hit), cut words and words of each text.
 
         What is left is streamed again until no window occurs across a cut."""
         counts, found = self.hits(data, offsets)
@@ -320,45 +320,119 @@ class Scan:
         hit = np.zeros(len(counts), np.int64)
         cuts: dict[int, list[tuple[int, int, int]]] = {}
         for row, at, start, end, _, _ in found:
-            hit[row] += len(at)
             cuts.setdefault(row, []).extend(zip(at.tolist(), (start - offsets[row]).tolist(), (end - offsets[row]).tolist(), strict=True))
         for row, words in cuts.items():
-            keep = np.ones(offsets[row + 1] - offsets[row], bool)
-            last = None
-            for at, start, end in sorted(words):
-                keep[(last[1] if last and last[0] == at - 1 else start):end] = False
-                last = (at, end)
-            text = data[offsets[row]:offsets[row + 1]][keep]
-            again, more, _ = self.clean(text, np.array([0, len(text)]))
-            out[row] = text.tobytes() if again[0] is None else again[0]
-            hit[row] += more[0]
+            text = data[offsets[row]:offsets[row + 1]]
+            while words:
+                hit[row] += len(words)
+                text = _without(text, words)
+                _, again = self.hits(text, np.array([0, len(text)]))
+                words = [w for _, at, start, end, _, _ in again for w in zip(at.tolist(), start.tolist(), end.tolist(), strict=True)]
+            out[row] = text.tobytes()
         return out, hit, counts
 
 
+def _without(text: np.ndarray, words: Iterable[tuple[int, int, int]]) -> np.ndarray:
+    """The text without hit words (position, first and end byte) and what stands between neighbours among them."""
+    keep = np.ones(len(text), bool)
+    last = None
+    for at, start, end in sorted(words):
+        keep[(last[1] if last and last[0] == at - 1 else start):end] = False
+        last = (at, end)
+    return text[keep]
+
+
 def remove(docs: DataFrame, items: DataFrame, *, window: int = 10, max_coverage: float = 0.5, text_col: str = "text",
            item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, with all their columns, without contaminated spans: maximal runs of hit words (with what
-    stands between them) are cut from the text.  A row whose hit words are more than ``max_coverage`` of its words
-    is dropped.  Rows without hits, null and empty texts stay as they are.  Rows are worked on where they are:
-    blocks of items are applied one after another, each to what the earlier ones left."""
+    stands between them) are cut from the text, and what is left is searched again until no window occurs across a
+    cut.  A row whose cut words are more than ``max_coverage`` of its words is dropped.  Rows without hits, null and
+    empty texts stay as they are.
+
+    All items judge one text: the result doesn't depend on ``block_bytes``.  One block of items works on rows where
+    they are.  Of several blocks, the hits of all are collected before a text is cut; cut texts pass all blocks again.
+    That work runs when ``remove`` is called, one block at a time, and the cut texts are checkpointed."""
     names = docs.columns
     at = names.index(text_col)
     current = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     asked = take(items, id=item_id_col, text=item_text_col).select(F.col("id").cast("string").alias("id"), "text")
-    for block in _blocks(asked, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    blocks = _blocks(asked, block_bytes)
+    block = next(blocks, [])
+    if next(blocks, None) is not None:
+        key = F.sha2(F.col(f"_c{at}").cast("binary"), 256)
+        changed = _cut_texts(current.select(key.alias("key"), F.col(f"_c{at}").alias("text")), asked, window, max_coverage, block_bytes)
+        joined = current.withColumn("_key", key).join(changed, F.col("_key") == F.col("key"), "left").where("key IS NULL OR NOT dropped")
+        return joined.select(*[F.coalesce("text", c).alias(c) if c == f"_c{at}" else F.col(c) for c in current.columns]).toDF(*names)
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = Scan(shared.value, window)
+        for batch in batches:
+            for lo, hi, data, offsets in text_slices(batch.column(at)):
+                part = batch.slice(lo, hi - lo)
+                texts, hit, counts = scan.clean(data, offsets)
+                if hit.any():
+                    old = part.column(at).to_pylist()
+                    new = pa.array([o if t is None else t.decode() for o, t in zip(old, texts, strict=True)], part.schema.field(at).type)
+                    part = part.set_column(at, part.schema.field(at), new).filter(pa.array(hit <= max_coverage * counts))
+                yield part
+
+    return current.mapInArrow(work, current.schema).toDF(*names)
 
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+
+def _cut_texts(texts: DataFrame, asked: DataFrame, window: int, max_coverage: float, block_bytes: int) -> DataFrame:
+    """``(key, text, dropped)`` of the texts with hits, one row per key: what is left of each, and whether more than
+    ``max_coverage`` of its words were cut.  Equal texts have one key; only texts with hits are shuffled."""
+    spark = texts.sparkSession
+    kept = "key string, text string, n_words long, n_cut long"
+
+    def search(block: list[tuple[str | None, list[bytes]]], number: int, source: DataFrame):
+        shared = spark.sparkContext.broadcast(block)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scan = Scan(shared.value, window)
             for batch in batches:
-                for lo, hi, data, offsets in text_slices(batch.column(at)):
-                    part = batch.slice(lo, hi - lo)
-                    texts, hit, counts = scan.clean(data, offsets)
-                    if hit.any():
-                        old = part.column(at).to_pylist()
-                        new = pa.array([o if t is None else t.decode() for o, t in zip(old, texts, strict=True)], part.schema.field(at).type)
-                        part = part.set_column(at, part.schema.field(at), new).filter(pa.array(hit <= max_coverage * counts))
-                    yield part
-
-        current = current.mapInArrow(work, current.schema)
-    return current.toDF(*names)
+                for lo, hi, data, offsets in text_slices(batch.column("text")):
+                    part, got = batch.slice(lo, hi - lo), scan.records(data, offsets)
+                    n_words = pc.coalesce(part.column("n_words"), got["n_words"])  # of the text as it came in
+                    found = pa.RecordBatch.from_arrays(
+                        [part.column("key"), part.column("text"), n_words, part.column("n_cut"), pa.array([number] * len(part), pa.int32()), got["words"], got["spans"]],
+                        names=["key", "text", "n_words", "n_cut", "block", "words", "spans"])
+                    yield found.filter(pc.greater(pc.list_value_length(got["words"]), 0))
+
+        return shared, source.mapInArrow(work, kept + ", block int, words array<int>, spans array<long>")
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, cut_words = [], []
+            for row in batch.to_pylist():
+                words = set(zip(row["words"], row["spans"][::2], row["spans"][1::2], strict=True))
+                out.append(_without(np.frombuffer(row["text"].encode(), np.uint8), words).tobytes().decode())
+                cut_words.append(row["n_cut"] + len(words))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.string()), batch.column("n_words"), pa.array(cut_words, pa.int64())],
+                                             names=["key", "text", "n_words", "n_cut"])
+
+    with Scratch(spark) as scratch:
+        stored = scratch.put(asked.distinct(), "items")
+        todo = texts.select("key", "text", F.lit(None).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_cut"))
+        rounds = []
+        while True:
+            path = f"{scratch.path}/hits-{len(rounds)}"
+            for number, block in enumerate(_blocks(stored, block_bytes)):
+                shared, hits = search(block, number, todo)
+                hits.write.mode("append").parquet(path)
+                shared.destroy()
+            hits = spark.read.schema(hits.schema).parquet(path)
+            same = ["text", "n_words", "n_cut"]
+            one = hits.groupBy("key", "block").agg(*[F.first(c).alias(c) for c in (*same, "words", "spans")])
+            whole = one.groupBy("key").agg(*[F.first(c).alias(c) for c in same], *[F.flatten(F.collect_list(c)).alias(c) for c in ("words", "spans")])
+            shorter = scratch.put(whole.mapInArrow(shorten, kept), f"cut-{len(rounds)}")
+            rounds.append(shorter.withColumn("round", F.lit(len(rounds))))
+            if shorter.isEmpty():
+                break
+            todo = shorter.where(F.col("n_cut") <= max_coverage * F.col("n_words"))
+        every = rounds[0]
+        for more in rounds[1:]:
+            every = every.unionByName(more)
+        last = every.groupBy("key").agg(F.max_by(F.struct("text", (F.col("n_cut") > max_coverage * F.col("n_words")).alias("dropped")), "round").alias("last"))
+        return cut(last.select("key", "last.text", "last.dropped"))
