@@ -44,8 +44,8 @@ class Automaton:
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
     words: dict[bytes, int] = field(default_factory=dict)
-    whole: dict[int, set[str]] = field(default_factory=dict)
-    short: dict[int, dict[int, set[str]]] = field(default_factory=dict)
+    whole: dict[int, set[str | None]] = field(default_factory=dict)
+    short: dict[int, dict[int, set[str | None]]] = field(default_factory=dict)
     least: int = 0
 
     def _extend(self, last: int, c: int) -> int:
@@ -80,7 +80,7 @@ class Automaton:
         return copy
 
     @classmethod
-    def of(cls, items: Iterable[tuple[str, list[bytes]]], window: int) -> Automaton:
+    def of(cls, items: Iterable[tuple[str | None, list[bytes]]], window: int) -> Automaton:
         self = cls(window)
         coded = [(name, [self.words.setdefault(w, len(self.words)) for w in words]) for name, words in items if words]
         for _, codes in coded:
@@ -104,7 +104,7 @@ class Automaton:
             state = self.link[state]
         return state
 
-    def stream(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, set[str]]:
+    def stream(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, set[str | None]]:
         """Longest matching length that ends at each word, words hit by an occurring window, and items found."""
         n = len(words)
         matched, cover, found = np.zeros(n, np.int64), np.zeros(n + 1, np.int64), set()
@@ -184,12 +184,10 @@ class Screen:
         return first[enough], last[enough] + 1
 
 
-def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """Items in blocks of bounded size, streamed through the driver one partition at a time; repeated items once."""
     block, size = [], 0
     for row in items.distinct().toLocalIterator():
-        if row["id"] is None:
-            continue
         words = item_words(row["text"])
         block.append((row["id"], words))
         size += sum(map(len, words)) + len(words)
@@ -210,8 +208,8 @@ def find(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col: str = "
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased.  The items are the stated
     query set: they are taken in blocks of ``block_bytes``, each with an automaton that is sent to the executors;
-    documents pass each block.  Null and empty texts have no words and no hits; null item ids are left out, items
-    without words have no windows; repeated rows give equal results; rows of one id with other texts are kept
+    documents pass each block.  Null and empty texts have no words and no hits; items with a null id hit words like
+    others but are not among ``items``; items without words have no windows; repeated rows give equal results; rows of one id with other texts are kept
     apart; null ids stay; other columns are not read.
     """
     if window < 1:
@@ -223,7 +221,7 @@ def find(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col: str = "
     schema = f"id {kind}, n_words long, longest long, items array<string>, words array<int>, spans array<long>"
     keyed = rows.withColumn("key", text_key(F.col("text")))
 
-    def against(block: list[tuple[str, list[bytes]]], source: DataFrame, only_hits: bool) -> DataFrame:
+    def against(block: list[tuple[str | None, list[bytes]]], source: DataFrame, only_hits: bool) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +232,7 @@ def find(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col: str = "
                     if "key" in batch.schema.names:
                         out["key"] = batch.column("key").slice(lo, hi - lo)
                     got = pa.RecordBatch.from_pydict(out)
-                    yield got.filter(pc.greater(pc.list_value_length(got.column("items")), 0)) if only_hits else got
+                    yield got.filter(pc.greater(pc.list_value_length(got.column("words")), 0)) if only_hits else got
 
         return source.mapInArrow(work, schema + ", key long" * ("key" in source.columns))
 
@@ -274,7 +272,7 @@ def find(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col: str = "
 class Scan:
     """One block of items against slices of texts."""
 
-    def __init__(self, block: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, block: list[tuple[str | None, list[bytes]]], window: int):
         self.automaton = Automaton.of(block, window)
         self.screen = Screen([w for _, w in block if w], self.automaton.least)
 
@@ -299,7 +297,7 @@ class Scan:
     def records(self, data: np.ndarray, offsets: np.ndarray) -> dict[str, pa.Array]:
         counts, found = self.hits(data, offsets)
         n = len(counts)
-        items: list[set[str]] = [set() for _ in range(n)]
+        items: list[set[str | None]] = [set() for _ in range(n)]
         words: list[list[int]] = [[] for _ in range(n)]
         spans: list[list[int]] = [[] for _ in range(n)]
         longest = np.zeros(n, np.int64)
@@ -308,7 +306,7 @@ class Scan:
             words[row].extend(at.tolist())
             spans[row].extend((np.stack([start, end], axis=1).ravel() - offsets[row]).tolist())
             longest[row] = max(longest[row], most)
-        return {"n_words": pa.array(counts, pa.int64()), "longest": pa.array(longest), "items": pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+        return {"n_words": pa.array(counts, pa.int64()), "longest": pa.array(longest), "items": pa.array([sorted(x - {None}) for x in items], pa.list_(pa.string())),
                 "words": pa.array(words, pa.list_(pa.int32())), "spans": pa.array(spans, pa.list_(pa.int64()))}
 
     def clean(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes | None], np.ndarray, np.ndarray]:
