@@ -18,11 +18,21 @@ ROUNDS = 8
 DEFAULT_KEY = b"cohortlens: replace this key"
 FIRST_DAY = dt.date(1900, 1, 1).toordinal()
 LAST_DAY = dt.date(2099, 12, 31).toordinal()
-#: Length of an IBAN by country (fixed values, a selection of the registry).
+#: Length of an IBAN by country (fixed values, the whole registry).
 IBAN_LENGTH = {
-    "AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27,
-    "HU": 28, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24,
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28,
+    "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28,
+    "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24,
+    "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26,
+    "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
 }
+#: Each length's countries, then so many characters, with a blank before any of them.
+_IBAN = "|".join(f"(?:{'|'.join(c for c in sorted(IBAN_LENGTH) if IBAN_LENGTH[c] == n)})[0-9]{{2}}(?: ?[0-9A-Z]){{{n - 4}}}" for n in sorted(set(IBAN_LENGTH.values())))
+#: Country calling codes of one and two digits; all others have three.
+CALLING = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
 
 
 class Feistel:
@@ -35,13 +45,16 @@ class Feistel:
     def __init__(self, key: bytes, tweak: str, low: int, high: int):
         self.low, self.high = low, high
         self.size = low * high
-        self.key = hashlib.blake2b(tweak.encode() + b"\0%d\0%d" % (low, high), key=hashlib.sha256(key).digest()[:32]).digest()
+        sizes = b"\0%d\0%d" % (low, high) if self.size.bit_length() <= 4096 else b"\0%x\0%x" % (low, high)
+        self.key = hashlib.blake2b(tweak.encode() + sizes, key=hashlib.sha256(key).digest()[:32]).digest()
         self.shift = 1 + self._round(ROUNDS, 0) % max(1, self.size - 1)
 
     def _round(self, i: int, half: int) -> int:
         raw = half.to_bytes((half.bit_length() + 7) // 8, "big")
         width = max(16, (max(self.low, self.high).bit_length() + 7) // 8 + 8)
-        return int.from_bytes(hashlib.blake2b(raw, key=self.key, salt=bytes([i]), digest_size=min(64, width)).digest(), "big")
+        if width > 64:  # a hash as wide as the half, so that every digit of a long value changes
+            return int.from_bytes(hashlib.shake_256(self.key + bytes([i]) + raw).digest(width), "big")
+        return int.from_bytes(hashlib.blake2b(raw, key=self.key, salt=bytes([i]), digest_size=width).digest(), "big")
 
     def _forward(self, x: int) -> int:
         a, b = x % self.low, x // self.low
@@ -144,8 +157,28 @@ def _card(p: Permuter, s: str) -> str | None:
     return "".join(next(new) if c.isdigit() else c for c in s)
 
 
+def _abroad(p: Permuter, s: str) -> str | None:
+    """Numbers with a country code other than 1, which stays; one digit in brackets is a trunk prefix."""
+    places = [i for i, c in enumerate(s) if c.isdigit() and not (s[i - 1] == "(" and s[i + 1:i + 2] == ")")]
+    digits = "".join(s[i] for i in places)
+    code = next(digits[:n] for n in (1, 2, 3) if n == 3 or digits[:n] in CALLING)
+    if not 8 <= len(digits) <= 15:
+        return None
+    # the digit after the code stays: it tells a trunk zero or a kind of number
+    kept = digits[:len(code) + 1]
+    out = list(s)
+    for i, c in zip(places, kept + p.text("phone+" + kept, digits[len(kept):]), strict=True):
+        out[i] = c
+    return "".join(out)
+
+
 def _phone(p: Permuter, s: str) -> str | None:
-    digits = re.sub(r"[^0-9]", "", s)[-10:]
+    digits = re.sub(r"[^0-9]", "", s)
+    if s[0] == "+" and digits[0] != "1":
+        return _abroad(p, s)
+    if s[0] == "+" and len(digits) != 11:
+        return None
+    digits = digits[-10:]
     ok = lambda d: d[0] in "23456789" and d[3] in "23456789"
     if not ok(digits):
         return None
@@ -181,10 +214,12 @@ def _ssn(p: Permuter, s: str) -> str | None:
 
 def _iban(p: Permuter, s: str) -> str | None:
     number = lambda t: int("".join(str(int(c, 36)) for c in t[4:] + t[:4]))
-    if IBAN_LENGTH.get(s[:2]) != len(s) or number(s) % 97 != 1:
+    solid = s.replace(" ", "")
+    if IBAN_LENGTH.get(solid[:2]) != len(solid) or number(solid) % 97 != 1:
         return None
-    body = p.text("iban" + s[:2], s[4:])
-    return s[:2] + f"{98 - number(s[:2] + '00' + body) % 97:02d}" + body
+    body = p.text("iban" + solid[:2], solid[4:])
+    new = iter(solid[:2] + f"{98 - number(solid[:2] + '00' + body) % 97:02d}" + body)
+    return "".join(c if c == " " else next(new) for c in s)
 
 
 def _hex(p: Permuter, s: str) -> str | None:
@@ -210,33 +245,48 @@ def _date(p: Permuter, s: str) -> str | None:
     else:
         return None
     n = LAST_DAY - FIRST_DAY + 1
-    # a month-first date goes to a date that can't be taken for a day-first one, and back
-    ok = (lambda _: True) if order != "mdy" else (lambda x: dt.date.fromordinal(FIRST_DAY + x).day > 12)
-    day = dt.date.fromordinal(FIRST_DAY + p.number("date" if order != "mdy" else "date-us", dt.date(got["y"], got["m"], got["d"]).toordinal() - FIRST_DAY, n, ok))
-    value = {"y": f"{day.year:04d}", "m": f"{day.month:02d}", "d": f"{day.day:02d}"}
+    width = {k: len(x) for k, x in zip(order, (cut[0], cut[2], cut[4]), strict=True)}
+
+    def ok(x: int) -> bool:
+        # a month-first date goes to a date that can't be taken for a day-first one, a part of one digit to one of one digit
+        day = dt.date.fromordinal(FIRST_DAY + x)
+        return (order != "mdy" or day.day > 12) and (width["d"] > 1 or day.day < 10) and (width["m"] > 1 or day.month < 10)
+
+    x = dt.date(got["y"], got["m"], got["d"]).toordinal() - FIRST_DAY
+    short = "".join(k for k in "dm" if width[k] == 1)
+    day = dt.date.fromordinal(FIRST_DAY + p.number(("date" if order != "mdy" else "date-us") + short, x, n, ok))
+    value = {"y": f"{day.year:04d}", "m": f"{day.month:0{width['m']}d}", "d": f"{day.day:0{width['d']}d}"}
     return cut[1].join(value[k] for k in order)
 
 
 #: Kind, pattern and permutation, in order of precedence where matches begin at one place.
 KINDS: tuple[tuple[str, str, Callable[[Permuter, str], str | None]], ...] = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}))*\.[A-Za-z]{2,24}\b", _email),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}))*\.[A-Za-z]{2,24}\b", _email),
     ("access_key", r"\bAKIA[0-9A-Z]{16}\b", _access_key),
-    ("iban", r"\b[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}\b", _iban),
-    ("secret", r"(?i:(?<=token = \")|(?<=token=\")|(?<=token=)|(?<=password=)|(?<=password = )|(?<=secret=)|(?<=api_key=))(?:[0-9a-f]{16,128}|[0-9A-F]{16,128})\b", _hex),
+    ("iban", rf"\b(?:{_IBAN})\b", _iban),
+    ("secret", r"(?i:(?<=token = \")|(?<=token=\")|(?<=token=)|(?<=password=)|(?<=password = )|(?<=secret=)|(?<=api_key=))(?:[0-9a-f]{16,}|[0-9A-F]{16,})\b", _hex),
     ("ipv4", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])", _ipv4),
-    ("date", r"(?<![0-9./-])(?:[0-9]{4}[-./][0-9]{2}[-./][0-9]{2}|[0-9]{2}[-./][0-9]{2}[-./][0-9]{4})(?![0-9]|[./-][0-9])", _date),
+    ("date", r"(?<![0-9./-])(?:[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./][0-9]{4})(?![0-9]|[./-][0-9])", _date),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])", _ssn),
-    ("phone", r"(?<![0-9+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9]|-[0-9])", _phone),
-    ("card", r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", _card),
+    ("phone", r"(?<![0-9+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9]|-[0-9])"
+     r"|(?<![\w+])\+(?!(?:[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./][0-9]{4})(?![ ./-]?[0-9]))"
+     r"[1-9](?:[ ./()-]{0,2}[0-9]){7,14}(?![0-9])", _phone),
+    ("card", r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}(?![0-9])", _card),
 )
 #: What a text must hold for any pattern to match.
-WORTH = re.compile(r"[0-9@]|AKIA")
+WORTH = re.compile(r"[0-9@=]|AKIA")
+
+
+#: No value of a kind other than card that begins within a run of digits ends so far behind it, secrets and names aside.
+BEHIND = 512
 
 
 class Pseudonymizer:
     def __init__(self, key: bytes, undo: bool = False):
         self.permuter = Permuter(key, undo)
+        self.each = {name: re.compile(pattern) for name, pattern, _ in KINDS}
         self.pattern = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern, _ in KINDS))
+        self.no_card = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern, _ in KINDS if name != "card"))
         self.by_kind = {name: f for name, _, f in KINDS}
 
     def __call__(self, text: str) -> tuple[str, dict[str, int]]:
@@ -244,36 +294,64 @@ class Pseudonymizer:
         counts: dict[str, int] = {}
         if not WORTH.search(text):
             return text, counts
-
-        def put(m: re.Match) -> str:
-            kind = next(k for k in self.by_kind if m[k] is not None)
-            new = self.by_kind[kind](self.permuter, m[0])
-            if new is None and kind == "card":  # a run may hold a number of usual length beside another
-                return self._cards(m[0], counts)
+        out, done, at = [], 0, 0
+        no_card = 0  # up to here, runs of digits are known to hold no card
+        while True:
+            if at < no_card:
+                m = self.no_card.search(text, at, min(len(text), no_card + BEHIND))
+                if m is None or m.start() >= no_card:
+                    at = no_card
+                    continue
+            else:
+                m = self.pattern.search(text, at)
+                if m is None:
+                    break
+            end, new = self._put(m, counts, m.start() >= no_card)
             if new is None:
-                return m[0]
-            counts[kind] = counts.get(kind, 0) + 1
-            return new
-
-        return self.pattern.sub(put, text), counts
-
-    def _cards(self, run: str, counts: dict[str, int]) -> str:
+                at = m.start() + 1
+                if m.lastgroup == "card":
+                    at, no_card = m.start(), m.end()
+                continue
+            out += [text[done:m.start()], new]
+            done = at = end
+        return "".join([*out, text[done:]]), counts
+
+    def _put(self, m: re.Match, counts: dict[str, int], cards: bool) -> tuple[int, str | None]:
+        """End and pseudonym of the first kind that is valid where a match begins."""
+        kinds = list(self.by_kind)
+        for kind in kinds[kinds.index(m.lastgroup):]:
+            k = m if kind == m.lastgroup else self.each[kind].match(m.string, m.start()) if cards or kind != "card" else None
+            new = self.by_kind[kind](self.permuter, k[0]) if k else None
+            if new is not None:
+                counts[kind] = counts.get(kind, 0) + 1
+            elif k and kind == "card":  # a run may hold a number of usual length beside another
+                new = self._cards(k[0], counts)
+            if new is not None:
+                return k.end(), new
+        return m.end(), None
+
+    def _cards(self, run: str, counts: dict[str, int]) -> str | None:
         """Numbers within a run of digit groups that as a whole is no valid number: the longest from each group."""
         parts, out, i, n = re.split(r"([ -])", run), [], 0, 0
         while i < len(parts):
-            for j in range(len(parts), i, -2):
-                new = _card(self.permuter, "".join(parts[i:j])) if parts[i].isdigit() else None
+            ends, digits = [], 0
+            for j in range(i, len(parts), 2):
+                digits += len(parts[j])
+                if digits > 19:
+                    break
+                ends.append(j + 1)
+            for j in reversed(ends):
+                new = _card(self.permuter, "".join(parts[i:j]))
                 if new is not None:
+                    n += 1
                     break
             else:
                 new, j = parts[i], i + 1
-                n -= 1
-            n += 1
-            out.append(new)
-            i = j
+            out += [new, *parts[j:j + 1]]
+            i = j + 1
         if n:
             counts["card"] = counts.get("card", 0) + n
-        return "".join(out)
+        return "".join(out) if n else None
 
 
 def pseudonymize(docs: DataFrame, *, key: bytes = DEFAULT_KEY, undo: bool = False, id_col: str = "doc_id",
@@ -281,7 +359,8 @@ def pseudonymize(docs: DataFrame, *, key: bytes = DEFAULT_KEY, undo: bool = Fals
     """``(id, text, n_replaced, kinds)``: whole texts with pseudonyms, one row per input row, without a shuffle.
 
     Found and validated: e-mail addresses, access keys, IBANs (length and check digits), secrets after a label,
-    IPv4 addresses, calendar dates, US social security numbers, North American phone numbers, payment cards (Luhn).
+    IPv4 addresses, calendar dates, US social security numbers, phone numbers (North American, others with + and
+    country code), payment cards (Luhn; beside other digits, from every group of the run).
     Texts that fail validation stay.  Equal values (cards and phones whatever their separators) have equal
     pseudonyms under one key in every row; ``undo`` gives the originals back under the same key.  ``kinds`` counts
     them as ``kind:n``, sorted and comma-joined.
