@@ -311,6 +311,12 @@ def classes(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str =
     their texts.  Null ids never name a component that has another id (their own component is then null).  Other
     columns are not read.  N-grams are compared by 64-bit hashes, whole sets by 128 bits.
     """
+    return _classes(docs, words, percent, id_col, text_col).drop("label")
+
+
+def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``classes`` and ``label``, which tells classes apart where rows of several repeat an id or have none; it is null
+    for rows that the screen found alone."""
     if not 50 <= percent <= 100 or words < 1:
         raise ValueError("percent must be 50 to 100, words at least 1")
     rows = take(docs, id=id_col, text=text_col).withColumn("key", text_key(F.col("text")))
@@ -329,22 +335,25 @@ def classes(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str =
         lowest = sets.where("wanted").groupBy("one", "two").agg(F.min("id").alias("id"))
         by_set = named.join(lowest, ["one", "two"])
         by_label = by_set.groupBy("label").agg(F.min("id").alias("component"))
-        of_set = by_set.join(by_label, "label").select("one", "two", "component", F.lit(True).alias("found"))
+        of_set = by_set.join(by_label, "label").select("one", "two", "component", "label", F.lit(True).alias("found"))
         out = sets.select("id", "key", "size", "one", "two", "wanted").join(of_set, ["one", "two"], "left")
-        return cut(out.select("id", "key", "size", F.when(F.col("wanted") & F.col("found"), F.col("component")).otherwise(F.col("id")).alias("component")))
+        return cut(out.select("id", "key", "size", F.when(F.col("wanted") & F.col("found"), F.col("component")).otherwise(F.col("id")).alias("component"),
+                              F.when(F.col("wanted"), F.col("label")).alias("label")))
 
 
 def keep_one(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, of which one of each class stays: the one with the smallest id (of
-    rows that repeat id and text, any one).  Rows with empty sets all stay, and so do rows with a null id that no
-    other row is linked with."""
+    """The rows of ``docs``, with all their columns, of which exactly one of each class stays: the one with the smallest
+    id, null ids last, and among texts of one id the one with the smallest ``text_key`` (of rows that repeat id and
+    text, any one).  Rows with empty sets all stay."""
     names = docs.columns
-    found = classes(docs, words=words, percent=percent, id_col=id_col, text_col=text_col)
+    found = _classes(docs, words, percent, id_col, text_col)
     placed = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     placed = placed.withColumns({"id": F.col(f"_c{names.index(id_col)}"), "key": text_key(F.col(f"_c{names.index(text_col)}"))})
-    stays = F.col("id").eqNullSafe(F.col("component")) | (F.col("size") == 0)
-    # rows that repeat id and text, and null ids that only have each other, need an order of their own
-    counted = found.where(stays).groupBy("id", "key").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    linked = F.col("label").isNotNull() & (F.col("size") > 0)
+    # one (id, text) of each class; the table has one row per id and text, so it alone tells which rows stay
+    counted = found.groupBy("label", "id", "key").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    first = counted.where(linked).groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key", "n", "size")).alias("row"))
+    counted = cut(first.select("row.id", "row.key", "row.n", "row.size").unionByName(counted.where(~linked).select("id", "key", "n", "size")))
     stay = placed.alias("d").join(counted.select("id", "key").alias("s").hint("shuffle_hash"), same_row("d", "s"), "left_semi")
     repeated = cut(counted.where("n > 1 AND size > 0").select("id", "key"))
     if not repeated.isEmpty():
