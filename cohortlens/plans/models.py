@@ -19,7 +19,7 @@ from cohortlens.plans.registry import query, rounded, table
 # The reference's search grids (scikit-learn names mapped to Spark ML parameters).
 GRIDS = {
     "tree": {"maxDepth": [3, 5, 7], "minInstancesPerNode": [10, 20, 30]},
-    "forest": {"numTrees": [100, 200], "maxDepth": [10, 20]},
+    "forest": {"numTrees": [100, 200], "maxDepth": [10, 20], "min_samples_split": [2, 5]},
     "boost": {"maxIter": [100, 200], "maxDepth": [3, 5], "stepSize": [0.01, 0.1], "subsamplingRate": [0.8, 1.0]},
 }
 SURGERY_GRIDS = {
@@ -153,6 +153,27 @@ def mdl_grid_forest(spark, sf_dir):
     return rounded(M.grid_results(M.grid_search(est, GRIDS["forest"], train, parallelism=8), est, GRIDS["forest"]))
 
 
+@query("mdl_grid_boost")
+def mdl_grid_boost(spark, sf_dir):
+    train, _ = prepared(spark, sf_dir)
+    est = M.boosted()
+    return rounded(M.grid_results(M.grid_search(est, GRIDS["boost"], train, parallelism=8), est, GRIDS["boost"]))
+
+
+@query("mdl_grid_surgery_forest")
+def mdl_grid_surgery_forest(spark, sf_dir):
+    train, _ = prepared(spark, sf_dir)
+    est = M.forest(weight_col="weight")
+    return rounded(M.grid_results(M.grid_search(est, SURGERY_GRIDS["forest"], train, parallelism=8), est, SURGERY_GRIDS["forest"]))
+
+
+@query("mdl_grid_surgery_boost")
+def mdl_grid_surgery_boost(spark, sf_dir):
+    train, _ = prepared(spark, sf_dir)
+    est = M.boosted()
+    return rounded(M.grid_results(M.grid_search(est, SURGERY_GRIDS["boost"], train, parallelism=8), est, SURGERY_GRIDS["boost"]))
+
+
 @query("mdl_predict")
 def mdl_predict(spark, sf_dir):
     train, test = prepared(spark, sf_dir)
@@ -187,8 +208,14 @@ def mdl_best(spark, sf_dir):
 
 @query("mdl_cv_score")
 def mdl_cv_score(spark, sf_dir):
-    """All rows, as the reference scores them."""
-    return rounded(M.cv_accuracy(M.forest(n_trees=100, max_depth=15), everything(spark, sf_dir), fold_col="all_fold"))
+    """All rows, as the reference scores them; its trees have no depth limit, Spark's end at depth 30."""
+    return rounded(M.cv_accuracy(M.forest(n_trees=100, max_depth=M.MAX_TREE_DEPTH), everything(spark, sf_dir), fold_col="all_fold"))
+
+
+@query("mdl_cv_score_boost")
+def mdl_cv_score_boost(spark, sf_dir):
+    """100 rounds at XGBoost's default depth of 6 and rate of 0.3."""
+    return rounded(M.cv_accuracy(M.boosted(n_trees=100, max_depth=6, step=0.3), everything(spark, sf_dir), fold_col="all_fold"))
 
 
 @query("mdl_val_curve")
@@ -197,6 +224,18 @@ def mdl_val_curve(spark, sf_dir):
     return rounded(M.validation_curve(lambda d: M.tree(max_depth=d, weight_col="weight"), DEPTHS, everything(spark, sf_dir), fold_col="all_fold"))
 
 
+@query("mdl_val_curve_forest")
+def mdl_val_curve_forest(spark, sf_dir):
+    """100 trees, unweighted as in the reference."""
+    return rounded(M.validation_curve(lambda d: M.forest(n_trees=100, max_depth=d), DEPTHS, everything(spark, sf_dir), fold_col="all_fold"))
+
+
+@query("mdl_val_curve_boost")
+def mdl_val_curve_boost(spark, sf_dir):
+    """100 rounds at XGBoost's default rate of 0.3, unweighted as in the reference."""
+    return rounded(M.validation_curve(lambda d: M.boosted(n_trees=100, max_depth=d, step=0.3), DEPTHS, everything(spark, sf_dir), fold_col="all_fold"))
+
+
 @query("mdl_depth_curve")
 def mdl_depth_curve(spark, sf_dir):
     train, test = prepared(spark, sf_dir)
