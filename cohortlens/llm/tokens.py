@@ -4,6 +4,7 @@ interval search, and a token over a boundary is allocated by a stated rule."""
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ from .common import take
 
 #: How the ranks' makers cut texts before merging (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space (Unicode's property) in runs so long that matching the pattern would exhaust the stack.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 MAX_VOCABULARY_BYTES = 64 << 20
 RULES = ("first", "last", "majority")
 
@@ -38,8 +41,18 @@ class Tokenizer:
             self.size[rank] = len(token)
 
     def byte_ends(self, text: str) -> np.ndarray:
-        """End of every token in the text's bytes."""
-        return np.cumsum(self.size[np.array(self.encoding.encode_ordinary(text), np.int64)])
+        """End of every token in the text's bytes.
+
+        The pattern takes a run of white space but for its last character as one piece, or the whole run at the end of
+        the text.  Long runs are cut out by that rule and merged as the pieces they are; what stands between them is
+        encoded as usual, so the tokens are the same."""
+        tokens, at = [], 0
+        for run in LONG_SPACE.finditer(text):
+            tokens += self.encoding.encode_ordinary(text[at:run.start()])
+            at = run.end() - (run.end() < len(text))
+            tokens += self.encoding._encode_single_piece(text[run.start():at])
+        tokens += self.encoding.encode_ordinary(text[at:])
+        return np.cumsum(self.size[np.array(tokens, np.int64)])
 
 
 def allocate(start: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:

@@ -1,5 +1,6 @@
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -162,3 +163,31 @@ def test_encode_and_decode_tables(spark):
     assert pieces.encode_pieces(table(spark).limit(0), v).count() == 0
     odd = spark.createDataFrame([(1, None), (2, []), (3, [None, v.byte_ids[255]])], "doc_id long, ids array<int>")
     assert got(pieces.decode_pieces(odd, v), "doc_id", "text") == [(1, ""), (2, ""), (3, "�")]
+
+
+def test_long_white_space_gives_the_same_tokens(monkeypatch):
+    tokenizer = tokens.Tokenizer(tokens.read_ranks(RANKS))
+    rng = random.Random(4)
+    texts = ["".join(rng.choice([" ", "\n", "\t", "　", "\x85", "\x1f", " a", "B", "'s", "1", "é", "!"]) * rng.choice([1, 1, 2, 7]) for _ in range(40)) for _ in range(300)]
+    plain = [np.cumsum(tokenizer.size[np.array(tokenizer.encoding.encode_ordinary(t), np.int64)]).tolist() for t in texts]
+    monkeypatch.setattr(tokens, "LONG_SPACE", re.compile(tokens.LONG_SPACE.pattern.replace("4096", "2")))
+    assert [tokenizer.byte_ends(t).tolist() for t in texts] == plain
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", " \n\t　"])
+@pytest.mark.parametrize(("head", "tail"), [("", ""), ("a", "b"), ("", " 7"), ("x\n", "")])
+def test_five_million_white_characters(unit, head, tail):
+    """The tokens of a long run repeat those of a shorter one that the pattern can take."""
+    tokenizer = tokens.Tokenizer(tokens.read_ranks(RANKS))
+    long, short = (tokenizer.byte_ends(head + unit * (n // len(unit)) + tail) for n in (5_000_000, 4_000))
+    sizes, few = np.diff(long, prepend=0), np.diff(short, prepend=0)
+    assert long[-1] == len((head + unit * (5_000_000 // len(unit)) + tail).encode())
+    assert sizes[:20].tolist() == few[:20].tolist() and set(sizes[:-20]) <= set(few)
+    assert len(sizes) == pytest.approx(len(few) * 1250, rel=0.02)
+
+
+def test_long_white_space_through_spark(spark):
+    rows = [(1, " " * 1_000_000), (2, "a" + "\t" * 1_000_000 + "b"), (3, "c d")]
+    df = tokens.count_tokens(table(spark, rows), tokens.read_ranks(RANKS))
+    tokenizer = tokens.Tokenizer(tokens.read_ranks(RANKS))
+    assert got(df, "doc_id", "doc_tokens") == [(i, len(tokenizer.byte_ends(t))) for i, t in rows]
