@@ -3,7 +3,6 @@ test items, longest matching lengths are tracked, and spans or documents beyond
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .arrays import RangeHash, byte_class, byte_values, mix, runs, text_slices, upper_to_lower, word_bounds
 from .common import Scratch, cut, take, text_key
+from .vectors import parts
 
 #: Digits, letters and everything beyond ASCII, as UTF-8 bytes.
 WORD = byte_class(lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
@@ -37,6 +37,8 @@ class Automaton:
 
     A window is ``window`` consecutive words of an item; an item of fewer, but not none, is one window.  ``whole``
     has for a state the items whose window it holds; ``short`` the same for items shorter than a window, by length.
+    Of the states on a state's suffix path, ``held`` is the one that holds its last window (-1: it is shorter), and
+    ``nearest`` the first, itself included, with short items (0: none).
     """
 
     window: int
@@ -46,6 +48,8 @@ class Automaton:
     words: dict[bytes, int] = field(default_factory=dict)
     whole: dict[int, set[str | None]] = field(default_factory=dict)
     short: dict[int, dict[int, set[str | None]]] = field(default_factory=dict)
+    held: list[int] = field(default_factory=list)
+    nearest: list[int] = field(default_factory=list)
     least: int = 0
 
     def _extend(self, last: int, c: int) -> int:
@@ -87,23 +91,27 @@ class Automaton:
             last = 0
             for c in codes:
                 last = self._extend(last, c)
+        # a suffix link leads to a shorter state, so one pass by length settles what lies above every state
+        by_length = sorted(range(1, len(self.length)), key=self.length.__getitem__)
+        self.held = [-1] * len(self.length)
+        for state in by_length:
+            above = self.held[self.link[state]]
+            self.held[state] = above if above >= 0 else state if self.length[state] >= window else -1
         for name, codes in coded:
             state, least = 0, min(window, len(codes))
             self.least = min(self.least or least, least)
             for n, c in enumerate(codes, 1):
                 state = self.next[state][c]
                 if n >= window:
-                    self.whole.setdefault(self._holding(state, window), set()).add(name)
+                    self.whole.setdefault(self.held[state], set()).add(name)
             if len(codes) < window:
-                self.short.setdefault(self._holding(state, len(codes)), {}).setdefault(len(codes), set()).add(name)
+                # the state that the whole item leads to holds it
+                self.short.setdefault(state, {}).setdefault(len(codes), set()).add(name)
+        self.nearest = [0] * len(self.length)
+        for state in by_length:
+            self.nearest[state] = state if state in self.short else self.nearest[self.link[state]]
         return self
 
-    def _holding(self, state: int, size: int) -> int:
-        """The state on the suffix path that holds the suffix of so many words."""
-        while self.length[self.link[state]] >= size:
-            state = self.link[state]
-        return state
-
     def stream(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, set[str | None]]:
         """Longest matching length that ends at each word, words hit by an occurring window, and items found."""
         n = len(words)
@@ -123,18 +131,17 @@ class Automaton:
             if size < self.least:
                 continue
             if size >= self.window:
-                found |= self.whole.get(self._holding(state, self.window), set())
+                found |= self.whole.get(self.held[state], set())
                 cover[i + 1 - self.window] += 1
                 cover[i + 1] -= 1
-            if self.short:
-                s = state
-                while s:
-                    for k, names in self.short.get(s, {}).items():
-                        if k <= size:
-                            found |= names
-                            cover[i + 1 - k] += 1
-                            cover[i + 1] -= 1
-                    s = self.link[s]
+            s = self.nearest[state]
+            while s:  # fewer steps than a window has words
+                for k, names in self.short[s].items():
+                    if k <= size:
+                        found |= names
+                        cover[i + 1 - k] += 1
+                        cover[i + 1] -= 1
+                s = self.nearest[self.link[s]]
         return matched, np.cumsum(cover[:-1]) > 0, found
 
 
@@ -184,18 +191,21 @@ class Screen:
         return first[enough], last[enough] + 1
 
 
-def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
-    """Items in blocks of bounded size, streamed through the driver one partition at a time; repeated items once."""
-    block, size = [], 0
-    for row in items.distinct().toLocalIterator():
-        words = item_words(row["text"])
-        block.append((row["id"], words))
-        size += sum(map(len, words)) + len(words)
-        if size >= limit:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+Block = list[tuple[str | None, list[bytes]]]
+
+
+def _numbered(items: DataFrame, limit: int) -> tuple[DataFrame, int]:
+    """Different items with the number of their block, and the number of blocks.  Blocks are dealt by hash and hold about
+    ``limit`` bytes of text, or their one longest item."""
+    once = items.distinct()
+    blocks = parts(once.agg(F.sum(F.octet_length("text"))).first()[0] or 0, limit)
+    return once.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")), blocks
+
+
+def _block(numbered: DataFrame, block: int) -> Block:
+    """Names and words of one block's items, the only ones that the driver holds."""
+    own = numbered.where(F.col("block") == block).select("id", "text").toArrow()
+    return [(name, item_words(text)) for name, text in zip(own.column("id").to_pylist(), own.column("text").to_pylist(), strict=True)]
 
 
 def find(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text",
@@ -208,7 +218,7 @@ def find(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col: str = "
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased.  The items are the stated
     query set: they are taken in blocks of ``block_bytes``, each with an automaton that is sent to the executors;
-    documents pass each block.  Null and empty texts have no words and no hits; items with a null id hit words like
+    documents pass each block.  Of several blocks one is held at a time, and that work runs when ``find`` is called.  Null and empty texts have no words and no hits; items with a null id hit words like
     others but are not among ``items``; items without words have no windows; repeated rows give equal results; rows of one id with other texts are kept
     apart; null ids stay; other columns are not read.
     """
@@ -221,7 +231,7 @@ def find(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col: str = "
     schema = f"id {kind}, n_words long, longest long, items array<string>, words array<int>, spans array<long>"
     keyed = rows.withColumn("key", text_key(F.col("text")))
 
-    def against(block: list[tuple[str | None, list[bytes]]], source: DataFrame, only_hits: bool) -> DataFrame:
+    def against(block: Block, source: DataFrame, only_hits: bool):
         shared = spark.sparkContext.broadcast(block)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,19 +244,23 @@ def find(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col: str = "
                     got = pa.RecordBatch.from_pydict(out)
                     yield got.filter(pc.greater(pc.list_value_length(got.column("words")), 0)) if only_hits else got
 
-        return source.mapInArrow(work, schema + ", key long" * ("key" in source.columns))
+        return shared, source.mapInArrow(work, schema + ", key long" * ("key" in source.columns))
 
-    blocks = _blocks(asked, block_bytes)
-    first = next(blocks, [])
-    second = next(blocks, None)
-    if second is None:
-        found = against(first, rows, False)
-    else:
+    numbered, blocks = _numbered(asked, block_bytes)
+    if blocks == 1:
+        return _named(against(_block(numbered, 0), rows, False)[1], id_col)
+    with Scratch(spark) as scratch:
         # beyond one block: every document passes every block, only hits are shuffled
-        base = against([], keyed, False).select("id", "key", "n_words")
-        hits = against(first, keyed, True)
-        for block in itertools.chain([second], blocks):
-            hits = hits.unionByName(against(block, keyed, True))
+        numbered = scratch.put(numbered, "items")
+        for block in range(blocks):
+            shared, found = against(_block(numbered, block), keyed, True)
+            found = found.withColumn("block", F.lit(block))
+            found.write.mode("append").parquet(f"{scratch.path}/hits")
+            shared.destroy()
+        hits = spark.read.schema(found.schema).parquet(f"{scratch.path}/hits")
+        # equal rows of one id are one row for each block
+        hits = hits.groupBy("id", "key", "block").agg(*[F.first(c).alias(c) for c in ("longest", "items", "words", "spans")])
+        base = against([], keyed, False)[1].select("id", "key", "n_words")
         merged = hits.groupBy("id", "key").agg(
             F.max("longest").alias("longest"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip(
@@ -257,7 +271,11 @@ def find(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col: str = "
                          F.coalesce("items", none.cast("array<string>")).alias("items"),
                          F.coalesce("hit.words", none.cast("array<int>")).alias("words"),
                          F.coalesce(F.flatten(F.transform("hit", lambda h: F.array(h["start"], h["end"]))), none.cast("array<bigint>")).alias("spans")))
-    # spans hold the byte range of every hit word; neighbours among the words make one range
+        return cut(_named(found, id_col))
+
+
+def _named(found: DataFrame, id_col: str) -> DataFrame:
+    """The columns of ``find``; spans hold the byte range of every hit word, neighbours among the words make one range."""
     bounds = F.arrays_zip("words", F.filter("spans", lambda _, i: i % 2 == 0).alias("start"), F.filter("spans", lambda _, i: i % 2 == 1).alias("end"))
     ranges = F.aggregate(bounds, F.array().cast("array<struct<start:bigint,end:bigint,word:int>>"), lambda done, w: F.when(
         F.get(done, F.size(done) - 1)["word"] == w["words"] - 1,
@@ -354,14 +372,13 @@ def remove(docs: DataFrame, items: DataFrame, *, window: int = 10, max_coverage:
     at = names.index(text_col)
     current = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     asked = take(items, id=item_id_col, text=item_text_col).select(F.col("id").cast("string").alias("id"), "text")
-    blocks = _blocks(asked, block_bytes)
-    block = next(blocks, [])
-    if next(blocks, None) is not None:
+    numbered, blocks = _numbered(asked, block_bytes)
+    if blocks > 1:
         key = F.sha2(F.col(f"_c{at}").cast("binary"), 256)
-        changed = _cut_texts(current.select(key.alias("key"), F.col(f"_c{at}").alias("text")), asked, window, max_coverage, block_bytes)
+        changed = _cut_texts(current.select(key.alias("key"), F.col(f"_c{at}").alias("text")), numbered, blocks, window, max_coverage)
         joined = current.withColumn("_key", key).join(changed, F.col("_key") == F.col("key"), "left").where("key IS NULL OR NOT dropped")
         return joined.select(*[F.coalesce("text", c).alias(c) if c == f"_c{at}" else F.col(c) for c in current.columns]).toDF(*names)
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+    shared = docs.sparkSession.sparkContext.broadcast(_block(numbered, 0))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = Scan(shared.value, window)
@@ -378,13 +395,13 @@ def remove(docs: DataFrame, items: DataFrame, *, window: int = 10, max_coverage:
     return current.mapInArrow(work, current.schema).toDF(*names)
 
 
-def _cut_texts(texts: DataFrame, asked: DataFrame, window: int, max_coverage: float, block_bytes: int) -> DataFrame:
+def _cut_texts(texts: DataFrame, numbered: DataFrame, blocks: int, window: int, max_coverage: float) -> DataFrame:
     """``(key, text, dropped)`` of the texts with hits, one row per key: what is left of each, and whether more than
     ``max_coverage`` of its words were cut.  Equal texts have one key; only texts with hits are shuffled."""
     spark = texts.sparkSession
     kept = "key string, text string, n_words long, n_cut long"
 
-    def search(block: list[tuple[str | None, list[bytes]]], number: int, source: DataFrame):
+    def search(block: Block, number: int, source: DataFrame):
         shared = spark.sparkContext.broadcast(block)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,13 +428,13 @@ def _cut_texts(texts: DataFrame, asked: DataFrame, window: int, max_coverage: fl
                                              names=["key", "text", "n_words", "n_cut"])
 
     with Scratch(spark) as scratch:
-        stored = scratch.put(asked.distinct(), "items")
+        stored = scratch.put(numbered, "items")
         todo = texts.select("key", "text", F.lit(None).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_cut"))
         rounds = []
         while True:
             path = f"{scratch.path}/hits-{len(rounds)}"
-            for number, block in enumerate(_blocks(stored, block_bytes)):
-                shared, hits = search(block, number, todo)
+            for number in range(blocks):
+                shared, hits = search(_block(stored, number), number, todo)
                 hits.write.mode("append").parquet(path)
                 shared.destroy()
             hits = spark.read.schema(hits.schema).parquet(path)

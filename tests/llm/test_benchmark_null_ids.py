@@ -34,7 +34,7 @@ def test_query_and_oracle_agree_on_null_ids(spark, tmp_path):
 
 
 def test_null_ids_against_window_search(spark):
-    """The table of test_contamination_matches_window_search, whose search leaves items with a null id out."""
+    """The table of test_contamination_matches_window_search, with the null id under a name."""
     docs, items = contaminated(9)
     asked = spark.createDataFrame(items, "item_id long, text string")
     df = decontaminate.find(table(spark, docs), asked, window=9)
