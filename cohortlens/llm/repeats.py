@@ -3,8 +3,10 @@
 Every window of ``size`` bytes picks the byte string of ``gram`` bytes in it with the lowest hash (the first of equal
 ones): its anchor.  Equal windows have equal anchors at equal places, so all that can match meets under one anchor,
 and an anchor that occurs once has no repeated window.  Consecutive windows with one anchor make a piece of text.
-Pieces are first shuffled as hashes only; equal pieces are collapsed; anchors with different pieces get a suffix
-array of their pieces (by Lyndon groups, see ``suffixes``), whose common prefixes tell the repeated windows.
+Equal pieces that follow each other, as in blank or ruled text, where every period has an anchor of its own, are one
+row with its number of copies.  Pieces are first shuffled as hashes only; equal pieces are collapsed; anchors with
+different pieces get a suffix array of their pieces (by Lyndon groups, see ``suffixes``), whose common prefixes tell the
+repeated windows.
 
 Anchors with very many different pieces are dealt out further: their windows are cut into narrow bands that share
 most of their bytes, and bands into single windows, so that no group grows with the number of documents.
@@ -30,6 +32,8 @@ SORT_SYMBOLS = 1 << 19
 #: Different pieces beyond which a group is dealt out further, and the windows of a band.
 GROUP_PIECES = 256
 BAND = 16
+#: Windows of a text that are cut into pieces at a time.
+CHUNK = 1 << 22
 _PLACE_BITS = np.uint64(28)
 
 
@@ -43,13 +47,27 @@ def windowed_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n - width + 1], ahead[width - 1:n])
 
 
-def cut_pieces(data: np.ndarray, offsets: np.ndarray, size: int, gram: int):
-    """Row, start, end, anchor place (within the row), anchor hash and content hash of all pieces."""
+def cut_pieces(data: np.ndarray, offsets: np.ndarray, size: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row, start, end, anchor place (within the row), anchor hash, content hash, copies and their common end of all
+    pieces, with equal neighbours as one.  A longer text is alone in its slice and taken in chunks that share no window."""
+    chunked = len(offsets) == 2 and len(data) > CHUNK + size
+    for a in range(0, len(data) - size + 1, CHUNK) if chunked else (0,):
+        part = data[a:a + CHUNK + size - 1] if chunked else data
+        got = _pieces_in(part, np.array([0, len(part)]) if chunked else offsets, size, gram)
+        if got is None:
+            continue
+        row, low, high, at, anchor, content = got
+        same = (row[1:] == row[:-1]) & (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1])
+        first = np.flatnonzero(np.concatenate(([True], ~same)))
+        last = np.append(first[1:], len(row)) - 1
+        yield row[first], low[first] + a, high[first] + a, at[first] + a, anchor[first], content[first], last - first + 1, high[last] + a
+
+
+def _pieces_in(data: np.ndarray, offsets: np.ndarray, size: int, gram: int):
+    """Row, start, end, anchor place (within the row), anchor hash and content hash of pieces."""
     n = len(data)
     if n < size:
         return None
-    if n >= 1 << int(_PLACE_BITS):
-        raise ValueError("a text is longer than 256 MB")
     ranged = RangeHash(data, byte_values())
     h = mix(ranged.every(gram))
     # hash first, place last: the first of equal hashes is the lowest
@@ -152,17 +170,15 @@ def _pieces_of(rows: DataFrame, kind: str, size: int, gram: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column("text")):
-                got = cut_pieces(data, offsets, size, gram)
-                if got is None:
-                    continue
-                row, low, high, at, anchor, content = got
-                picked = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(content), batch.column("id").slice(lo, hi - lo).take(picked), batch.column("key").slice(lo, hi - lo).take(picked),
-                     pa.array(low, pa.int64()), pa.array((high - low).astype(np.int32)), pa.array((at - low).astype(np.int32))],
-                    names=["anchor", "piece", "id", "key", "low", "length", "lead"])
+                for row, low, high, at, anchor, content, copies, reach in cut_pieces(data, offsets, size, gram):
+                    picked = pa.array(row)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(anchor), pa.array(content), batch.column("id").slice(lo, hi - lo).take(picked), batch.column("key").slice(lo, hi - lo).take(picked),
+                         pa.array(low, pa.int64()), pa.array((high - low).astype(np.int32)), pa.array((at - low).astype(np.int32)),
+                         pa.array(copies, pa.int64()), pa.array((reach - low), pa.int64())],
+                        names=["anchor", "piece", "id", "key", "low", "length", "lead", "copies", "reach"])
 
-    return rows.mapInArrow(work, f"anchor long, piece long, id {kind}, key long, low long, length int, lead int")
+    return rows.mapInArrow(work, f"anchor long, piece long, id {kind}, key long, low long, length int, lead int, copies long, reach long")
 
 
 def _bands(texts: DataFrame, size: int, band: int) -> DataFrame:
@@ -249,13 +265,14 @@ def _groups(pieces: DataFrame, weight) -> DataFrame:
 def _decide(texts: DataFrame, scratch: Scratch, size: int, bands: tuple[int, ...], level: int = 0) -> DataFrame:
     """(anchor, piece, spans) for the different pieces of anchors; crowded anchors go on in bands."""
     kinds = texts.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    crowded = kinds.where(F.col("kinds") > GROUP_PIECES).select("anchor")
+    # written, so that a join's both sides are plain shuffles, which Spark can split where one anchor is hot
+    crowded = scratch.put(kinds.where(F.col("kinds") > GROUP_PIECES).select("anchor"), f"crowded{level}")
     calm = _resolve(texts.join(crowded, "anchor", "left_anti"), size)
     if not bands or crowded.isEmpty():
         # of single windows no anchor is crowded: its pieces are all equal
         return calm
     cut_up = scratch.put(_bands(texts.join(crowded, "anchor"), size, bands[0]), f"bands{level}")
-    groups = _groups(cut_up, F.col("n"))
+    groups = scratch.put(_groups(cut_up, F.col("n")), f"groups{level}")
     shared = scratch.put(cut_up.join(groups, "anchor"), f"shared{level}")
     alike = shared.where("NOT differ").select("of_anchor", "of_piece", F.array("skip", F.col("skip") + F.length("bytes") - size + 1).alias("spans"))
     different = shared.where("differ").groupBy("anchor", "piece").agg(F.sum("n").alias("n"), F.first("lead").alias("lead"), F.first("bytes").alias("bytes"))
@@ -276,18 +293,20 @@ def repeated_spans(docs: DataFrame, *, size: int = 400, gram: int = 128, id_col:
     kind = rows.schema["id"].dataType.simpleString()
     with Scratch(docs.sparkSession) as scratch:
         pieces = scratch.put(_pieces_of(rows, kind, size, gram), "pieces")
-        shared = scratch.put(pieces.join(_groups(pieces, F.lit(1)), "anchor"), "shared")
+        groups = scratch.put(_groups(pieces, F.col("copies")), "groups")
+        shared = scratch.put(pieces.join(groups, "anchor"), "shared")
         different = (shared.where("differ").groupBy("anchor", "piece")
-                     .agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "low", "length", "lead")).alias("one")))
+                     .agg(F.sum("copies").alias("n"), F.min(F.struct("id", "key", "low", "length", "lead")).alias("one")))
         wanted = (different.groupBy(F.col("one.id").alias("id"), F.col("one.key").alias("key"))
                   .agg(F.collect_list(F.struct("anchor", "piece", "n", "one.low", "one.length", "one.lead")).alias("wanted")))
         texts = scratch.put(_texts(rows, wanted), "texts")
         decided = _decide(texts, scratch, size, (BAND, 1))
-        alike = shared.where("NOT differ").select("id", "key", F.array("low", F.col("low") + F.col("length")).alias("spans"))
+        # pieces of anchors whose pieces are all equal, and pieces that follow themselves
+        alike = shared.where("NOT differ OR copies > 1").select("id", "key", F.array("low", F.col("low") + F.col("reach")).alias("spans"))
         # windows [first, end) of a piece are bytes [first, end + size - 1)
         in_text = F.transform("spans", lambda s, i: s + F.col("low") + F.when(i % 2 == 1, F.lit(size - 1)).otherwise(F.lit(0)))
-        found = (shared.where("differ").select("anchor", "piece", "id", "key", "low").join(decided.where(F.size("spans") > 0), ["anchor", "piece"])
-                 .select("id", "key", in_text.alias("spans")))
+        found = (shared.where("differ AND copies = 1").select("anchor", "piece", "id", "key", "low")
+                 .join(decided.where(F.size("spans") > 0), ["anchor", "piece"]).select("id", "key", in_text.alias("spans")))
         return cut(alike.unionByName(found).groupBy("id", "key").agg(F.flatten(F.collect_list("spans")).alias("spans")))
 
 
@@ -308,7 +327,7 @@ def remove_repeats(docs: DataFrame, *, size: int = 400, gram: int = 128, id_col:
     Texts are taken as UTF-8 bytes and judged as they come in; matches don't cross rows, overlaps count.  ``kept``
     is binary, as a cut may fall inside a character.  Null and empty texts have no bytes, texts shorter than
     ``size`` lose none.  Repeated rows repeat each other.  Null ids stay; other columns aren't read; a table
-    without rows gives none.  A text may have up to 256 MB.
+    without rows gives none.  Long texts are cut into pieces chunk by chunk, without a limit of length.
     """
     rows = take(docs, id=id_col, text=text_col).withColumn("key", text_key(F.col("text")))
     kind = rows.schema["id"].dataType.simpleString()

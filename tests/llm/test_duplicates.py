@@ -146,3 +146,34 @@ def test_classes_without_rows_or_words(spark):
     assert got(df, "id", "size", "component") == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
     with pytest.raises(ValueError):
         jaccard.classes(table(spark), percent=40)
+
+
+def test_pieces_of_runs_are_few_and_long_texts_are_cut_in_chunks(monkeypatch):
+    rng = random.Random(4)
+    for body in (b"a" * 200_000, b"ab" * 100_000, b"0123456789 -\n" * 15_000):
+        got_ = list(repeats.cut_pieces(np.frombuffer(body, np.uint8), np.array([0, len(body)]), 400, 128))
+        assert sum(len(g[0]) for g in got_) < 50 and sum(int(g[6].sum()) for g in got_) > 10
+    body = bytes(rng.randrange(256) for _ in range(30_000)) + b"x" * 9_000
+    whole = list(repeats.cut_pieces(np.frombuffer(body, np.uint8), np.array([0, len(body)]), 400, 128))
+    monkeypatch.setattr(repeats, "CHUNK", 1 << 10)
+    parts = list(repeats.cut_pieces(np.frombuffer(body, np.uint8), np.array([0, len(body)]), 400, 128))
+    assert len(whole) == 1 and len(parts) > 30
+    # every window of the text is in exactly one piece either way, under the same anchor
+    def windows(found):
+        out = {}
+        for row, low, high, at, anchor, content, copies, reach in found:
+            for a, b, p, h, c, r in zip(low, high, at, anchor, copies, reach, strict=True):
+                last = b if c == 1 else r
+                for w in range(a, last - 400 + 1):
+                    assert w not in out
+                    out[w] = h
+        return out
+    assert windows(whole) == windows(parts) and len(windows(whole)) == len(body) - 399
+
+
+def test_repeats_in_megabytes_of_blanks_and_short_periods(spark):
+    head = "".join(chr(97 + (i * 7919) % 26) for i in range(900))
+    rows = [(1, " " * 5_000_000), (2, "ab\n" * 400_000 + head), (3, head), (4, " " * 399), (5, " " * 400), (6, "unique " + head[:300])]
+    df = repeats.remove_repeats(table(spark, rows))
+    want = {1: (5_000_000, 5_000_000, 1), 2: (1_200_900, 1_200_900, 1), 3: (900, 900, 1), 4: (399, 0, 0), 5: (400, 400, 1), 6: (307, 0, 0)}
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in df.collect()} == want
