@@ -216,10 +216,10 @@ def _sizes(a: str, b: str, percent: int) -> Column:
 
 
 def _close(a: str, b: str, percent: int) -> Column:
-    """What two sets' sizes and bitmaps allow: the difference of the sets is at least that of their parities."""
+    """What two sets' bitmaps allow: the difference of the sets is at least that of their parities."""
     apart = sum((F.bit_count(F.col(f"{a}.b{k}").bitwiseXOR(F.col(f"{b}.b{k}"))) for k in range(BITS)), F.lit(0))
     both = F.col(f"{a}.size") + F.col(f"{b}.size")
-    return _sizes(a, b, percent) & (F.lit(100 + percent) * apart <= F.lit(100 - percent) * both)
+    return F.lit(100 + percent) * apart <= F.lit(100 - percent) * both
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -231,73 +231,89 @@ def _verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.where(F.lit(100) * both >= F.lit(percent) * (F.col("sa") + F.col("sb") - both)).select("a", "b")
 
 
-def _entries(labelled: DataFrame) -> DataFrame:
-    """(gram, node, label, size, ahead): prefix members with the number of n-grams ahead of them in their set."""
-    exploded = labelled.select(F.posexplode("prefix").alias("at", "gram"), "node", "label", "size", "ahead")
-    return exploded.withColumn("ahead", F.col("ahead") + F.col("at")).drop("at")
+def _entries(labelled: DataFrame, percent: int) -> DataFrame:
+    """(gram, head, label, size, ahead, class): members of groups' prefixes with the number of n-grams ahead of them, once
+    for every class of documents that a group has members of; similar sets are of one size class or of neighbouring ones."""
+    groups = labelled.groupBy("head", "label").agg(*[F.first(c).alias(c) for c in ("prefix", "size", "ahead")])
+    exploded = groups.select(F.posexplode("prefix").alias("at", "gram"), "head", "label", "size", "ahead")
+    # a base above the largest ratio of sizes leaves room for rounding
+    kind = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.2 / percent))).cast("int")
+    return exploded.withColumn("ahead", F.col("ahead") + F.col("at")).withColumn("class", kind).drop("at")
 
 
-def _pair(x: str, y: str) -> list[Column]:
-    return [F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b")]
+def _group_pair(x: str, y: str) -> list[Column]:
+    return [F.col(f"{x}.head").alias("ha"), F.col(f"{x}.label").alias("la"), F.col(f"{y}.head").alias("hb"), F.col(f"{y}.label").alias("lb")]
 
 
 def _hub_pairs(entries: DataFrame, percent: int, turn: int) -> DataFrame:
     """Every entry with one other of its n-gram, in its size class or the one below: another one for every n-gram and
     turn, so that a large class of similar documents hangs together although its pairs aren't enumerated."""
-    sized = entries.withColumn("class", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))
-    hubs = (sized.groupBy("gram", "class")
-            .agg(F.min_by(F.struct("size", "node", "ahead", "label"), F.xxhash64("gram", "node", F.lit(turn))).alias("hub"))
+    hubs = (entries.groupBy("gram", "class")
+            .agg(F.min_by(F.struct("size", "head", "ahead", "label"), F.xxhash64("gram", "head", F.lit(turn))).alias("hub"))
             .select("gram", "class", "hub.*"))
-    near = sized.select("*", F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("of")).drop("class").withColumnRenamed("of", "class")
+    near = entries.select("*", F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("of")).drop("class").withColumnRenamed("of", "class")
     return (hubs.alias("h").join(near.alias("p"), (F.col("h.gram") == F.col("p.gram")) & (F.col("h.class") == F.col("p.class"))
                                  & (F.col("h.label") != F.col("p.label")) & _sizes("h", "p", percent))
-            .select(*_pair("h", "p")))
+            .select(*_group_pair("h", "p")).distinct())
 
 
-def _cross_pairs(entries: DataFrame, nodes: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
-    """All pairs of different classes that share an entry's n-gram and can be similar.
+def _cross_pairs(entries: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
+    """All pairs of groups' parts of different classes that share an entry's n-gram and can be similar.
 
-    Only n-grams of more than one class are looked at: a document outside an n-gram's largest class meets all others
-    of other classes."""
+    Only n-grams of more than one class are looked at: a group outside an n-gram's largest class meets all others of other
+    classes, of its size class and its neighbours."""
     counted = entries.groupBy("gram", "label").agg(F.count("*").alias("n"))
     split = (counted.groupBy("gram").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels"))
              .where("labels > 1").select("gram", F.col("most.label").alias("major")))
-    bits = nodes.select("node", *[f"b{k}" for k in range(BITS)])
-    mixed = scratch.put(entries.join(split, "gram").join(bits, "node"), name)
-    x, y = mixed.where("label != major").alias("x"), mixed.alias("y")
-    return (x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") != F.col("y.label"))
-                   & ((F.col("y.label") == F.col("y.major")) | (F.col("x.node") < F.col("y.node"))) & _close("x", "y", percent))
-            .select(*_pair("x", "y")))
+    mixed = scratch.put(entries.join(scratch.put(split, f"{name}_split"), "gram"), name)
+    other = mixed.select("*", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])).alias("of"))
+    x, y = mixed.where("label != major").alias("x"), other.alias("y")
+    return (x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.class") == F.col("y.of")) & (F.col("x.label") != F.col("y.label"))
+                   & ((F.col("y.label") == F.col("y.major")) | (F.struct("x.head", "x.label") < F.struct("y.head", "y.label"))) & _sizes("x", "y", percent))
+            .select(*_group_pair("x", "y")).distinct())
+
+
+def _expand(pairs: DataFrame, labelled: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of paired groups' parts that their sizes and bitmaps let be similar."""
+    members = labelled.select("node", "head", "label").join(nodes.select("node", "size", *[f"b{k}" for k in range(BITS)]), "node")
+    joined = (pairs.join(members.alias("x"), (F.col("x.head") == F.col("ha")) & (F.col("x.label") == F.col("la")))
+              .join(members.alias("y"), (F.col("y.head") == F.col("hb")) & (F.col("y.label") == F.col("lb")) & _close("x", "y", percent)))
+    return joined.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def _links(nodes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """(node, label): classes of the sets that are linked, labelled by their lowest node.
 
-    Sets with equal prefix and size are a group; groups are paired through their heads and expanded to members with
-    their head.  Every round verifies pairs of different classes and merges the classes they link; the last two
-    rounds (by an eighth of the n-grams, then by the rest) look at all pairs of different classes, so no link between
-    classes is lost."""
+    Sets with equal prefix and size are a group.  Every round pairs groups, those of their parts that are of different
+    classes; the pairs are expanded to members, filtered and verified, and the classes they link are merged.  The last
+    two rounds (by an eighth of the n-grams, then by the rest) look at all pairs of different classes, parts of one group
+    included, so no link between classes is lost.  All members of a group are first verified with its head."""
     prefixed = scratch.put(_prefixes(nodes, percent), "prefixes")
     grouped = scratch.put(prefixed.join(prefixed.groupBy("size", "prefix").agg(F.min("node").alias("head")), ["size", "prefix"])
                           .select("node", "head", "size", "ahead", "prefix").withColumn("label", F.col("node")), "groups")
 
     def merged(labelled: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-        links = scratch.put(_verify(pairs.distinct(), nodes, percent), f"links_{name}")
+        links = scratch.put(_verify(pairs, nodes, percent), f"links_{name}")
         label = labelled.select("node", "label")
         joined = (links.join(label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
                   .join(label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
                   .select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
-        # the classes themselves are the nodes of these links
-        to = components(joined).select(F.col("node").alias("label"), F.col("label").alias("to"))
-        return scratch.put(labelled.join(to, "label", "left").select("node", "size", "ahead", "prefix", F.coalesce("to", "label").alias("label")), f"labelled_{name}")
+        # the classes themselves are the nodes of these links; written, so that a class with very many members, one
+        # partition of a plain shuffle, can be split
+        to = scratch.put(components(joined).select(F.col("node").alias("label"), F.col("label").alias("to")), f"to_{name}")
+        return scratch.put(labelled.join(to, "label", "left").select("node", "head", "size", "ahead", "prefix", F.coalesce("to", "label").alias("label")), f"labelled_{name}")
+
+    def round_(labelled: DataFrame, find, name: str) -> DataFrame:
+        pairs = scratch.put(find(labelled), f"pairs_{name}")
+        return merged(labelled, _expand(pairs, labelled, nodes, percent), name)
 
     inside = grouped.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    heads = _hub_pairs(_entries(grouped.where("node = head")), percent, 0)
-    labelled = merged(grouped.drop("head"), inside.unionByName(heads), "heads")
-    labelled = merged(labelled, _hub_pairs(_entries(labelled), percent, 1), "hubs")
+    heads = _hub_pairs(_entries(grouped.where("node = head"), percent), percent, 0).select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+    labelled = merged(grouped, inside.unionByName(heads).distinct(), "heads")
+    labelled = round_(labelled, lambda t: _hub_pairs(_entries(t, percent), percent, 1), "hubs")
     for name, share in (("eighth", "pmod(gram, 8) = 0"), ("rest", "pmod(gram, 8) != 0")):
-        entries = scratch.put(_entries(labelled).where(share), f"entries_{name}")
-        labelled = merged(labelled, _cross_pairs(entries, nodes, scratch, f"mixed_{name}", percent), name)
+        labelled = round_(labelled, lambda t, name=name, share=share: _cross_pairs(
+            scratch.put(_entries(t, percent).where(share), f"entries_{name}"), scratch, f"mixed_{name}", percent), name)
     return labelled.select("node", "label")
 
 
@@ -334,7 +350,7 @@ def _classes(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
         named = nodes.select("one", "two", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
         lowest = sets.where("wanted").groupBy("one", "two").agg(F.min("id").alias("id"))
         by_set = named.join(lowest, ["one", "two"])
-        by_label = by_set.groupBy("label").agg(F.min("id").alias("component"))
+        by_label = scratch.put(by_set.groupBy("label").agg(F.min("id").alias("component")), "by_label")
         of_set = by_set.join(by_label, "label").select("one", "two", "component", "label", F.lit(True).alias("found"))
         out = sets.select("id", "key", "size", "one", "two", "wanted").join(of_set, ["one", "two"], "left")
         return cut(out.select("id", "key", "size", F.when(F.col("wanted") & F.col("found"), F.col("component")).otherwise(F.col("id")).alias("component"),
