@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import RangeHash, byte_class, byte_values, lists, mix, text_slices, word_bounds
-from .common import cut, take
+from .common import cut, take, text_key
 
 #: Letters of any script as UTF-8 bytes; A-Z are folded when hashed.
 LETTERS = byte_class(lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
@@ -165,11 +165,17 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), *,
     """Fit on a bounded ``sample`` of the labels and the documents of their ids.
 
     Null labels, null ids and labels of unknown ids are left out; null texts count as empty; an id with more rows
-    or labels counts each time.  Spark extracts and counts terms; the driver gets counts per hash bucket and, of
+    or labels counts each time.  Where repeated ids join more than ``Settings.max_rows`` rows, equal ones count once, and of
+    the different ones about so many, those with the lowest hash, so that the fit stays bounded.  Spark extracts and counts terms; the driver gets counts per hash bucket and, of
     the sampled rows, the telling terms."""
     chosen = sample(labels, settings, id_col=id_col, label_col=label_col)
     # at most max_rows small rows
-    rows = take(docs, id=id_col, text=text_col).join(F.broadcast(chosen), "id").select("text", "label")
+    rows = take(docs, id=id_col, text=text_col).join(F.broadcast(chosen), "id")
+    if take(docs, id=id_col).join(F.broadcast(chosen), "id").count() > settings.max_rows:
+        rows = cut(rows.withColumn("key", text_key(F.col("text"))).groupBy("id", "key", "label").agg(F.first("text").alias("text")))
+        share = min(1.0, settings.max_rows / max(rows.count(), 1))
+        rows = rows.where(F.pmod(F.xxhash64("id", "key", "label"), F.lit(1 << 32)) < int(share * (1 << 32)))
+    rows = rows.select("text", "label")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
