@@ -9,13 +9,13 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import take
 
 ROUNDS = 8
-DEFAULT_KEY = b"cohortlens: replace this key"
 FIRST_DAY = dt.date(1900, 1, 1).toordinal()
 LAST_DAY = dt.date(2099, 12, 31).toordinal()
 #: Length of an IBAN by country (fixed values, the whole registry).
@@ -246,19 +246,24 @@ def _date(p: Permuter, s: str) -> str | None:
         return None
     n = LAST_DAY - FIRST_DAY + 1
     width = {k: len(x) for k, x in zip(order, (cut[0], cut[2], cut[4]), strict=True)}
+    form = _date_form(got["m"], got["d"])
 
     def ok(x: int) -> bool:
-        # a month-first date goes to a date that can't be taken for a day-first one, a part of one digit to one of one digit
         day = dt.date.fromordinal(FIRST_DAY + x)
-        return (order != "mdy" or day.day > 12) and (width["d"] > 1 or day.day < 10) and (width["m"] > 1 or day.month < 10)
+        return _date_form(day.month, day.day) == form
 
     x = dt.date(got["y"], got["m"], got["d"]).toordinal() - FIRST_DAY
-    short = "".join(k for k in "dm" if width[k] == 1)
-    day = dt.date.fromordinal(FIRST_DAY + p.number(("date" if order != "mdy" else "date-us") + short, x, n, ok))
+    day = dt.date.fromordinal(FIRST_DAY + p.number("date", x, n, ok))
     value = {"y": f"{day.year:04d}", "m": f"{day.month:0{width['m']}d}", "d": f"{day.day:0{width['d']}d}"}
     return cut[1].join(value[k] for k in order)
 
 
+def _date_form(month: int, day: int) -> tuple[bool, int]:
+    """What a date's image keeps, so that every way to write the one writes the other: which parts have one digit, and
+    whether the day can be taken for a month."""
+    return month < 10, (day >= 10) + (day > 12)
+
+
 #: Kind, pattern and permutation, in order of precedence where matches begin at one place.
 KINDS: tuple[tuple[str, str, Callable[[Permuter, str], str | None]], ...] = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}))*\.[A-Za-z]{2,24}\b", _email),
@@ -332,37 +337,56 @@ class Pseudonymizer:
 
     def _cards(self, run: str, counts: dict[str, int]) -> str | None:
         """Numbers within a run of digit groups that as a whole is no valid number: the longest from each group."""
-        parts, out, i, n = re.split(r"([ -])", run), [], 0, 0
-        while i < len(parts):
-            ends, digits = [], 0
-            for j in range(i, len(parts), 2):
-                digits += len(parts[j])
-                if digits > 19:
-                    break
-                ends.append(j + 1)
-            for j in reversed(ends):
-                new = _card(self.permuter, "".join(parts[i:j]))
-                if new is not None:
-                    n += 1
-                    break
-            else:
-                new, j = parts[i], i + 1
-            out += [new, *parts[j:j + 1]]
-            i = j + 1
-        if n:
-            counts["card"] = counts.get("card", 0) + n
-        return "".join(out) if n else None
-
-
-def pseudonymize(docs: DataFrame, *, key: bytes = DEFAULT_KEY, undo: bool = False, id_col: str = "doc_id",
+        first, last = card_windows(run)
+        out, done = [], 0
+        for a, b in zip(first.tolist(), last.tolist(), strict=True):
+            if a >= done:
+                out += [run[done:a], _card(self.permuter, run[a:b])]
+                done = b
+        if not out:
+            return None
+        counts["card"] = counts.get("card", 0) + len(out) // 2
+        return "".join([*out, run[done:]])
+
+
+def card_windows(run: str) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the longest valid card from each group of a run of digit groups, where there is one.
+
+    Check sums of all windows come from two prefix sums, as a digit counts double by its distance from the end."""
+    raw = np.frombuffer(run.encode(), np.uint8)
+    at = np.flatnonzero((raw >= 48) & (raw <= 57))
+    digit = raw[at].astype(np.int64) - 48
+    twice = 2 * digit - 9 * (digit > 4)
+    odd = np.arange(len(digit)) % 2 == 1
+    sums = np.zeros((2, len(digit) + 1), np.int64)
+    np.cumsum(np.where(odd, twice, digit), out=sums[0, 1:])
+    np.cumsum(np.where(odd, digit, twice), out=sums[1, 1:])
+    changes = np.concatenate(([0, 0], np.cumsum(digit[1:] != digit[:-1])))
+    begins = np.concatenate(([True], np.diff(at) > 1))
+    start = np.flatnonzero(begins)
+    ends = np.append(begins[1:], True)  # by the last digit
+    best = np.zeros(len(start), np.int64)
+    for length in range(13, 20):
+        end = start + length
+        some = np.flatnonzero(end <= len(digit))
+        s, e = start[some], end[some]
+        kind = (e - 1) % 2
+        valid = ends[e - 1] & ((sums[kind, e] - sums[kind, s]) % 10 == 0) & (changes[e] > changes[s + 1])
+        best[some[valid]] = length
+    found = best > 0
+    return at[start[found]], at[start[found] + best[found] - 1] + 1
+
+
+def pseudonymize(docs: DataFrame, *, key: bytes, undo: bool = False, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """``(id, text, n_replaced, kinds)``: whole texts with pseudonyms, one row per input row, without a shuffle.
 
     Found and validated: e-mail addresses, access keys, IBANs (length and check digits), secrets after a label,
     IPv4 addresses, calendar dates, US social security numbers, phone numbers (North American, others with + and
     country code), payment cards (Luhn; beside other digits, from every group of the run).
-    Texts that fail validation stay.  Equal values (cards and phones whatever their separators) have equal
-    pseudonyms under one key in every row; ``undo`` gives the originals back under the same key.  ``kinds`` counts
+    Texts that fail validation stay.  Equal values (cards and phones whatever their separators, dates however they are
+    written) have equal pseudonyms under one key in every row; ``undo`` gives the originals back under the same key, so
+    whoever has the key can.  ``kinds`` counts
     them as ``kind:n``, sorted and comma-joined.
 
     A null text stays null (nothing replaced), an empty one empty; repeated rows give equal results; null ids
@@ -386,7 +410,7 @@ def pseudonymize(docs: DataFrame, *, key: bytes = DEFAULT_KEY, undo: bool = Fals
     return rows.mapInArrow(work, f"id {kind}, text string, n_replaced long, kinds string").withColumnRenamed("id", id_col)
 
 
-def replace(docs: DataFrame, *, key: bytes = DEFAULT_KEY, undo: bool = False, text_col: str = "text") -> DataFrame:
+def replace(docs: DataFrame, *, key: bytes, undo: bool = False, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, with pseudonyms in their texts (see ``pseudonymize``)."""
     names = docs.columns
     at = names.index(text_col)

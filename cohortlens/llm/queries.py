@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from . import decontaminate, jaccard, licences, negatives, pieces, pii, quality, ranked, repeats, smallworld, tokens, toxicity, urls
 
 TOKENIZERS = os.environ.get("COHORTLENS_TOKENIZERS", "/opt/tokenizers")
+#: Session setting that holds the key of pseudonyms.
+PSEUDONYM_KEY = "spark.cohortlens.pseudonymKey"
+_OWN_KEY = secrets.token_bytes(32)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,11 +49,19 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
+
+
+def pseudonym_key(spark: SparkSession) -> bytes:
+    """The key in the session setting; where there is none, a random one of this driver process: values are linked within
+    its runs, and nobody can undo them afterwards."""
+    given = spark.conf.get(PSEUDONYM_KEY, None)
+    return given.encode() if given else _OWN_KEY
 
 
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(_table(spark, sf_dir, "documents"))
+    return pii.pseudonymize(_table(spark, sf_dir, "documents"), key=pseudonym_key(spark))
 
 
 def held_out(doc_id) -> Column:
@@ -120,22 +132,33 @@ b AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(action, length(
 SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.action, 'allow') AS verdict, coalesce(n, 0) AS n_rules
 FROM p LEFT JOIN b USING (page_id)""",
     "op5_licence_scan": r"""
-WITH k(licence, raw) AS (VALUES """ + ", ".join(f"('{a}', '{b}')" for a, b in licences.KNOWN) + r"""),
+WITH k(licence, raw) AS (VALUES """ + ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in licences.KNOWN) + r"""),
 src AS (SELECT 0 AS kind, doc_id AS id, '' AS licence, coalesce(text, '') AS t FROM documents
         UNION ALL SELECT 1, row_number() OVER (), licence, raw FROM k),
-m AS (SELECT kind, id, licence, ' ' || replace(regexp_replace(regexp_replace(lower(t), '(?m)^[ \t]*(\(c\)|©)', 'copyright ', 'g'),
-      '[^\p{L}\p{N}\n]+', ' ', 'g'), chr(10), ' ' || chr(10) || ' ') || ' ' AS t FROM src),
+c AS (SELECT kind, id, licence, regexp_replace(lower(t), '(?m)^[ \t]*(\(c\)|©)', 'copyright ', 'g') AS t FROM src),
+x AS (SELECT kind, id, licence, array_to_string(flatten(list_transform(string_split(t, chr(10)),
+        lambda s: CASE WHEN regexp_matches(s, '^[ \t]*copyright\b') AND NOT regexp_matches(s, '^[ \t]*copyright\W*(""" + licences.NO_CLAUSE.replace(" ", "|") + r""")\b')
+                       THEN list_filter(regexp_split_to_array(s, '[.;][ \t]+'), lambda a, i: i >= coalesce(nullif(list_position(list_transform(
+                         regexp_split_to_array(s, '[.;][ \t]+'), lambda b: regexp_matches(b, '\b(""" + licences.GRANTS.replace(" ", "|") + r""")')), true), 0), 1000000))
+                       ELSE [s] END)), chr(10)) AS t FROM c),
+m AS (SELECT kind, id, licence, ' ' || replace(regexp_replace(t, '[^\p{L}\p{N}\n]+', ' ', 'g'), chr(10), ' ' || chr(10) || ' ') || ' ' AS t FROM x),
 e AS (SELECT kind, id, licence, """
     + "replace(" * len(licences.EQUIVALENT) + "t"
     + "".join(f", ' {a} ', ' {b} ')" for a, b in licences.EQUIVALENT) + r""" AS t FROM m),
-l AS (SELECT kind, id, licence, list_filter(list_transform(string_split(t, chr(10)), lambda s: trim(s)),
-      lambda s: s <> '' AND NOT starts_with(s, 'copyright ') AND s <> 'copyright') AS lines FROM e),
-known AS (SELECT array_to_string(lines, ' ') AS canon, min(licence) AS licence FROM l WHERE kind = 1 GROUP BY 1),
-units AS (SELECT id, unnest(lines) AS canon, false AS whole FROM l WHERE kind = 0
-          UNION ALL SELECT id, array_to_string(lines, ' '), true FROM l WHERE kind = 0 AND len(lines) > 0),
-h AS (SELECT id, max(licence) FILTER (WHERE whole) AS text_licence,
-             array_to_string(list_sort(list(DISTINCT licence) FILTER (WHERE NOT whole)), ',') AS line_licences,
-             count(*) FILTER (WHERE NOT whole) AS n FROM units JOIN known USING (canon) GROUP BY 1)
+l AS MATERIALIZED (SELECT kind, id, licence, list_filter(list_transform(string_split(t, chr(10)), lambda s: trim(s)),
+      lambda s: s <> '' AND NOT (regexp_matches(s, '^copyright\b') AND NOT regexp_matches(s, '^copyright\W*(""" + licences.NO_CLAUSE.replace(" ", "|") + r""")\b'))) AS lines FROM e),
+t AS (SELECT licence, string_split(array_to_string(lines, ' '), ' ') AS w FROM l WHERE kind = 1),
+entry AS MATERIALIZED (
+  SELECT w, false AS open, min(licence) AS licence FROM t GROUP BY w
+  UNION ALL SELECT w[1:""" + str(licences.OPENING) + r"""], true, array_to_string(list_sort(list(DISTINCT licence)), '|') FROM t WHERE len(w) > """ + str(licences.OPENING) + r""" GROUP BY 1),
+pat AS MATERIALIZED (SELECT w[1] AS first, len(w) AS n, open, licence, array_to_string(w, ' ') AS canon,
+        '^' || array_to_string(w, '[ \n]') || CASE WHEN open THEN '([ \n]|$)' ELSE '(\n|$)' END AS p FROM entry),
+line AS (SELECT id, lines, unnest(range(1, len(lines) + 1)) AS i FROM l WHERE kind = 0),
+hit AS (SELECT id, i, open, licence, i = 1 AND NOT open AND array_to_string(lines, ' ') = canon AS whole
+        FROM line JOIN pat ON string_split(lines[i], ' ')[1] = first WHERE regexp_matches(array_to_string(lines[i:i + n], chr(10)), p)),
+h AS (SELECT id, min(licence) FILTER (WHERE whole) AS text_licence, count(DISTINCT i) AS n,
+             array_to_string(list_sort(list(DISTINCT licence) FILTER (WHERE NOT open OR NOT EXISTS (
+               SELECT 1 FROM hit o WHERE o.id = hit.id AND o.i = hit.i AND NOT o.open))), ',') AS line_licences FROM hit GROUP BY 1)
 SELECT doc_id, text_licence, coalesce(line_licences, '') AS line_licences, coalesce(n, 0) AS n_licence_lines
 FROM documents LEFT JOIN h ON doc_id = id""",
     "op6_jaccard_join": r"""

@@ -11,6 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_stages_one_by_one_against_brute_force(spark):
+    spark.conf.set(queries.PSEUDONYM_KEY, "a key")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
     tables = [docs.collect()]
@@ -29,7 +30,7 @@ def test_stages_one_by_one_against_brute_force(spark):
         n, hit, *_ = hits(before[i], items, 10)
         assert text == before[i] if not hit else hit <= 0.5 * n and not hits(text, items, 10)[1]
     assert {i for i, _ in single} - {i for i, _ in clean} == {i for i, t in single if hits(t, items, 10)[1] > 0.5 * max(1, hits(t, items, 10)[0])}
-    change = pii.Pseudonymizer(pii.DEFAULT_KEY)
+    change = pii.Pseudonymizer(b"a key")
     assert dict(private) == {i: change(t)[0] for i, t in clean}
     assert all(r["n_chars"] == len(r["text"]) for r in tables[-1])
     last = corpus_pipeline.STAGES[-1][1](spark, current, SF).collect()
