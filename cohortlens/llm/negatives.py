@@ -11,6 +11,7 @@ from .common import Scratch, cut, take
 from .covertree import CoverTree
 from .vectors import first_ids, flat, is_finite, meet, parts
 
+_NONE = np.iinfo(np.int64).max
 #: Candidates of one tree, and anchors that meet it in one task group.
 SHARD_ROWS = 8_192
 BLOCK_ROWS = 4_096
@@ -116,7 +117,10 @@ class _Shard:
         self.whole, self.real = whole, whole.astype(np.float64)
         self.ids = row["ids"]
         self.end = np.cumsum(row["n_ids"])
-        self.first = self.ids[self.end - row["n_ids"]]
+        begin = self.end - row["n_ids"]
+        self.first = self.ids[begin]
+        # the id after the first, where there is one
+        self.second = np.where(row["n_ids"] > 1, self.ids[np.minimum(begin + 1, len(self.ids) - 1)], _NONE)
         names = table.column("labels").combine_chunks().flatten().to_pylist()
         self.codes = {name: i for i, name in enumerate(dict.fromkeys(names))}
         self.label = np.array([self.codes[name] for name in names])
@@ -128,10 +132,16 @@ class _Shard:
             return self.real, query.astype(np.float64)
         return self.whole, query
 
+    def _best(self, places: np.ndarray, scores: np.ndarray, own: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first points by score and lowest id, without those that have the query's own id alone."""
+        low = np.where(self.first[places] == own, self.second[places], self.first[places])
+        some = np.lexsort((low, -scores))
+        some = some[low[some] != _NONE][:most]
+        return places[some], scores[some]
+
     def _named(self, places: np.ndarray, scores: np.ndarray, own: int, most: int) -> list[tuple[int, int]]:
         """The first (score, id) of points, expanded to their ids."""
-        some = np.lexsort((self.first[places], -scores))[:most + 1]
-        pairs = [(-int(s), int(i)) for p, s in zip(places[some], scores[some], strict=True)
+        pairs = [(-int(s), int(i)) for p, s in zip(places, scores, strict=True)
                  for i in self.ids[self.end[p - 1] if p else 0:self.end[p]] if i != own]
         return [(-s, i) for s, i in sorted(pairs)[:most]]
 
@@ -143,15 +153,13 @@ class _Shard:
         places, scores = np.zeros(0, np.int64), np.zeros(0, query.dtype)
 
         def wanted(_, high):
-            # the point of the anchor itself may be among the best; one more than asked for bounds the rest
-            return high >= scores[most] if len(scores) > most else np.ones(len(high), bool)
+            # a point of the same score may have a lower id
+            return high >= scores[-1] if len(scores) >= most else np.ones(len(high), bool)
 
         def verify(at, score):
             nonlocal places, scores
             same = self.label[at] == code
-            at, score = np.concatenate([places, at[same]]), np.concatenate([scores, score[same]])
-            some = np.lexsort((self.first[at], -score))[:most + 1]
-            places, scores = at[some], score[some]
+            places, scores = self._best(np.concatenate([places, at[same]]), np.concatenate([scores, score[same]]), row["anchor_id"], most)
 
         self.tree.descend(points, query, wanted, verify)
         return [(row["anchor"], row["anchor_id"], i, s) for s, i in self._named(places, scores.astype(np.int64), row["anchor_id"], most)]
@@ -178,11 +186,9 @@ class _Shard:
             for k in range(len(windows)):
                 fits = (score >= floor[k]) & (score <= high[k])
                 if fits.any():
-                    a, s = np.concatenate([held[k][0], at[fits]]), np.concatenate([held[k][1], score[fits]])
-                    best = np.lexsort((self.first[a], -s))[:most + 1]
-                    held[k] = a[best], s[best]
-                    if len(best) > most:
-                        floor[k] = max(floor[k], s[best[-1]])
+                    held[k] = self._best(np.concatenate([held[k][0], at[fits]]), np.concatenate([held[k][1], score[fits]]), row["anchor_id"], most)
+                    if len(held[k][1]) >= most:
+                        floor[k] = max(floor[k], held[k][1][-1])
 
         self.tree.descend(points, query, wanted, verify)
         named = {w: self._named(*held[k], row["anchor_id"], most) for k, w in enumerate(windows)}

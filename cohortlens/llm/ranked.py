@@ -18,11 +18,14 @@ from .vectors import flat, parts, ranges
 BLOCK_BYTES = 1 << 20
 #: Documents of one tree, of a leaf, and children of a node.
 TREE_ROWS = 4_096
-LEAF_ROWS = 16
+LEAF_ROWS = 4
 FAN = 8
-#: Items of a leaf, and children of a node of items.
-LEAF_ITEMS = 4
+#: Directions along which similar documents of a tree come together, and the passes that adjust them.
+DIRECTIONS = 16
+PASSES = 2
+#: Items that a node of the item tree joins, and cells (terms times items) that one item tree may have.
 ITEM_FAN = 4
+CELLS = 1 << 22
 
 _TERM = byte_class(lambda b: b >= 128 or chr(b).isalnum())
 _LAST = np.iinfo(np.int64).max
@@ -48,9 +51,9 @@ def search(docs: DataFrame, items: DataFrame, *, k: int = 10, id_col: str = "doc
 
     One pass over the texts leaves each document's length and its counts of the items' terms; N, L and df come
     from these.  A task then takes documents in trees of ``TREE_ROWS`` whose nodes hold the largest contribution of
-    every term, and the items in a tree whose nodes hold the weights of all their terms.  The products of two nodes' maxima
-    bound every score between them; where the bound is below the weakest kth score of the node's items, the whole
-    batch is skipped.  What is left is scored exactly, and the tasks' best are merged.
+    every term among similar documents, and the items in trees whose nodes hold the weights of all their terms.  The products
+    of two nodes' maxima bound every score between them; where the bound is below the weakest kth score of the node's
+    items, the whole batch is skipped.  What is left is scored exactly, and the tasks' best are merged.
 
     Items are the stated query set and are taken in blocks of about ``block_bytes`` of text, each with its own pass.
     64-bit hashes stand for terms.  Null and empty texts have no terms; items without terms have no rows.  Every
@@ -127,170 +130,208 @@ def _block(texts: DataFrame, own: pa.Table, k: int, scratch: Scratch, block: int
     shared = spark.sparkContext.broadcast(([np.searchsorted(words, h) for h in hashes], weight))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = ItemTree(*shared.value)
-        work = Best(items, k)
+        terms, weight = shared.value
+        works = [Best(tree, k) for tree in item_trees(terms, weight)]
         for batch in batches:
             for lo in range(0, len(batch), TREE_ROWS):
-                work.add(DocumentTree(batch.slice(lo, TREE_ROWS), n_docs, n_terms, items.weight))
-        yield from work.rows()
+                docs = Documents(batch.slice(lo, TREE_ROWS), n_docs, n_terms, weight)
+                for work in works:
+                    work.add(docs.tree(work.items.terms))
+        for work in works:
+            yield from work.rows()
 
     return counted.where(F.size("terms") > 0).mapInArrow(best, "item int, doc_id long, score long")
 
 
-def _levels(n: int, leaf: int, fan: int) -> list[np.ndarray]:
-    """First members of the nodes of each level, from the leaves (over members) up to one root (over nodes below)."""
-    out = [np.arange(0, max(n, 1), leaf)]
-    while len(out[-1]) > 1:
-        out.append(np.arange(0, len(out[-1]), fan))
+def _heights(n: int, leaf: int, fan: int) -> list[int]:
+    """Members of a node of each level, from the lowest level up to the root's."""
+    out = [leaf]
+    while out[-1] < n:
+        out.append(out[-1] * fan)
     return out
 
 
 class ItemTree:
-    """Items ordered so that neighbours share heavy terms; ``levels[l]`` has one row per node with the weights of all
-    terms of its items, ``nodes[l]`` the first child of each."""
-
-    def __init__(self, terms: list[np.ndarray], weight: np.ndarray):
-        self.weight = weight
-        heavy = [t[np.argsort(-weight[t], kind="stable")[:3]].tolist() if len(t) else [] for t in terms]
-        self.order = np.array(sorted((i for i, t in enumerate(terms) if len(t)), key=lambda i: (heavy[i], i)), np.int64)
-        self.count = len(terms)
-        self.terms = [terms[i] for i in self.order]
-        self.nodes = _levels(len(self.order), LEAF_ITEMS, ITEM_FAN)
-        self.held = [[np.unique(np.concatenate([np.zeros(0, np.int64), *self.terms[a:a + LEAF_ITEMS]])) for a in self.nodes[0]]]
-        for level in self.nodes[1:]:
-            self.held.append([np.unique(np.concatenate(self.held[-1][a:a + ITEM_FAN])) for a in level])
-        self.tables = []
-        for node, a in enumerate(self.nodes[0]):
-            held = self.held[0][node]
-            table = np.zeros((len(self.terms[a:a + LEAF_ITEMS]), len(held)))
-            for r, t in enumerate(self.terms[a:a + LEAF_ITEMS]):
-                table[r, np.searchsorted(held, t)] = weight[t]
-            self.tables.append(table)
-
-
-class DocumentTree:
-    """Documents in order of their strongest term; a node holds the largest contribution of every term among its documents."""
+    """Items in a tree: level 0 is the items, a node of a level joins ``ITEM_FAN`` neighbours of the one below.
+
+    ``tables[l]`` has a row for every term of the items and a column for every node, with the term's weight where any
+    item of the node has it."""
+
+    def __init__(self, items: np.ndarray, terms: list[np.ndarray], weight: np.ndarray):
+        self.items = items
+        self.terms = np.unique(np.concatenate(terms))
+        table = np.zeros((len(self.terms), len(items)), np.int64)
+        for i, t in enumerate(terms):
+            table[np.searchsorted(self.terms, t), i] = weight[t]
+        self.tables = [table]
+        while self.tables[-1].shape[1] > 1:
+            below = self.tables[-1]
+            self.tables.append(np.maximum.reduceat(below, np.arange(0, below.shape[1], ITEM_FAN), axis=1))
+
+
+def item_trees(terms: list[np.ndarray], weight: np.ndarray) -> list[ItemTree]:
+    """Trees of bounded size over the items with terms, ordered so that neighbours share heavy terms."""
+    heavy = [t[np.argsort(-weight[t], kind="stable")[:3]].tolist() for t in terms]
+    order = sorted((i for i, t in enumerate(terms) if len(t)), key=lambda i: (heavy[i], i))
+    trees, at = [], 0
+    while at < len(order):
+        n = size = 0
+        while at + n < len(order) and (not n or (size + len(terms[order[at + n]])) * (n + 1) <= CELLS):
+            size += len(terms[order[at + n]])
+            n += 1
+        own = order[at:at + n]
+        trees.append(ItemTree(np.array(own), [terms[i] for i in own], weight))
+        at += n
+    return trees
+
+
+class Documents:
+    """Contributions ``(10**9 tf) div (1000 tf + 8 m)`` of documents' terms, similar documents next to each other."""
 
     def __init__(self, batch: pa.RecordBatch, n_docs: int, n_terms: int, weight: np.ndarray):
         terms, counts = flat(batch.column("terms"))
         tf = flat(batch.column("tfs"))[0].astype(np.int64)
         terms = terms.astype(np.int64)
-        n = batch.column("n").to_numpy()
-        m = np.array([10 + (90 * int(x) * n_docs) // max(n_terms, 1) for x in n], np.int64)
+        m = np.array([10 + (90 * int(x) * n_docs) // max(n_terms, 1) for x in batch.column("n").to_numpy()], np.int64)
         row = np.repeat(np.arange(len(batch)), counts)
         part = (1_000_000_000 * tf) // (1000 * tf + 8 * m[row])
-        strength = part * weight[terms]
-        by = np.lexsort((strength, row))
-        last = np.cumsum(counts)[counts > 0] - 1
-        lead = np.zeros(len(batch), np.int64)
-        lead[counts > 0] = terms[by[last]]
-        order = np.lexsort((m, lead))
+        order = self._order(row, terms, (part * weight[terms]).astype(np.float64), m, len(weight))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        ids = batch.column("id").fill_null(_LAST).to_numpy()
-        self.ids = ids[order]
         spot = np.lexsort((terms, place[row]))
-        self.row, self.term, self.part = place[row][spot], terms[spot], part[spot].astype(np.float64)
-        self.begin = np.searchsorted(self.row, np.arange(len(order) + 1))
-        self.nodes = _levels(len(order), LEAF_ROWS, FAN)
-        self.maxima = []
-        node, wide = self.row // LEAF_ROWS, len(weight)
-        key, value = node * wide + self.term, self.part
-        for level in range(len(self.nodes)):
+        self.ids = batch.column("id").fill_null(_LAST).to_numpy()[order]
+        self.row, self.term, self.part, self.wide = place[row][spot], terms[spot], part[spot], len(weight)
+
+    @staticmethod
+    def _order(row: np.ndarray, term: np.ndarray, strength: np.ndarray, m: np.ndarray, wide: int) -> np.ndarray:
+        """Documents by the direction that they agree with most, then by their strongest term.  Directions begin as
+        evenly placed documents and move to the sum of those that agree with them."""
+        n = len(m)
+        lead = np.zeros(n, np.int64)
+        by = np.lexsort((strength, row))
+        last = np.flatnonzero(np.append(row[by][1:] != row[by][:-1], True)) if len(by) else by
+        lead[row[by][last]] = term[by][last]
+        order = np.lexsort((m, lead))
+        if n <= DIRECTIONS * LEAF_ROWS:
+            return order
+        value = strength / np.sqrt(np.maximum(np.bincount(row, strength**2, n), 1))[row]
+        chosen = order[np.linspace(0, n - 1, DIRECTIONS).astype(np.int64)]
+        among = np.full(n, -1)
+        among[chosen] = np.arange(DIRECTIONS)
+        first = np.searchsorted(row, np.arange(n))
+        for _ in range(PASSES):
+            some = among[row] >= 0
+            sums = np.bincount(term[some] * DIRECTIONS + among[row[some]], value[some], wide * DIRECTIONS).reshape(wide, DIRECTIONS)
+            sums /= np.maximum(np.sqrt((sums**2).sum(axis=0)), 1e-9)
+            among = np.argmax(np.add.reduceat(sums[term] * value[:, None], first, axis=0), axis=1)
+        return np.lexsort((m, lead, among))
+
+    def tree(self, terms: np.ndarray) -> DocumentTree:
+        """Their tree over some of the terms."""
+        known = np.full(self.wide, -1)
+        known[terms] = np.arange(len(terms))
+        column = known[self.term]
+        some = column >= 0
+        return DocumentTree(self.ids, self.row[some], column[some], self.part[some], len(terms))
+
+
+class DocumentTree:
+    """``levels[0]`` are documents, a node of level 1 joins ``LEAF_ROWS`` neighbours, one of higher levels ``FAN`` nodes.
+    A level holds (first entry of each node, terms, values): the largest contribution of every term among a node's
+    documents."""
+
+    def __init__(self, ids: np.ndarray, row: np.ndarray, term: np.ndarray, part: np.ndarray, wide: int):
+        self.ids = ids
+        self.levels = []
+        self.fans = [1]
+        node, value, size = row, part, len(ids)
+        self._put(node, term, value, size)
+        for width in _heights(size, LEAF_ROWS, FAN):
+            fan = width if width == LEAF_ROWS else FAN
+            self.fans.append(fan)
+            key = (node // fan) * wide + term
+            size = -(-size // fan)
             by = np.argsort(key, kind="stable")
             key, value = key[by], value[by]
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
             key, value = key[first], np.maximum.reduceat(value, first) if len(first) else value
             node, term = np.divmod(key, wide)
-            self.maxima.append((np.searchsorted(node, np.arange(len(self.nodes[level]) + 1)), term, value))
-            key = (node // FAN) * wide + term
-
-    def top(self, level: int, nodes: np.ndarray, held: np.ndarray, weight: np.ndarray, spread: np.ndarray) -> np.ndarray:
-        """Bound of each node of a level against an item node that holds some terms."""
-        begin, term, value = self.maxima[level]
-        spread[held] = weight[held]
-        count = (begin[nodes + 1] - begin[nodes]).astype(np.int64)
-        at = ranges(begin[nodes].astype(np.int64), count)
-        product = value[at] * spread[term[at]]
-        spread[held] = 0
-        edge = np.concatenate(([0], np.cumsum(product)))
-        end = np.cumsum(count)
-        return edge[end] - edge[end - count]
-
-    def exact(self, leaf: int, held: np.ndarray, table: np.ndarray) -> np.ndarray:
-        """Scores of a leaf's documents (rows) and the items of a table over ``held`` terms."""
-        a = leaf * LEAF_ROWS
-        b = min(a + LEAF_ROWS, len(self.ids))
-        some = slice(self.begin[a], self.begin[b])
-        at = np.searchsorted(held, self.term[some])
-        at[at == len(held)] = 0
-        known = held[at] == self.term[some]
-        part = np.zeros((b - a, len(held)))
-        part[self.row[some][known] - a, at[known]] = self.part[some][known]
-        return part @ table.T
+            self._put(node, term, value, size)
+
+    def _put(self, node: np.ndarray, term: np.ndarray, value: np.ndarray, size: int) -> None:
+        self.levels.append((np.searchsorted(node, np.arange(size + 1)), term, value))
+
+    def below(self, level: int, node: int) -> np.ndarray:
+        """The nodes of the next level down that a node joins."""
+        fan = self.fans[level]
+        return np.arange(node * fan, min((node + 1) * fan, len(self.levels[level - 1][0]) - 1))
+
+    def products(self, level: int, nodes: np.ndarray, table: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Sums of products of neighbouring nodes' values (rows) and weights of item nodes: bounds, or scores of
+        documents and items.  In 64-bit whole numbers."""
+        begin, term, value = self.levels[level]
+        a, b = begin[nodes[0]], begin[nodes[-1] + 1]
+        out = np.zeros((len(nodes), len(columns)), np.int64)
+        full = begin[nodes] < begin[nodes + 1]
+        if a < b:
+            weights = table[term[a:b]] if len(columns) == table.shape[1] else table[term[a:b][:, None], columns]
+            out[full] = np.add.reduceat(weights * value[a:b, None], begin[nodes[full]] - a, axis=0)
+        return out
 
 
 class Best:
-    """The best documents of every item so far, and the descent of an item tree against document trees."""
+    """The best documents of every item so far, and the descent of an item tree and document trees."""
 
     def __init__(self, items: ItemTree, k: int):
         self.items, self.k = items, k
-        n = len(items.order)
-        self.scores = np.zeros((n, k))
+        n = len(items.items)
+        self.scores = np.zeros((n, k), np.int64)
         self.ids = np.full((n, k), _LAST, np.int64)
-        self.spread = np.zeros(len(items.weight))
-
-    def weakest(self, level: int, node: int) -> float:
-        """The lowest kth score among a node's items; 0 while one has fewer results."""
-        a, wide = node, 1
-        for _ in range(level):
-            a, wide = a * ITEM_FAN, wide * ITEM_FAN
-        return self.scores[a * LEAF_ITEMS:(a + wide) * LEAF_ITEMS, -1].min(initial=np.inf)
+        #: by level: the lowest kth score among a node's items, 0 while one has fewer results
+        self.weakest = [np.zeros(t.shape[1], np.int64) for t in items.tables]
 
     def add(self, docs: DocumentTree) -> None:
-        if not len(self.items.order):
-            return
-        weight = self.items.weight.astype(np.float64)
-        self._descend(docs, weight, len(self.items.nodes) - 1, 0, len(docs.nodes) - 1, np.zeros(1, np.int64))
-
-    def _descend(self, docs: DocumentTree, weight: np.ndarray, level: int, node: int, deep: int, nodes: np.ndarray) -> None:
-        """One item node against document nodes of one level.  Bounds are sums of whole numbers below 2**53, so exact."""
-        held = self.items.held[level][node]
-        while True:
-            bound = docs.top(deep, nodes, held, weight, self.spread)
-            # an equal score may still win by its id
-            alive = (bound >= self.weakest(level, node)) & (bound > 0)
-            nodes, bound = nodes[alive], bound[alive]
-            if not len(nodes) or not deep or (level and len(nodes) > FAN * ITEM_FAN):
-                break
-            nodes = ranges(nodes * FAN, np.minimum(FAN, len(docs.nodes[deep - 1]) - nodes * FAN))
-            deep -= 1
-        if not len(nodes):
+        self._descend(docs, len(docs.levels) - 1, 0, len(self.items.tables) - 1, np.zeros(1, np.int64))
+
+    def _descend(self, docs: DocumentTree, level: int, node: int, high: int, items: np.ndarray) -> None:
+        """One document node of a level and the item nodes that it may have results for: both go a level down, pairs of
+        children whose bound is below the weakest kth score are skipped."""
+        if high:
+            last = self.items.tables[high - 1].shape[1]
+            items = ranges(items * ITEM_FAN, np.minimum(ITEM_FAN, last - items * ITEM_FAN))
+            high -= 1
+        # documents are scored against items alone
+        if level == 1 and high:
+            self._descend(docs, level, node, high, items)
             return
-        if level:
-            below = len(self.items.held[level - 1])
-            for child in range(node * ITEM_FAN, min((node + 1) * ITEM_FAN, below)):
-                self._descend(docs, weight, level - 1, child, deep, nodes)
+        nodes = docs.below(level, node)
+        bound = docs.products(level - 1, nodes, self.items.tables[high], items)
+        if level == 1:
+            self._keep(docs.ids[nodes], items, bound)
             return
-        table = self.items.tables[node]
-        for i in np.argsort(-bound, kind="stable"):
-            if bound[i] < self.weakest(0, node):
-                return
-            self._keep(node, docs, int(nodes[i]), docs.exact(int(nodes[i]), held, table))
-
-    def _keep(self, node: int, docs: DocumentTree, leaf: int, scores: np.ndarray) -> None:
-        ids = docs.ids[leaf * LEAF_ROWS:leaf * LEAF_ROWS + len(scores)]
-        for r in np.flatnonzero((scores >= self.scores[node * LEAF_ITEMS:node * LEAF_ITEMS + scores.shape[1], -1]).any(axis=0)):
-            item = node * LEAF_ITEMS + r
-            some = scores[:, r] > 0
-            score = np.concatenate([self.scores[item], scores[some, r]])
+        for i in np.argsort(-bound.max(axis=1, initial=0), kind="stable"):
+            # an equal score may still win by its id
+            alive = (bound[i] >= self.weakest[high][items]) & (bound[i] > 0)
+            if alive.any():
+                self._descend(docs, level - 1, int(nodes[i]), high, items[alive])
+
+    def _keep(self, ids: np.ndarray, items: np.ndarray, scores: np.ndarray) -> None:
+        for c in np.flatnonzero(((scores >= self.weakest[0][items]) & (scores > 0)).any(axis=0)):
+            item = items[c]
+            some = scores[:, c] > 0
+            score = np.concatenate([self.scores[item], scores[some, c]])
             name = np.concatenate([self.ids[item], ids[some]])
             first = np.lexsort((name, -score))[:self.k]
             self.scores[item], self.ids[item] = score[first], name[first]
+            if score[first[-1]] != self.weakest[0][item]:
+                self.weakest[0][item] = score[first[-1]]
+                for high in range(1, len(self.weakest)):
+                    item //= ITEM_FAN
+                    self.weakest[high][item] = self.weakest[high - 1][item * ITEM_FAN:(item + 1) * ITEM_FAN].min()
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         item, place = np.nonzero(self.scores > 0)
         if len(item):
             ids = self.ids[item, place]
-            yield pa.RecordBatch.from_pydict({"item": pa.array(self.items.order[item], pa.int32()), "doc_id": pa.array(ids, pa.int64(), mask=ids == _LAST),
-                                              "score": pa.array(self.scores[item, place].astype(np.int64))})
+            yield pa.RecordBatch.from_pydict({"item": pa.array(self.items.items[item], pa.int32()), "doc_id": pa.array(ids, pa.int64(), mask=ids == _LAST),
+                                              "score": pa.array(self.scores[item, place])})

@@ -283,10 +283,14 @@ def _answers(table: pa.Table, asked: pa.Table, k: int, beam: int) -> pa.Table:
         near = graph.ask(scaled, beam)
         r, c = np.nonzero(near >= 0)
         v = near[r, c]
+        # without points that have the query's own id alone
+        other = (row["ids"][begin[v]] != own[lo + r]) | (row["n_ids"][v] > 1)
+        r, v = r[other], v[other]
         score = (vectors[v] * some[r]).sum(axis=1)
-        # the first k + 1 points of each query, then their ids without the query's own, then the first k
-        order = np.lexsort((row["ids"][begin[v]], -score, r))
-        r, v, score = _first(r[order], k + 1, r[order], v[order], score[order])
+        low = row["ids"][np.where(row["ids"][begin[v]] == own[lo + r], begin[v] + 1, begin[v])]
+        # the first k points of each query by their lowest other id, then their ids, then the first k of these
+        order = np.lexsort((low, -score, r))
+        r, v, score = _first(r[order], k, r[order], v[order], score[order])
         count = row["n_ids"][v].astype(np.int64)
         ids = row["ids"][ranges(begin[v].astype(np.int64), count)]
         r, score = np.repeat(r, count), np.repeat(score, count)
