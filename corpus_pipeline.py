@@ -35,7 +35,7 @@ def benchmark_passages_go(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def personal_data_is_replaced(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Valid identifiers become pseudonyms of their format."""
-    return _sized(pii.replace(docs))
+    return _sized(pii.replace(docs, key=queries.pseudonym_key(spark)))
 
 
 def documents_are_encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
