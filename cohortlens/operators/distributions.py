@@ -1,11 +1,10 @@
 """Distribution and correlation summaries (SURVEY §2.6 dist_*, corr_matrix, pair_grid, reg_sse_sst_r2; §2.3
 scale_standard, bin_equal_width).
 
-Exact quantiles are computed from ranks, not with ``percentile``: the latter keeps a value→count map per group in
-one task, which a hot group with continuous values would blow up.  Here the data is reduced to (group, value,
-count), cumulative counts come from ``running_totals`` (blocked when large), and the order statistics that the
-linear interpolation needs are picked by a conditional aggregate.  ``approx=True`` switches to
-``percentile_approx`` (fixed-size sketch per group).
+Exact quantiles are computed from selected order statistics, not with ``percentile``: the latter keeps a value→count map
+per group in one task, which a hot group with continuous values would blow up.  ``selection.order_statistics`` brackets
+the ranks by a sketch and counts; no value outside the brackets is shuffled.  ``approx=True`` switches to
+``percentile_approx`` alone (fixed-size sketch per group).
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import col
-from cohortlens.operators.prefix import BLOCK, running_totals, with_blocks
+from cohortlens.operators.selection import attach, few_groups, order_statistics
 
 # The quartile probabilities of a box plot and its whisker reach in IQRs.
 QUARTILES = (0.25, 0.5, 0.75)
@@ -33,86 +32,53 @@ def _clean(x: Column) -> Column:
 SMALL_SIDE_ROWS = 100_000
 
 
-def _ranked_values(df: DataFrame, value: str | Column, groups: Sequence[str]
-                   ) -> tuple[DataFrame, DataFrame, int]:
-    """(groups, v, c) per distinct value; the same with cumulative count ``cum`` and group size ``n``; and an
-    estimate of the number of groups.  The counts are checkpointed in blocks, so both tables read them back."""
-    g = list(groups)
-    v = df.select(*g, _clean(col(value)).alias("v")).where(F.col("v").isNotNull())
-    counts = with_blocks(v.groupBy(*g, "v").agg(F.count(F.lit(1)).alias("c")), ["v"], g)
-    n_groups = int(counts.agg(F.approx_count_distinct(F.struct(*g))).first()[0] or 0) if g else 1
-    # the group size rides along with the running totals: no join back to a per-group table
-    ranked = running_totals(counts, "v", {"cum": "c"}, partition_by=g, with_totals=True).withColumnRenamed("cum_total", "n")
-    return counts.drop(BLOCK), ranked, n_groups
-
-
-def _pick(ranked: DataFrame, probs: Sequence[float], groups: Sequence[str]) -> DataFrame:
-    """Linear-interpolation quantiles from a ranked value table (order statistics picked by rank ranges)."""
-    g = list(groups)
-    aggs = []
-    for i, p in enumerate(probs):
-        h = (F.col("n") - 1) * F.lit(float(p))
-        lo, hi = F.floor(h), F.ceil(h)
-        prev = F.col("cum") - F.col("c")
-        aggs += [
-            F.min(F.when((prev <= lo) & (lo < F.col("cum")), F.col("v"))).alias(f"__lo{i}"),
-            F.min(F.when((prev <= hi) & (hi < F.col("cum")), F.col("v"))).alias(f"__hi{i}"),
-            F.first(h - lo, ignorenulls=True).alias(f"__fr{i}"),
-        ]
-    picked = ranked.groupBy(*g).agg(F.max("n").alias("n"), *aggs)
-    return picked.select(
-        *g, "n",
-        *[(F.col(f"__lo{i}") + F.col(f"__fr{i}") * (F.col(f"__hi{i}") - F.col(f"__lo{i}"))).alias(f"q{i}")
-          for i in range(len(probs))],
-    )
+def _values(df: DataFrame, value: str | Column, groups: Sequence[str]) -> DataFrame:
+    return df.select(*groups, _clean(col(value)).alias("v")).where(F.col("v").isNotNull())
 
 
 def quantiles(df: DataFrame, value: str | Column, probs: Sequence[float], groups: Sequence[str] = (),
-              approx: bool = False, accuracy: int = 10000) -> DataFrame:
+              approx: bool = False, accuracy: int = 10000, small: bool | None = None) -> DataFrame:
     """Quantiles with linear interpolation (numpy's default, DuckDB ``quantile_cont``) per group.
 
-    Output: groups..., n, q0, q1, ... (one column per probability, in order).
+    Output: groups..., n, q0, q1, ... (one column per probability, in order).  ``small`` tells whether one row per group may
+    be broadcast; it is looked up where it isn't given.
     """
     g = list(groups)
+    v = _values(df, value, g)
     if approx:
-        v = df.select(*g, _clean(col(value)).alias("v")).where(F.col("v").isNotNull())
         return v.groupBy(*g).agg(
             F.count(F.lit(1)).alias("n"),
             F.percentile_approx("v", list(probs), accuracy).alias("__q"),
         ).select(*g, "n", *[F.col("__q")[i].alias(f"q{i}") for i in range(len(probs))])
-    return _pick(_ranked_values(df, value, g)[1], probs, g)
+
+    def ranks(n: Column) -> list[Column]:
+        at = [(n - 1) * F.lit(float(p)) for p in probs]
+        return [f(h) + 1 for h in at for f in (F.floor, F.ceil)]
+
+    picked = order_statistics(v, g, F.col("v"), F.col("v"), probs, ranks, few_groups(v, g) if small is None else small)
+    out = []
+    for i, p in enumerate(probs):
+        h = (F.col("n") - 1) * F.lit(float(p))
+        low, high = F.col(f"s{2 * i}"), F.col(f"s{2 * i + 1}")
+        out.append((low + (h - F.floor(h)) * (high - low)).alias(f"q{i}"))
+    # a table without values has no groups, and one row of nulls where none are asked for
+    return picked.select(*g, F.coalesce("n", F.lit(0)).alias("n"), *out)
 
 
 def box_summary(df: DataFrame, value: str | Column, groups: Sequence[str] = (), approx: bool = False) -> DataFrame:
     """Box-plot table per group: n, min, q1, median, q3, max, whisker_low, whisker_high, outliers.
 
     Whiskers are the most extreme data points within 1.5 IQR of the quartiles (the seaborn/matplotlib rule);
-    ``outliers`` counts the points beyond them.  The per-value table that gives the quartiles is reused for the
-    whiskers, so the data is grouped once; the quartiles (one row per group) meet it in a single join.
+    ``outliers`` counts the points beyond them.  The quartiles (one row per group) meet the rows in a join that shuffles
+    none of them where the groups are few, and one partial aggregate per group gives the rest.
     """
     g = list(groups)
-    if approx:
-        q = quantiles(df, value, QUARTILES, g, approx=True)
-        v = df.select(*g, _clean(col(value)).alias("v")).where(F.col("v").isNotNull())
-        per = v.groupBy(*g, "v").agg(F.count(F.lit(1)).alias("c"))
-        n_groups = int(v.agg(F.approx_count_distinct(F.struct(*g)) if g else F.lit(1)).first()[0] or 0)
-    else:
-        # whiskers need only (value, count): join the pre-window counts (a reused exchange), not the ranked rows
-        per, ranked, n_groups = _ranked_values(df, value, g)
-        q = _pick(ranked, QUARTILES, g)
+    v = _values(df, value, g)
+    small = few_groups(df, g)
+    q = quantiles(df, value, QUARTILES, g, approx=approx, small=small)
     q = q.select(*g, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
-    if g:
-        qk = q.select(*[F.col(k).alias(f"__g_{k}") for k in g], "n", "q1", "median", "q3")
-        per = per.select(*g, "v", "c")
-        if n_groups <= SMALL_SIDE_ROWS:
-            # checked size: one row per group, at most SMALL_SIDE_ROWS rows
-            qk = F.broadcast(qk)
-        else:
-            # many groups: shuffle both sides (never broadcast the per-value side); AQE splits a hot group
-            per = per.hint("merge")
-        j = per.join(qk, [per[k].eqNullSafe(qk[f"__g_{k}"]) for k in g], "inner")
-    else:
-        j = per.select("v", "c").select("*", *[q.select(c).scalar().alias(c) for c in ("n", "q1", "median", "q3")])
+    j = attach(v, q, g, small, "__q")
+    j = j.select(*g, "v", *[F.col(f"__q.{c}").alias(c) for c in ("n", "q1", "median", "q3")])
     iqr = F.col("q3") - F.col("q1")
     low_fence, high_fence = F.col("q1") - WHISKER * iqr, F.col("q3") + WHISKER * iqr
     inside = (F.col("v") >= low_fence) & (F.col("v") <= high_fence)
@@ -123,7 +89,7 @@ def box_summary(df: DataFrame, value: str | Column, groups: Sequence[str] = (),
         F.max("v").alias("max"),
         F.min(F.when(inside, F.col("v"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("v"))).alias("whisker_high"),
-        F.sum(F.when(~inside, F.col("c")).otherwise(F.lit(0))).alias("outliers"),
+        F.sum(F.when(~inside, F.lit(1)).otherwise(F.lit(0))).alias("outliers"),
     )
 
 

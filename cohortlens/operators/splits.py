@@ -1,9 +1,9 @@
 """Repeatable train/test splits, folds and class weights.
 
 Order comes from ``md5(id)`` (the same hex in Spark and DuckDB), so splits are reproducible on any engine and
-after any task retry.  A split needs one cutoff key per class, k folds need k − 1: the cutoffs are found on counts per
-key and applied to the rows as a comparison, so the table itself is neither shuffled nor ranked.  Rows that share
-an id stay together.
+after any task retry.  A split needs one cutoff key per class, k folds need k − 1: the cutoffs are selected by
+``order_statistics`` and applied to the rows as a comparison, so the table itself is neither shuffled nor ranked.  Rows
+that share an id stay together.
 """
 
 from __future__ import annotations
@@ -14,9 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.operators.prefix import running_totals
+from cohortlens.operators.selection import attach, few_groups, order_statistics
 
-# Hex digits of the hash that rows are first counted by: 65,536 counts per class.
-PREFIX_DIGITS = 4
+# Hex digits of the hash that bracket it: a number that doubles hold exactly.
+PREFIX_DIGITS = 13
+# Types of ids whose order numbers keep.
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 # A table of one row per class is broadcast up to this many classes.
 SMALL_CLASSES = 100_000
 
@@ -26,49 +29,41 @@ def _hash_key(id_col: str) -> Column:
     return F.coalesce(F.md5(F.col(id_col).cast("string")), F.lit(""))
 
 
-def _reached(run: DataFrame, cum: Column, n: Column, ends: Callable[[Column], list[Column]], *columns: str | Column) -> DataFrame:
-    """Rows of running counts (``cum`` up to and with the row's ``c``) at which end ranks are reached, with their j."""
-    hits = F.array(*[F.when((cum - F.col("c") < e) & (e <= cum), F.lit(j)) for j, e in enumerate(ends(n))])
-    return run.select(*columns, F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("j"))
+def _hash_number(id_col: str) -> Column:
+    return F.coalesce(F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, PREFIX_DIGITS), 16, 10).cast("double"), F.lit(-1.0))
 
 
-def _cutoffs(df: DataFrame, key: Column, ends: Callable[[Column], list[Column]], labels: Sequence[str], hashed: bool
-             ) -> DataFrame:
-    """(labels, __cut0, __cut1, ...): the key at each end rank, one row per class."""
+def _id_number(df: DataFrame, id_col: str) -> Column | None:
+    """A number that never falls where the id rises, None for types without one."""
+    kind = df.schema[id_col].dataType.simpleString()
+    at = F.col(id_col)
+    if kind == "date":
+        at = F.unix_date(at)
+    elif kind == "timestamp":
+        at = F.unix_micros(at)
+    elif kind.split("(")[0] not in NUMBERS:
+        return None
+    return F.coalesce(F.nanvl(at.cast("double"), F.lit(float("inf"))), F.lit(float("-inf")))
+
+
+def _ranked_cutoffs(df: DataFrame, key: Column, ends: Callable[[Column], list[Column]], labels: Sequence[str]) -> DataFrame:
+    """(labels, s0, s1, ...) for keys without a number: from running counts over all of them."""
     d = df.select(*labels, key.alias("__key"))
-    per_key = F.count(F.lit(1)).alias("c")
-    if hashed:
-        # count by prefix, then by whole key within the few prefixes that hold a cutoff
-        short = F.substring("__key", 1, PREFIX_DIGITS)
-        run = running_totals(d.groupBy(*labels, short.alias("__short")).agg(per_key), "__short", {"__cum": "c"}, labels, with_totals=True)
-        inside = _reached(run, F.col("__cum"), F.col("__cum_total"), ends, *labels, "__short",
-                          (F.col("__cum") - F.col("c")).alias("__ahead"), F.col("__cum_total").alias("__n"))
-        inside = inside.select(*[F.col(c).alias(f"__l_{c}") for c in labels], "__short", "__ahead", "__n").distinct()
-        part = d.join(inside, [d[c].eqNullSafe(inside[f"__l_{c}"]) for c in labels] + [short == inside["__short"]])
-        group = [*labels, "__short", "__ahead", "__n"]
-        run = running_totals(part.groupBy(*[d[c] for c in labels], "__short", "__ahead", "__n", "__key").agg(per_key), "__key",
-                             {"__cum": "c"}, group)
-        found = _reached(run, F.col("__ahead") + F.col("__cum"), F.col("__n"), ends, *labels, "__key")
-    else:
-        run = running_totals(d.groupBy(*labels, "__key").agg(per_key), "__key", {"__cum": "c"}, labels, with_totals=True)
-        found = _reached(run, F.col("__cum"), F.col("__cum_total"), ends, *labels, "__key")
-    m = len(ends(F.lit(1)))
-    return found.groupBy(*labels).agg(*[F.max(F.when(F.col("j") == j, F.col("__key"))).alias(f"__cut{j}") for j in range(m)])
+    run = running_totals(d.groupBy(*labels, "__key").agg(F.count(F.lit(1)).alias("c")), "__key", {"__cum": "c"}, labels, with_totals=True)
+    hits = F.array(*[F.when((F.col("__cum") - F.col("c") < e) & (e <= F.col("__cum")), F.lit(j)) for j, e in enumerate(ends(F.col("__cum_total")))])
+    found = run.select(*labels, "__key", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("j"))
+    return found.groupBy(*labels).agg(*[F.max(F.when(F.col("j") == j, F.col("__key"))).alias(f"s{j}") for j in range(len(ends(F.lit(1))))])
 
 
-def _with_cutoffs(df: DataFrame, key: Column, ends: Callable[[Column], list[Column]], label: str | None, hashed: bool,
-                  use: Callable[[list[Column], Column], Column], name: str) -> DataFrame:
+def _with_cutoffs(df: DataFrame, key: Column, number: Column | None, places: Sequence[float], ends: Callable[[Column], list[Column]],
+                  label: str | None, use: Callable[[list[Column], Column], Column], name: str) -> DataFrame:
     """Add ``name``, computed from a row's key and its class's cutoffs."""
     labels = [label] if label else []
-    cuts = _cutoffs(df, key, ends, labels, hashed)
-    m = len(ends(F.lit(1)))
-    if not label:
-        one = [cuts.select(f"__cut{j}").scalar() for j in range(m)]
-        return df.withColumn(name, use(one, key))
-    c = cuts.withColumnRenamed(label, "__label")
-    side = F.broadcast(c) if cuts.count() <= SMALL_CLASSES else c
-    j = df.join(side, df[label].eqNullSafe(side["__label"]), "left")
-    return j.select(df["*"], use([F.col(f"__cut{i}") for i in range(m)], key).alias(name))
+    small = few_groups(df, labels)
+    cuts = _ranked_cutoffs(df, key, ends, labels) if number is None else order_statistics(df, labels, number, key, places, ends, small)
+    cuts = cuts.select(*labels, *[f"s{j}" for j in range(len(places))])
+    joined = attach(df, cuts, labels, small, "__cuts")
+    return joined.select(*[df[c] for c in df.columns], use([F.col(f"__cuts.s{j}") for j in range(len(places))], key).alias(name))
 
 
 def _test_end(fraction: float) -> Callable[[Column], list[Column]]:
@@ -78,14 +73,14 @@ def _test_end(fraction: float) -> Callable[[Column], list[Column]]:
 def random_split(df: DataFrame, id_col: str, test_fraction: float = 0.2) -> DataFrame:
     """Add ``is_test`` (0/1): the first ceil(fraction·n) rows in md5(id) order are the test set
     (scikit-learn's test size rule); rows that share the last id come along."""
-    return _with_cutoffs(df, _hash_key(id_col), _test_end(test_fraction), None, True,
+    return _with_cutoffs(df, _hash_key(id_col), _hash_number(id_col), [test_fraction], _test_end(test_fraction), None,
                          lambda cut, key: F.coalesce(key <= cut[0], F.lit(False)).cast("int"), "is_test")
 
 
 def stratified_split(df: DataFrame, id_col: str, label: str, test_fraction: float = 0.3) -> DataFrame:
     """Add ``is_test`` keeping class shares: within each class the first ceil(fraction·n_class) rows by md5(id).
     (scikit-learn rounds the total instead, so each class may differ by one row.)"""
-    return _with_cutoffs(df, _hash_key(id_col), _test_end(test_fraction), label, True,
+    return _with_cutoffs(df, _hash_key(id_col), _hash_number(id_col), [test_fraction], _test_end(test_fraction), label,
                          lambda cut, key: F.coalesce(key <= cut[0], F.lit(False)).cast("int"), "is_test")
 
 
@@ -107,8 +102,11 @@ def kfold(df: DataFrame, id_col: str, k: int = 5, label: str | None = None, orde
     if k < 2:
         raise ValueError("k must be at least 2")
     # a struct with a flag gives a missing id a place among the cutoffs
-    key = _hash_key(id_col) if order == "hash" else F.struct(F.col(id_col).isNotNull().alias("a"), F.col(id_col).alias("b"))
-    return _with_cutoffs(df, key, _fold_ends(k), label, order == "hash", lambda cuts, x: sum(
+    if order == "hash":
+        key, number = _hash_key(id_col), _hash_number(id_col)
+    else:
+        key, number = F.struct(F.col(id_col).isNotNull().alias("a"), F.col(id_col).alias("b")), _id_number(df, id_col)
+    return _with_cutoffs(df, key, number, [j / k for j in range(1, k)], _fold_ends(k), label, lambda cuts, x: sum(
         (F.coalesce(x > c, F.lit(False)).cast("int") for c in cuts), F.lit(0)), "fold")
 
 
