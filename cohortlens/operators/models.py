@@ -8,13 +8,17 @@ levels, never by rows) is read on the driver, as Spark ML itself does.
 
 from __future__ import annotations
 
+import math
 import statistics
 import time
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
+from pyspark import SparkContext
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
+    GBTClassificationModel,
     GBTClassifier,
     LogisticRegression,
     RandomForestClassifier,
@@ -33,6 +37,8 @@ from cohortlens.session import ensure_checkpoint_dir
 
 # Spark ML refuses trees deeper than this (scikit-learn grids may ask for more; such points are clamped).
 MAX_TREE_DEPTH = 30
+# Rows of a partition where a table is read by very many small jobs (every level of every tree).
+ROWS_PER_TASK = 100_000
 
 
 # ---------------------------------------------------------------- encoders
@@ -206,6 +212,65 @@ def grid_search(estimator, params: Mapping[str, Sequence], train: DataFrame, fol
     return cv.fit(train)
 
 
+def first_rounds(model, rounds: int):
+    """The model of the first ``rounds`` rounds of a boosted fit.  Rounds build on what came before only, so this is
+    what a fit of that many rounds with the same seed gives."""
+    java = model._java_obj
+    n = min(rounds, model.getNumTrees)
+    if n == model.getNumTrees:
+        return model
+    sc = SparkContext._active_spark_context
+    trees = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = sc._gateway.new_array(sc._jvm.double, n)
+    for i, (t, w) in enumerate(zip(java.trees()[:n], java.treeWeights()[:n])):
+        trees[i], weights[i] = t, w
+    cut = sc._jvm.org.apache.spark.ml.classification.GBTClassificationModel(model.uid, trees, weights, java.numFeatures(), java.numClasses())
+    java.copyValues(cut, java.extractParamMap())
+    return GBTClassificationModel(cut)
+
+
+def boosted_search(estimator, params: Mapping[str, Sequence], train: DataFrame, fold_col: str = "fold", k: int = 5,
+                   parallelism: int = 8) -> DataFrame:
+    """``grid_results`` of a boosted estimator whose grid asks for several numbers of rounds (``maxIter``).
+
+    One fit of the longest run per fold and point of the other dimensions; shorter runs are its first rounds.  The fits
+    are independent and run side by side."""
+    rounds = sorted(params["maxIter"])
+    others = {name: values for name, values in params.items() if name != "maxIter"}
+    points = grid(estimator, others)
+    ev = BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0)
+
+    with compact(train.select("features", "label", *_weights(estimator), fold_col)) as rows_:
+        def one(point: int, fold: int) -> list[float]:
+            inside = F.col(fold_col) == fold
+            model = estimator.copy({**points[point], estimator.maxIter: rounds[-1]}).fit(rows_.where(~inside))
+            return [float(ev.evaluate(first_rounds(model, n).transform(rows_.where(inside)))) for n in rounds]
+
+        found = _fit_all([lambda p=p, f=f: one(p, f) for p in range(len(points)) for f in range(k)], parallelism)
+    rows = []
+    for p, point in enumerate(points):
+        for j, n in enumerate(rounds):
+            aucs = [found[p * k + f][j] for f in range(k)]
+            named = {**{q.name: v for q, v in point.items()}, "maxIter": n}
+            rows.append(Row(params=", ".join(f"{q}={v}" for q, v in sorted(named.items())), mean_auc=statistics.fmean(aucs),
+                            sd_auc=statistics.pstdev(aucs), notes=grid_notes(params)))
+    return train.sparkSession.createDataFrame(rows, "params string, mean_auc double, sd_auc double, notes string")
+
+
+@contextmanager
+def compact(df: DataFrame) -> Iterator[DataFrame]:
+    """Rows for very many small jobs: cached, in partitions of ``ROWS_PER_TASK`` rows, as many as the table needs."""
+    rows = df.coalesce(max(1, math.ceil(df.count() / ROWS_PER_TASK))).persist()
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
+def _weights(estimator) -> list[str]:
+    return [estimator.getWeightCol()] if estimator.isDefined("weightCol") and estimator.getWeightCol() else []
+
+
 def grid_results(cv_model, estimator, params: Mapping[str, Sequence] | None = None) -> DataFrame:
     """One row per grid point: its parameters as text, mean and sd of the fold AUCs, and what of the requested
     grid was changed."""
@@ -328,23 +393,34 @@ def validation_curve(make_estimator, depths: Sequence[int], data: DataFrame, fol
     """Train and validation accuracy (mean, sd over folds) per depth (``validation_curve``).
 
     ``CrossValidator`` reports no training scores, so each (depth, fold) is fitted here; the fits are independent
-    and run side by side, and each model scores all rows once."""
-
-    def one(depth: int, fold: int) -> Row:
-        model = make_estimator(depth).fit(data.where(F.col(fold_col) != fold))
-        valid, train = _right(model, data, F.col(fold_col) == fold)
-        return Row(depth=depth, train=train, valid=valid)
-
-    found = _fit_all([lambda d=d, f=f: one(d, f) for d in depths for f in range(k)], parallelism)
+    and run side by side, and each model scores all rows once.  A fold's deepest fit comes first: where none of its trees
+    reaches the limit, every limit beyond the deepest tree gives the same model, and is not fitted again."""
+    depths = sorted(depths)
+
+    with compact(data) as rows_:
+        def one(depth: int, fold: int) -> tuple[int, tuple[float, float]]:
+            inside = F.col(fold_col) == fold
+            model = make_estimator(depth).fit(rows_.where(~inside))
+            return _deepest(model), _right(model, rows_, inside)
+
+        last = _fit_all([lambda f=f: one(depths[-1], f) for f in range(k)], parallelism)
+        todo = [(d, f) for d in depths[:-1] for f in range(k) if d <= last[f][0]]
+        some = dict(zip(todo, _fit_all([lambda d=d, f=f: one(d, f)[1] for d, f in todo], parallelism), strict=True))
     rows = []
     for d in depths:
-        tr, va = ([r[x] for r in found if r["depth"] == d] for x in ("train", "valid"))
+        va, tr = zip(*(some.get((d, f), last[f][1]) for f in range(k)), strict=True)
         rows.append(Row(depth=int(d), train_mean=statistics.fmean(tr), train_sd=statistics.pstdev(tr),
                         valid_mean=statistics.fmean(va), valid_sd=statistics.pstdev(va)))
     return data.sparkSession.createDataFrame(
         rows, "depth int, train_mean double, train_sd double, valid_mean double, valid_sd double")
 
 
+def _deepest(model) -> int:
+    """Depth of the deepest tree of a fitted tree or ensemble."""
+    java = model._java_obj
+    return max(t.depth() for t in java.trees()) if hasattr(model, "treeWeights") else java.depth()
+
+
 def depth_curve(make_estimator, depths: Sequence[int], train: DataFrame, test: DataFrame, parallelism: int = 8) -> DataFrame:
     """Train and test accuracy per depth on one hold-out split (overfitting curve)."""
     both = train.select("features", "label", F.lit(False).alias("held")).unionByName(test.select("features", "label", F.lit(True).alias("held")))

@@ -157,7 +157,7 @@ def mdl_grid_forest(spark, sf_dir):
 def mdl_grid_boost(spark, sf_dir):
     train, _ = prepared(spark, sf_dir)
     est = M.boosted()
-    return rounded(M.grid_results(M.grid_search(est, GRIDS["boost"], train, parallelism=8), est, GRIDS["boost"]))
+    return rounded(M.boosted_search(est, GRIDS["boost"], train))
 
 
 @query("mdl_grid_surgery_forest")
@@ -171,7 +171,7 @@ def mdl_grid_surgery_forest(spark, sf_dir):
 def mdl_grid_surgery_boost(spark, sf_dir):
     train, _ = prepared(spark, sf_dir)
     est = M.boosted()
-    return rounded(M.grid_results(M.grid_search(est, SURGERY_GRIDS["boost"], train, parallelism=8), est, SURGERY_GRIDS["boost"]))
+    return rounded(M.boosted_search(est, SURGERY_GRIDS["boost"], train))
 
 
 @query("mdl_predict")
