@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from cohortlens.functions.columns import _NUMBER
 from cohortlens.session import ensure_checkpoint_dir
+from cohortlens.sources.records import parse_records, read_records
 
 # The text tokens pandas' CSV reader treats as missing by default (library default, N1).
 PANDAS_NA_TOKENS = (
@@ -69,8 +70,9 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema: T
                na_tokens: Sequence[str] | None = PANDAS_NA_TOKENS, multi_line: bool = True) -> DataFrame:
     """Lazy scan of a CSV / Parquet / JSON / ORC table chosen by extension (or ``fmt``).
 
-    CSV: a quoted field may hold separators, doubled quotes and line breaks.  Line breaks in fields make a file
-    unsplittable (one task per file); ``multi_line=False`` splits large files that have none.  Missing tokens become
+    CSV: a quoted field may hold separators, doubled quotes and line breaks; large files are read by many tasks all the
+    same (see ``records``: a first pass, run here, finds how blocks begin).  ``multi_line=False`` saves that pass where
+    fields hold no line breaks; in encodings other than UTF-8 and ASCII, and in partitioned folders, a file is one task.  Missing tokens become
     NULL before columns are typed: by ``schema`` when given (unparseable values are NULL), else by one aggregate over
     the file, as bigint, double or boolean where all present values are (a full pass; give a schema at scale).
     Without ``na_tokens`` only absent fields are NULL, and a quoted empty text stays a text."""
@@ -80,13 +82,26 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema: T
         return (reader.schema(schema) if schema is not None else reader).load(path)
     options = {"header": header, "sep": sep, "mode": "PERMISSIVE", "multiLine": multi_line, "nullValue": _ABSENT, **_CSV_QUOTES}
     reader = spark.read.options(**options, **({"encoding": encoding} if encoding else {}))
+    coding = (encoding or "UTF-8").upper()
+    split = multi_line and coding in ("UTF-8", "US-ASCII") and spark.read.text(path).columns == ["value"]
+
+    def rows(fields: T.StructType) -> DataFrame:
+        if not split:
+            return reader.schema(fields).csv(path)
+        # bytes that are no ASCII, one mark for each, as the reader gives them
+        text = F.col("record")
+        for marks, kind in ((2, r"[\u0080-\u07FF]"), (3, r"[\u0800-\uFFFF]"), (4, r"[\x{10000}-\x{10FFFF}]")) if coding == "US-ASCII" else ():
+            text = F.regexp_replace(text, kind, "\ufffd" * marks)
+        return parse_records(read_records(spark, path, sep, header), fields, {"sep": sep, "mode": "PERMISSIVE", "nullValue": _ABSENT, **_CSV_QUOTES}, text)
+
     if schema is None:
-        df = reader.csv(path)
+        df = reader.csv(path)  # for the names
+        df = rows(df.schema) if df.columns else df
         df = normalise_missing(df, na_tokens) if na_tokens else df
         return _typed(df, df.columns) if df.columns else df
     wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     text = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.NumericType) else f.dataType) for f in wanted])
-    df = reader.schema(text).csv(path)
+    df = rows(text)
     df = normalise_missing(df, na_tokens) if na_tokens else df
     return df.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted])
 
@@ -106,10 +121,13 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
 
 
 def write_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "overwrite",
-                partition_by: Sequence[str] = ()) -> str:
-    """Parallel write (one file per task); CSV gets a header line and reads back as it was (see ``read_table``)."""
+                partition_by: Sequence[str] = (), replace_partitions: bool = False) -> str:
+    """Parallel write (one file per task); CSV gets a header line and reads back as it was (see ``read_table``).
+    ``replace_partitions`` overwrites only the partitions that ``df`` has rows of."""
     fmt = fmt or format_of(path)
     w = df.write.mode(mode).format(fmt)
+    if replace_partitions:
+        w = w.option("partitionOverwriteMode", "dynamic")
     if fmt == "csv":
         w = w.options(header=True, nullValue="", emptyValue='""', **_CSV_QUOTES)
     if partition_by:
@@ -143,7 +161,8 @@ def run_stamp(now: _dt.datetime | None = None) -> str:
 
 
 def write_run(df: DataFrame, base: str, stamp: str | None = None, fmt: str = "parquet") -> str:
-    """Append ``df`` as the ``run_ts=<stamp>`` partition of ``base``: one output folder per run."""
+    """Write ``df`` as the ``run_ts=<stamp>`` partition of ``base``: one output folder per run.  The same stamp again
+    replaces that run's folder, others stay."""
     stamp = stamp or run_stamp()
-    write_table(df.withColumn("run_ts", F.lit(stamp)), base, fmt, mode="append", partition_by=["run_ts"])
+    write_table(df.withColumn("run_ts", F.lit(stamp)), base, fmt, partition_by=["run_ts"], replace_partitions=True)
     return f"{base}/run_ts={stamp}"
