@@ -232,10 +232,12 @@ def _verify(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _entries(labelled: DataFrame, percent: int) -> DataFrame:
-    """(gram, head, label, size, ahead, class): members of groups' prefixes with the number of n-grams ahead of them, once
-    for every class of documents that a group has members of; similar sets are of one size class or of neighbouring ones."""
-    groups = labelled.groupBy("head", "label").agg(*[F.first(c).alias(c) for c in ("prefix", "size", "ahead")])
-    exploded = groups.select(F.posexplode("prefix").alias("at", "gram"), "head", "label", "size", "ahead")
+    """(gram, head, label, size, ahead, members, node, class): members of groups' prefixes with the number of n-grams ahead
+    of them, once for every class of documents that a group has members of, with their number and the lowest of them;
+    similar sets are of one size class or of neighbouring ones."""
+    groups = labelled.groupBy("head", "label").agg(*[F.first(c).alias(c) for c in ("prefix", "size", "ahead")],
+                                                   F.count("*").alias("members"), F.min("node").alias("node"))
+    exploded = groups.select(F.posexplode("prefix").alias("at", "gram"), "head", "label", "size", "ahead", "members", "node")
     # a base above the largest ratio of sizes leaves room for rounding
     kind = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.2 / percent))).cast("int")
     return exploded.withColumn("ahead", F.col("ahead") + F.col("at")).withColumn("class", kind).drop("at")
@@ -257,19 +259,21 @@ def _hub_pairs(entries: DataFrame, percent: int, turn: int) -> DataFrame:
             .select(*_group_pair("h", "p")).distinct())
 
 
-def _cross_pairs(entries: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
+def _cross_pairs(entries: DataFrame, nodes: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
     """All pairs of groups' parts of different classes that share an entry's n-gram and can be similar.
 
     Only n-grams of more than one class are looked at: a group outside an n-gram's largest class meets all others of other
-    classes, of its size class and its neighbours."""
+    classes, of its size class and its neighbours.  Parts of one member each are paired if their bitmaps allow it."""
     counted = entries.groupBy("gram", "label").agg(F.count("*").alias("n"))
     split = (counted.groupBy("gram").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels"))
              .where("labels > 1").select("gram", F.col("most.label").alias("major")))
-    mixed = scratch.put(entries.join(scratch.put(split, f"{name}_split"), "gram"), name)
+    bits = nodes.select("node", *[f"b{k}" for k in range(BITS)])
+    mixed = scratch.put(entries.join(scratch.put(split, f"{name}_split"), "gram").join(bits, "node"), name)
     other = mixed.select("*", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])).alias("of"))
     x, y = mixed.where("label != major").alias("x"), other.alias("y")
     return (x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.class") == F.col("y.of")) & (F.col("x.label") != F.col("y.label"))
-                   & ((F.col("y.label") == F.col("y.major")) | (F.struct("x.head", "x.label") < F.struct("y.head", "y.label"))) & _sizes("x", "y", percent))
+                   & ((F.col("y.label") == F.col("y.major")) | (F.struct("x.head", "x.label") < F.struct("y.head", "y.label"))) & _sizes("x", "y", percent)
+                   & ((F.col("x.members") > 1) | (F.col("y.members") > 1) | _close("x", "y", percent)))
             .select(*_group_pair("x", "y")).distinct())
 
 
@@ -313,7 +317,7 @@ def _links(nodes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     labelled = round_(labelled, lambda t: _hub_pairs(_entries(t, percent), percent, 1), "hubs")
     for name, share in (("eighth", "pmod(gram, 8) = 0"), ("rest", "pmod(gram, 8) != 0")):
         labelled = round_(labelled, lambda t, name=name, share=share: _cross_pairs(
-            scratch.put(_entries(t, percent).where(share), f"entries_{name}"), scratch, f"mixed_{name}", percent), name)
+            scratch.put(_entries(t, percent).where(share), f"entries_{name}"), nodes, scratch, f"mixed_{name}", percent), name)
     return labelled.select("node", "label")
 
 
