@@ -12,6 +12,7 @@ def test_every_grid_and_curve_is_a_query(spark, monkeypatch):
     monkeypatch.setattr(P, "everything", lambda *_: None)
     monkeypatch.setattr(M, "grid_search", lambda est, params, *_, **__: None)
     monkeypatch.setattr(M, "grid_results", lambda cv, est, params: (type(est).__name__, params))
+    monkeypatch.setattr(M, "boosted_search", lambda est, params, *_, **__: (type(est).__name__, params))
     monkeypatch.setattr(M, "validation_curve", lambda make, depths, *_, **__: [(type(e := make(d)).__name__, e.getMaxDepth()) for d in depths])
     monkeypatch.setattr(M, "cv_accuracy", lambda est, *_, **__: est)
     for name in ("mdl_grid_forest", "mdl_grid_boost", "mdl_grid_surgery_forest", "mdl_grid_surgery_boost", "mdl_val_curve_forest", "mdl_val_curve_boost", "mdl_cv_score", "mdl_cv_score_boost"):
