@@ -257,10 +257,15 @@ def boosted_search(estimator, params: Mapping[str, Sequence], train: DataFrame,
     return train.sparkSession.createDataFrame(rows, "params string, mean_auc double, sd_auc double, notes string")
 
 
+def few_partitions(df: DataFrame, rows: int) -> DataFrame:
+    """A table of so many rows in partitions of ``ROWS_PER_TASK`` rows at least, as tree fits run a job per level."""
+    return df.coalesce(max(1, math.ceil(rows / ROWS_PER_TASK)))
+
+
 @contextmanager
 def compact(df: DataFrame) -> Iterator[DataFrame]:
-    """Rows for very many small jobs: cached, in partitions of ``ROWS_PER_TASK`` rows, as many as the table needs."""
-    rows = df.coalesce(max(1, math.ceil(df.count() / ROWS_PER_TASK))).persist()
+    """Rows for very many small jobs: cached, in few partitions."""
+    rows = few_partitions(df, df.count()).persist()
     try:
         yield rows
     finally:

@@ -66,7 +66,8 @@ def everything(spark, sf_dir) -> DataFrame:
         d = balanced_weights(stratified_split(d, "doc_id", "quality", 0.3), "quality")
         d = kfold(d, "doc_id", 5).withColumnRenamed("fold", "all_fold")
         train = kfold(d.where("is_test = 0"), "doc_id", 5, label="quality", order="hash")
-        _READY[key] = train.unionByName(d.where("is_test = 1").withColumn("fold", F.lit(-1))).checkpoint()
+        both = train.unionByName(d.where("is_test = 1").withColumn("fold", F.lit(-1)))
+        _READY[key] = M.few_partitions(both, d.count()).checkpoint()
     return _READY[key]
 
 
