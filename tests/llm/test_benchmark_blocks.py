@@ -1,5 +1,7 @@
 """Spans of a benchmark are cut alike, whatever blocks its items are taken in."""
 
+import time
+
 import numpy as np
 import pytest
 from helpers import AWKWARD, got, order, table
@@ -55,3 +57,12 @@ def test_a_thousand_nested_passages_are_cut():
     text = np.frombuffer(b"x " * 1500 + b"z " + b"x " * 1200 + b"y " * 1200 + b"end", np.uint8)
     out, hit, counts = scan.clean(text, np.array([0, len(text)]))
     assert hit.tolist() == [2400] and counts.tolist() == [3902] and out[0].split() == [b"x"] * 1500 + [b"z", b"end"]
+
+
+def test_repetitive_items_take_linear_time():
+    start = time.monotonic()
+    automaton = decontaminate.Automaton.of([("equal", [b"word"] * 200_000), ("short", [b"word"] * 4), ("two", [b"a", b"b"] * 20_000)], 10)
+    matched, hit, found = automaton.stream([b"word"] * 100_000 + [b"x"] + [b"word"] * 4 + [b"x"] + [b"b", b"a"] * 5)
+    assert time.monotonic() - start < 30
+    assert matched.max() == 100_000 and found == {"equal", "short", "two"}
+    assert hit.tolist() == [True] * 100_000 + [False] + [True] * 4 + [False] + [True] * 10

@@ -202,3 +202,10 @@ def test_held_out_accuracy_on_the_given_tables(spark):
     toxic = [r["predicted"] for r in rows if r["toxic"] == 1]
     clean = [r["predicted"] for r in rows if r["toxic"] == 0]
     assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.01 * len(clean)
+
+
+def test_rows_joined_to_the_sample_are_bounded(spark):
+    rows = [(1, f"awful word{i}") for i in range(400)] + [(1, "awful same")] * 400 + [(2, "fine text")]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    machine = toxicity.fit(table(spark, rows), labels, toxicity.Settings(max_rows=50))
+    assert {r["score"] for r in toxicity.score(table(spark, rows), machine).collect()}
