@@ -248,15 +248,15 @@ def _group_pair(x: str, y: str) -> list[Column]:
 
 
 def _hub_pairs(entries: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Every entry with one other of its n-gram, in its size class or the one below: another one for every n-gram and
-    turn, so that a large class of similar documents hangs together although its pairs aren't enumerated."""
+    """The lowest member of every entry with that of one other of its n-gram, in its size class or the one below: another one
+    for every n-gram and turn, so that a large class of similar documents hangs together although its pairs aren't enumerated."""
     hubs = (entries.groupBy("gram", "class")
-            .agg(F.min_by(F.struct("size", "head", "ahead", "label"), F.xxhash64("gram", "head", F.lit(turn))).alias("hub"))
+            .agg(F.min_by(F.struct("size", "node", "ahead", "label"), F.xxhash64("gram", "node", F.lit(turn))).alias("hub"))
             .select("gram", "class", "hub.*"))
     near = entries.select("*", F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("of")).drop("class").withColumnRenamed("of", "class")
     return (hubs.alias("h").join(near.alias("p"), (F.col("h.gram") == F.col("p.gram")) & (F.col("h.class") == F.col("p.class"))
                                  & (F.col("h.label") != F.col("p.label")) & _sizes("h", "p", percent))
-            .select(*_group_pair("h", "p")).distinct())
+            .select(F.least("h.node", "p.node").alias("a"), F.greatest("h.node", "p.node").alias("b")).distinct())
 
 
 def _cross_pairs(entries: DataFrame, nodes: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
@@ -307,17 +307,15 @@ def _links(nodes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
         to = scratch.put(components(joined).select(F.col("node").alias("label"), F.col("label").alias("to")), f"to_{name}")
         return scratch.put(labelled.join(to, "label", "left").select("node", "head", "size", "ahead", "prefix", F.coalesce("to", "label").alias("label")), f"labelled_{name}")
 
-    def round_(labelled: DataFrame, find, name: str) -> DataFrame:
-        pairs = scratch.put(find(labelled), f"pairs_{name}")
-        return merged(labelled, _expand(pairs, labelled, nodes, percent), name)
-
     inside = grouped.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    heads = _hub_pairs(_entries(grouped.where("node = head"), percent), percent, 0).select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+    heads = _hub_pairs(_entries(grouped.where("node = head"), percent), percent, 0)
     labelled = merged(grouped, inside.unionByName(heads).distinct(), "heads")
-    labelled = round_(labelled, lambda t: _hub_pairs(_entries(t, percent), percent, 1), "hubs")
+    # members of one part are of one class already: its lowest member stands for it
+    labelled = merged(labelled, _hub_pairs(_entries(labelled, percent), percent, 1), "hubs")
     for name, share in (("eighth", "pmod(gram, 8) = 0"), ("rest", "pmod(gram, 8) != 0")):
-        labelled = round_(labelled, lambda t, name=name, share=share: _cross_pairs(
-            scratch.put(_entries(t, percent).where(share), f"entries_{name}"), nodes, scratch, f"mixed_{name}", percent), name)
+        entries = scratch.put(_entries(labelled, percent).where(share), f"entries_{name}")
+        pairs = scratch.put(_cross_pairs(entries, nodes, scratch, f"mixed_{name}", percent), f"pairs_{name}")
+        labelled = merged(labelled, _expand(pairs, labelled, nodes, percent), name)
     return labelled.select("node", "label")
 
 
