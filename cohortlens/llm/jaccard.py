@@ -288,10 +288,11 @@ def _expand(pairs: DataFrame, labelled: DataFrame, nodes: DataFrame, percent: in
 def _links(nodes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """(node, label): classes of the sets that are linked, labelled by their lowest node.
 
-    Sets with equal prefix and size are a group.  Every round pairs groups, those of their parts that are of different
-    classes; the pairs are expanded to members, filtered and verified, and the classes they link are merged.  The last
-    two rounds (by an eighth of the n-grams, then by the rest) look at all pairs of different classes, parts of one group
-    included, so no link between classes is lost.  All members of a group are first verified with its head."""
+    Sets with equal prefix and size are a group.  All members of a group are first verified with its head.  Every round
+    pairs parts of groups that are of different classes; their members are verified, and the classes they link are
+    merged.  The first two rounds take a part's lowest member for it.  The last two (by an eighth of the n-grams, then by
+    the rest) look at all pairs of parts of different classes, parts of one group included, and expand them to all
+    members, so no link between classes is lost."""
     prefixed = scratch.put(_prefixes(nodes, percent), "prefixes")
     grouped = scratch.put(prefixed.join(prefixed.groupBy("size", "prefix").agg(F.min("node").alias("head")), ["size", "prefix"])
                           .select("node", "head", "size", "ahead", "prefix").withColumn("label", F.col("node")), "groups")
