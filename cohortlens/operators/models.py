@@ -26,7 +26,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -39,6 +39,10 @@ from cohortlens.session import ensure_checkpoint_dir
 MAX_TREE_DEPTH = 30
 # Rows of a partition where a table is read by very many small jobs (every level of every tree).
 ROWS_PER_TASK = 100_000
+# A single fit has the cores to itself: its table is dealt to up to SPREAD partitions of at least LEAST_ROWS rows.  Both depend
+# on the number of rows alone, as draws of a forest depend on the partitions.
+SPREAD = 24
+LEAST_ROWS = 2_500
 
 
 # ---------------------------------------------------------------- encoders
@@ -207,9 +211,33 @@ def grid_search(estimator, params: Mapping[str, Sequence], train: DataFrame, fol
                 parallelism: int = 4, k: int = 5):
     """k-fold grid search scored by exact ROC AUC (no score binning), refitting the best point on all rows."""
     ev = BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0)
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=grid(estimator, params), evaluator=ev,
+    points = grid(estimator, params)
+    cv = CrossValidator(estimator=estimator, estimatorParamMaps=points, evaluator=ev,
                         foldCol=fold_col, numFolds=k, parallelism=parallelism, seed=42)
-    return cv.fit(train)
+    with compact(train) as rows:
+        found = _fold_metrics(estimator, points, ev, rows, fold_col, k, parallelism)
+    means = [statistics.fmean(m) for m in found]
+    best = means.index(max(means)) if ev.isLargerBetter() else means.index(min(means))
+    return cv._copyValues(CrossValidatorModel(estimator.fit(train, points[best]), means, None, [statistics.pstdev(m) for m in found]))
+
+
+def _fold_metrics(estimator, points: Sequence[Mapping], evaluator, rows: DataFrame, fold_col: str, k: int,
+                  parallelism: int) -> list[list[float]]:
+    """Per point its metric on every fold.  ``CrossValidator`` fits the points of one fold side by side and the folds
+    one after the other; here all fits are independent tasks, a core for each."""
+
+    def one(point: Mapping, fold: int) -> float:
+        inside = F.col(fold_col) == fold
+        model = estimator.fit(rows.where(~inside), point)
+        return float(evaluator.evaluate(model.transform(rows.where(inside), point)))
+
+    found = _fit_all([lambda p=p, f=f: one(p, f) for p in points for f in range(k)], _threads(rows, parallelism))
+    return [found[i * k:(i + 1) * k] for i in range(len(points))]
+
+
+def _threads(df: DataFrame, parallelism: int) -> int:
+    """Fits side by side: one per core at least, as a fit of a small table keeps one core busy."""
+    return max(parallelism, df.sparkSession.sparkContext.defaultParallelism)
 
 
 def first_rounds(model, rounds: int):
@@ -246,7 +274,7 @@ def boosted_search(estimator, params: Mapping[str, Sequence], train: DataFrame,
             model = estimator.copy({**points[point], estimator.maxIter: rounds[-1]}).fit(rows_.where(~inside))
             return [float(ev.evaluate(first_rounds(model, n).transform(rows_.where(inside)))) for n in rounds]
 
-        found = _fit_all([lambda p=p, f=f: one(p, f) for p in range(len(points)) for f in range(k)], parallelism)
+        found = _fit_all([lambda p=p, f=f: one(p, f) for p in range(len(points)) for f in range(k)], _threads(rows_, parallelism))
     rows = []
     for p, point in enumerate(points):
         for j, n in enumerate(rounds):
@@ -262,6 +290,13 @@ def few_partitions(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(1, math.ceil(rows / ROWS_PER_TASK)))
 
 
+def spread(df: DataFrame, rows: int, key: str) -> DataFrame:
+    """A table of so many rows for single fits: dealt by the hash of ``key`` and sorted by it, so that partitions are of one size
+    and the same whatever files the rows came from; as ``few_partitions`` where one partition does."""
+    n = max(math.ceil(rows / ROWS_PER_TASK), min(SPREAD, math.ceil(rows / LEAST_ROWS)))
+    return few_partitions(df, rows) if n <= 1 else df.repartition(n, key).sortWithinPartitions(key)
+
+
 @contextmanager
 def compact(df: DataFrame) -> Iterator[DataFrame]:
     """Rows for very many small jobs: cached, in few partitions."""
@@ -370,13 +405,12 @@ def tree_text(model, features: Sequence[str]) -> DataFrame:
 def cv_accuracy(estimator, data: DataFrame, fold_col: str = "fold", k: int = 5) -> DataFrame:
     """Mean and sd of accuracy over the folds (``cross_val_score(scoring='accuracy')``)."""
     ev = MulticlassClassificationEvaluator(metricName="accuracy")
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=[{}], evaluator=ev, foldCol=fold_col, numFolds=k,
-                        parallelism=5, seed=42)
-    m = cv.fit(data)
+    with compact(data) as rows:
+        found, = _fold_metrics(estimator, [{}], ev, rows, fold_col, k, k)
     from pyspark.sql import SparkSession
 
     return SparkSession.getActiveSession().createDataFrame(
-        [Row(mean_accuracy=float(m.avgMetrics[0]), sd_accuracy=float(m.stdMetrics[0]))],
+        [Row(mean_accuracy=statistics.fmean(found), sd_accuracy=statistics.pstdev(found))],
         "mean_accuracy double, sd_accuracy double")
 
 
@@ -408,6 +442,7 @@ def validation_curve(make_estimator, depths: Sequence[int], data: DataFrame, fol
             model = make_estimator(depth).fit(rows_.where(~inside))
             return _deepest(model), _right(model, rows_, inside)
 
+        parallelism = _threads(rows_, parallelism)
         last = _fit_all([lambda f=f: one(depths[-1], f) for f in range(k)], parallelism)
         todo = [(d, f) for d in depths[:-1] for f in range(k) if d <= last[f][0]]
         some = dict(zip(todo, _fit_all([lambda d=d, f=f: one(d, f)[1] for d, f in todo], parallelism), strict=True))

@@ -60,7 +60,7 @@ def everything(spark, sf_dir) -> DataFrame:
     The features are computed once and checkpointed to the shared folder, splits and folds are comparisons with
     cutoffs on them, checkpointed as they are found (each cutoff search reads finished rows), and the finished table is
     checkpointed again, once per session and table: iterative fits read a short lineage that survives executor loss.
-    Partitions are merged after that, so that the tasks that join and compare stay as small as those that read."""
+    Partitions are dealt anew after that, so that the tasks that join and compare stay as small as those that read."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _READY:
         d = M.assemble(doc_table(spark, sf_dir), FEATURES, "quality").select("doc_id", "quality", "features", "label").checkpoint()
@@ -68,7 +68,7 @@ def everything(spark, sf_dir) -> DataFrame:
         d = kfold(d, "doc_id", 5).withColumnRenamed("fold", "all_fold").checkpoint()
         train = kfold(d.where("is_test = 0"), "doc_id", 5, label="quality", order="hash")
         both = train.unionByName(d.where("is_test = 1").withColumn("fold", F.lit(-1))).checkpoint()
-        _READY[key] = M.few_partitions(both, d.count())
+        _READY[key] = M.spread(both, d.count(), "doc_id").checkpoint()
     return _READY[key]
 
 
