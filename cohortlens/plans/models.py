@@ -86,8 +86,7 @@ def _searched(spark, sf_dir):
         cv = M.grid_search(est, params, train, parallelism=8)
         best = max(zip(cv.avgMetrics, range(len(cv.avgMetrics))), key=lambda x: (x[0], -x[1]))[1]
         yield name, est.copy(cv.getEstimatorParamMaps()[best])
-    # the reference's best point (its model_results table)
-    yield "boosted_trees", M.boosted(n_trees=200, max_depth=5, step=0.01, subsample=1.0)
+    yield "boosted_trees", M.boosted_best(M.boosted(), GRIDS["boost"], train)
 
 
 _COMPARED: dict[tuple[str, str], DataFrame] = {}

@@ -1,5 +1,7 @@
 """Grids, curves and scores at the reference's own sizes; estimators are recorded, not fitted."""
 
+from pyspark.ml.linalg import Vectors
+
 from cohortlens.operators import models as M
 from cohortlens.plans import models as P
 from cohortlens.plans.registry import REGISTRY
@@ -26,3 +28,16 @@ def test_every_grid_and_curve_is_a_query(spark, monkeypatch):
     assert seen["mdl_val_curve_boost"] == [("GBTClassifier", d) for d in range(1, 21)]
     assert seen["mdl_cv_score"].getMaxDepth() == 30 and seen["mdl_cv_score"].getNumTrees() == 100
     assert (seen["mdl_cv_score_boost"].getMaxIter(), seen["mdl_cv_score_boost"].getMaxDepth()) == (100, 6)
+
+
+def test_the_compared_boosted_model_is_the_best_of_its_grid(spark, monkeypatch):
+    data = [(i, float((i * 7 % 13 + (i % 3) * 4 > 9) != (i % 11 == 0)), Vectors.dense(i * 7 % 13, i % 3, i * 31 % 17), i % 5, 1.0) for i in range(200)]
+    rows = spark.createDataFrame(data, ["doc_id", "label", "features", "fold", "weight"]).persist()
+    monkeypatch.setattr(P, "prepared", lambda *_: (rows, rows))
+    small = {"tree": {"maxDepth": [2]}, "forest": {"numTrees": [2], "maxDepth": [2]}, "boost": {"maxIter": [1, 4], "maxDepth": [1, 3], "stepSize": [0.5], "subsamplingRate": [1.0]}}
+    monkeypatch.setattr(P, "GRIDS", small)
+    found = {r["params"]: r["mean_auc"] for r in M.boosted_search(M.boosted(), small["boost"], rows).collect()}
+    best = dict(P._searched(spark, None))["boosted_trees"]
+    got = ", ".join(f"{p}={best.getOrDefault(p)}" for p in ("maxDepth", "maxIter", "stepSize", "subsamplingRate"))
+    assert len(found) == 4 and found[got] == max(found.values()) > min(found.values())
+    rows.unpersist()
