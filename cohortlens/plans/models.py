@@ -79,11 +79,11 @@ def prepared(spark, sf_dir):
 
 
 def _searched(spark, sf_dir):
-    """Per model: its name, and the best point of its grid (fitted on the training part by the search)."""
+    """Per model: its name, and the best point of its grid, which ``train_eval`` fits on the training part."""
     train, _ = prepared(spark, sf_dir)
     for name, est, params in (("decision_tree", M.tree(weight_col="weight"), GRIDS["tree"]),
                               ("random_forest", M.forest(weight_col="weight"), GRIDS["forest"])):
-        cv = M.grid_search(est, params, train, parallelism=8)
+        cv = M.grid_search(est, params, train, parallelism=8, refit=False)
         best = max(zip(cv.avgMetrics, range(len(cv.avgMetrics))), key=lambda x: (x[0], -x[1]))[1]
         yield name, est.copy(cv.getEstimatorParamMaps()[best])
     yield "boosted_trees", M.boosted_best(M.boosted(), GRIDS["boost"], train)

@@ -4,7 +4,7 @@ import statistics
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -85,3 +85,47 @@ def test_what_needs_more_is_left_to_spark(spark, rows, monkeypatch):
     monkeypatch.setattr(fits, "MOST_VALUES", 100)
     assert fits.scores(rows, [est], [[2]], "auc", "fold", 3) is None
     assert M.cv_accuracy(est, rows, k=3).first()["mean_accuracy"] == pytest.approx(want["mean_accuracy"])
+
+
+@pytest.mark.parametrize("memory, weight", [(256, "weight"), (1, None)])
+def test_forests_of_all_depths_score_as_fits_of_their_own(spark, rows, memory, weight):
+    ests = [M.forest(n_trees=40, max_depth=d, weight_col=weight).setMaxMemoryInMB(memory) for d in (3, 7, 12)]
+    auc = fits.scores(rows, ests, [[3], [7], [12]], "auc", "fold", 3)
+    hits = fits.scores(rows, ests, [[3], [7], [12]], "accuracy", "fold", 3)
+    for i, est in enumerate(ests):
+        _, held, own = by_spark(est, rows, 1)
+        assert auc[i][1] == [pytest.approx([auc_of(held)])]
+        assert hits[i][1] == [pytest.approx([accuracy_of(held), accuracy_of(own)])]
+
+
+def test_forests_draw_by_partition_and_in_groups_of_nodes(spark, monkeypatch):
+    df = table(spark, 12_000, 2)
+    est = M.forest(n_trees=25, max_depth=14, min_leaf=2).setMaxMemoryInMB(1)
+    groups = []
+    grown = fits._forest
+    x, y, fold = (np.array([r[c].toArray() if c == "features" else r[c] for r in df.collect()]) for c in ("features", "label", "fold"))
+    monkeypatch.setattr(fits, "_forest", lambda *a: groups.append(out := grown(*a)) or out)
+    spec = fits.specification(est) | {"stages": [14, 6], "metric": "auc"}
+    sizes = [len(p) for p in df.rdd.glom().collect()]
+    parts = [(0, sizes[0]), (sizes[0], 12_000)]
+    with np.errstate(all="ignore"):
+        votes = dict(fits.forest_votes(x.T.copy(), y, np.ones(12_000), parts, fold == 1, spec, fits._draws(spark, sizes, 25, 42)))
+    assert not groups[0][1] and len(groups) == 2 and set(votes) == {6, 14}  # not all at once: shallower ones are grown again
+    got = fits.scores(df, [est], [[14]], "auc", "fold", 3)
+    assert got[0][1] == [pytest.approx([auc_of(by_spark(est, df, 1)[1])])]
+    assert got[0][1] == [pytest.approx([fits.auc(votes[14][0][1], y[fold == 1])])]
+    df.unpersist()
+
+
+def test_forest_searches_curves_and_scores_hold_no_forest_on_the_driver(spark, rows, monkeypatch):
+    want = [accuracy_of(by_spark(M.forest(n_trees=4, max_depth=3), rows, f)[1]) for f in range(3)]
+
+    def refuse(*_):
+        raise AssertionError("fitted by Spark ML")
+
+    monkeypatch.setattr(RandomForestClassifier, "_fit", refuse)
+    assert M.cv_accuracy(M.forest(n_trees=4, max_depth=3), rows, k=3).first()["mean_accuracy"] == pytest.approx(statistics.fmean(want))
+    curve = M.validation_curve(lambda d: M.forest(n_trees=4, max_depth=d), [2, 3], rows, k=3).orderBy("depth").collect()
+    assert curve[1]["valid_mean"] == pytest.approx(statistics.fmean(want))
+    found = M.grid_search(M.forest(), {"numTrees": [3, 4], "maxDepth": [2, 3]}, rows, k=3, refit=False)
+    assert len(found.avgMetrics) == 4 and found.bestModel is None
